@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import exactdedup, sharding
+from . import decontaminate, exactdedup, mixing, sharding
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op9_decontamination": decontaminate.OP9_SQL,
     "op10_exact_dedup": exactdedup.OP10_SQL,
 }
