@@ -1,9 +1,11 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
 Texts are normalised (each run of ASCII white space becomes one space), range
-partitioned on the normalised text with splitters that Spark samples, and sorted
-externally, so equal texts stand next to each other; the window over equal texts
-compares neighbours in full and yields the smallest identifier of the run.
+partitioned with splitters that Spark samples, and sorted externally, so equal texts
+stand next to each other; the window over equal texts compares neighbours in full
+and yields the smallest identifier of the run. The sort key is the first ``PREFIX``
+characters, a hash that parts texts with equal beginnings, then the whole text;
+splitters hold the first two only, so that the sample the driver sees is small.
 
 A text held by very many rows would fill one partition. One narrow pass counts
 rows by a hash of the text; texts with more than ``HOT_ROWS`` rows get a salt that
@@ -25,6 +27,8 @@ from .common import joined_small, written
 
 #: Rows of one text from which its rows are dealt over several runs, and rows in such a run.
 HOT_ROWS = 1000
+#: Characters of the text in a splitter.
+PREFIX = 24
 
 #: Runs of ASCII white space other than one single space; replacing these by a space equals replacing all runs.
 ODD_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -46,10 +50,10 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = joined_small(keyed.withColumn("h", F.xxhash64("norm")), hot, "h", n_hot, "left")
     salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("salts")))
-    rows = rows.select("doc_id", "norm", F.col("salts").isNotNull().alias("hot"), salt.cast("int").alias("salt"))
-    run = Window.partitionBy("norm", "salt")
+    rows = rows.select("doc_id", "norm", F.substring("norm", 1, PREFIX).alias("head"), "h", F.col("salts").isNotNull().alias("hot"), salt.cast("int").alias("salt"))
+    run = Window.partitionBy("head", "h", "salt", "norm")
     runs = (
-        rows.repartitionByRange(n, "norm", "salt")
+        rows.repartitionByRange(n, "head", "h", "salt")
         .withColumn("run_id", F.min("doc_id").over(run))
         .withColumn("run_rows", F.count("*").over(run))
         .select("doc_id", F.sha2("norm", 256).alias("text_sha256"), "hot", "salt", "run_id", "run_rows")
