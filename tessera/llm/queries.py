@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, mixing, sharding
+from . import decontaminate, exactdedup, mixing, sharding, tokenout
 
 QUERIES = {
+    "op1_token_ids": tokenout.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
