@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 #: Rows in a table that may be broadcast; all such tables are narrow.
 BROADCAST_ROWS = 200_000
-#: Arrow batches of at most so many rows, so that a batch of long texts stays small.
-ARROW_ROWS = 512
+#: Arrow batches end at so many rows or bytes, so that a batch of long texts stays small.
+ARROW_ROWS, ARROW_BYTES = 50_000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +33,15 @@ def written(df: DataFrame, order: list | None = None) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps whose results have been written."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def literal_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, mixing, sharding, tokenout
+from . import decontaminate, exactdedup, mixing, ngramjoin, sharding, tokenout
 
 QUERIES = {
     "op1_token_ids": tokenout.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op5_ngram_join": ngramjoin.op5_ngram_join,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
 }

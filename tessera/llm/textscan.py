@@ -111,9 +111,9 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (from 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    a = column.cast(pa.large_string())
+    a = column.cast(pa.large_binary())
     if a.null_count:
-        a = a.fill_null("")
+        a = a.fill_null(b"")
     if not len(a):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offs = np.frombuffer(a.buffers()[1], dtype=np.int64)[a.offset : a.offset + len(a) + 1]
