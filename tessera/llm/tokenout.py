@@ -1,8 +1,8 @@
 """Token ids as binary files: frequency-ranked ids in byte-aligned variable-length coding.
 
-Two passes over the texts. The first counts every token id over all documents; ids
-are ranked by falling count (the table has at most one entry per id of the
-vocabulary). The second encodes each document's ranks in 1 to 4 bytes; a separate
+Texts are tokenised once and the ids written. Every id is counted over all documents
+and ids are ranked by falling count (the table has at most one entry per id of the
+vocabulary). Each document's ranks are then encoded in 1 to 4 bytes; a separate
 control byte holds the lengths of four of them. Documents go by doc_id ranges to the
 tasks that write the files, one file a range, in ascending doc_id order.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import shared_dir, small_batches, written
 from .textscan import Scanner, chunks, mix64
 
 BLOCK_TOKENS = 1 << 20
@@ -233,28 +233,51 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """doc_id, n, ids (2 bytes each where the vocabulary allows, else 4) of each document."""
+
+    def run(batches):
+        enc = Encoder.of_worker(path, end_id)
+        kind = _id_type(enc.tok.get_vocab_size(), end_id)
+        for b in batches:
+            for i, j, ids, n in enc.encode(b.column(1)):
+                raw, w = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+                blobs = [raw[w * (e - k) : w * e] for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(blobs, pa.binary())], names=["doc_id", "n", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+
+
+def _id_type(vocabulary: int, end_id: int) -> str:
+    return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+
+
+def _ids(n: int, blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, dtype="<u2" if len(blob) == 2 * n else "<u4")
+
+
+def token_counts(tokens: DataFrame) -> DataFrame:
     """(token, n) over all documents."""
 
     def run(batches):
-        enc, total = Encoder.of_worker(path, end_id), np.zeros(0, np.int64)
+        total = np.zeros(0, np.int64)
         for b in batches:
-            for _, _, ids, _ in enc.encode(b.column(0)):
-                n = np.bincount(ids, minlength=len(total))
-                n[: len(total)] += total
-                total = n
+            for n, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                c = np.bincount(_ids(n, x.as_py()), minlength=len(total))
+                c[: len(total)] += total
+                total = c
         t = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(total[t], pa.int64())], names=["token", "n"])
 
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokens.select("n", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out_uri: str, end_id: int = 2, file_rows: int = FILE_ROWS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes ranks.bin and the files; returns (file, path, docs, tokens), one row a file."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    rows = token_counts(docs, tokenizer, end_id).orderBy(F.desc("n"), "token").collect()
+    tokens = written(tokenised(docs, tokenizer, end_id))
+    rows = token_counts(tokens).orderBy(F.desc("n"), "token").collect()
     ids = np.array([r["token"] for r in rows], dtype=np.uint32)
     fs, root = _filesystem(out_uri)
     fs.create_dir(root, recursive=True)
@@ -262,42 +285,36 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_uri: str, end_id: int = 2,
         f.write(ids.astype("<u4").tobytes())
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, dtype=np.uint32)
     rank[ids] = np.arange(len(ids))
-    total = docs.count()
+    total = tokens.count()
     n_files = max(1, -(-total // file_rows))
     cuts = [x / n_files for x in range(1, n_files)]
-    bounds = np.array(sorted(set(docs.select(F.percentile_approx("doc_id", cuts, 10 * n_files)).first()[0] or [])) if cuts else [], dtype=np.int64)
+    bounds = np.array(sorted(set(tokens.select(F.percentile_approx("doc_id", cuts, 10 * n_files)).first()[0] or [])) if cuts else [], dtype=np.int64)
     shared = spark.sparkContext.broadcast((rank, bounds))
 
     def encode(batches):
         rank, bounds = shared.value
-        enc = Encoder.of_worker(tokenizer, end_id)
         for b in batches:
-            id_ = b.column(0)
-            file = np.searchsorted(bounds, np.array(id_.fill_null(-(2**63))), side="right")
-            counts, blobs = [], []
-            for _, _, ids, n in enc.encode(b.column(1)):
-                counts += n.tolist()
-                r = rank[ids]
-                blobs += [b"".join(encode_ranks(r[e - k : e])) for e, k in zip(np.cumsum(n).tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), id_, pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["file", "doc_id", "n", "blob"])
+            file = np.searchsorted(bounds, np.array(b.column(0).fill_null(-(2**63))), side="right")
+            blobs = [b"".join(encode_ranks(rank[_ids(n, x.as_py())])) for n, x in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["file", "doc_id", "n", "blob"])
 
     def save(batches):
         fs, root = _filesystem(out_uri)
         at, done = None, []
         for b in batches:
-            cols = [b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()]
+            cols = [b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)]
             for f, d, n, x in zip(*cols, strict=True):
                 if at is None or f != at.file:
                     if at is not None:
                         done.append(at.close())
-                    at = _Writer(fs, root, int(f))
-                at.add(d, n, x)
+                    at = _Writer(fs, root, f)
+                at.add(d, n, x.as_py())
         if at is not None:
             done.append(at.close())
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    coded = docs.mapInArrow(encode, "file long, doc_id long, n long, blob binary")
-    placed = coded.repartition(n_files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "blob")
+    coded = tokens.mapInArrow(encode, "file int, doc_id long, n long, blob binary")
+    placed = coded.repartitionById(n_files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "blob")
     files = placed.mapInArrow(save, "file long, path string, docs long, tokens long").collect()
     return spark.createDataFrame(sorted(files), "file long, path string, docs long, tokens long")
 
