@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, mixing, ngramjoin, quality, sharding, tokenout
+from . import chat, decontaminate, exactdedup, mixing, ngramjoin, quality, sharding, tokenout
 
 QUERIES = {
     "op1_token_ids": tokenout.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
     "op5_ngram_join": ngramjoin.op5_ngram_join,
+    "op7_chat": chat.op7_chat,
     "op8_quality": quality.op8_quality,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op7_chat": chat.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
     "op10_exact_dedup": exactdedup.OP10_SQL,
 }
