@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exactdedup, htmltext, mixing, ngramjoin, quality, sharding, tokenout
+from . import chat, decontaminate, exactdedup, htmltext, licenses, mixing, ngramjoin, quality, sharding, tokenout
 
 QUERIES = {
     "op1_token_ids": tokenout.op1_token_ids,
     "op2_mixing": mixing.op2_mixing,
     "op3_sharding": sharding.op3_sharding,
+    "op4_licenses": licenses.op4_licenses,
     "op5_ngram_join": ngramjoin.op5_ngram_join,
     "op6_html": htmltext.op6_html,
     "op7_chat": chat.op7_chat,
