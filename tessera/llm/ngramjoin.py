@@ -4,14 +4,16 @@ A document is the set of its distinct word shingles. Shingles are XOR-hashed int
 sketches: each flips one bit, so the Hamming distance of two sketches is at most the
 symmetric difference of the sets. Sizes are banded; two sets of a band that reach the
 similarity differ in at most d shingles (d follows from the band's upper size), so of
-d + 1 segments of their sketches one at least is equal: segments are the join keys.
-Segments are wide and sparse and are held as the XOR of 32-bit codes of their set
-bits, equal for equal segments. A set that can also pair with a smaller one of the
+d + 1 segments of their sketches one at least is equal: segments are the join keys. A
+quarter more segments are made, and those with one shingle or none are left out
+where d + 1 others remain. Segments are wide and sparse and are held as the XOR of
+32-bit codes of their set bits, equal for equal segments. A set that can also pair with a smaller one of the
 band below emits that band's segments too. No link is lost.
 
 Equal sets are one class throughout. Buckets of a key are streamed in sorted order:
 each member is paired with the bucket's first one only, and each class keeps the
 partner it shares most segments with; these pairs are verified and connected, twice.
+Dense sketches, folded to one size, turn most false pairs away before the sets meet.
 What is left are buckets whose members lie in several components. Their cross pairs
 are listed exactly: few at once as pairs, many after a Hamming filter on folded dense
 sketches, and buckets with very many are keyed anew by segments of another hash.
@@ -79,7 +81,9 @@ class Sketcher:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.tops = band_tops(den, num)
-        self.parts = np.maximum(self.tops * (den - num) // num + 1, 1)
+        #: One more than the differences of two linked sets whose smaller one is in the band, and the segments.
+        self.need = np.maximum(self.tops * (den - num) // num + 1, 1)
+        self.parts = -(-self.need * 5 // 4)
 
     def bands(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Band of each size, and whether it reaches into the band below."""
@@ -95,7 +99,11 @@ class Sketcher:
         return rows, _runs(bounds[:-1][rows], n[rows]), np.concatenate([[0], np.cumsum(n[rows])]), at
 
     def segments(self, x: np.ndarray, bounds: np.ndarray, band: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Segment values (32-bit) of each set for the given band, and their bounds."""
+        """Segment values (32-bit) of each set for the given band, and their bounds; 0 for segments that are no keys.
+
+        Segments with one shingle or none say little. A set leaves them out if those that
+        remain are at least ``need``: a linked set differs in fewer, so one of them is equal.
+        """
         parts = self.parts[band]
         base = np.concatenate([[0], np.cumsum(parts)])
         size = np.diff(bounds)
@@ -103,9 +111,14 @@ class Sketcher:
         at = np.repeat(base[:-1], size) + (bit >> _U(24)).astype(np.int64) % np.repeat(parts, size)
         v = np.zeros(int(base[-1]), dtype=np.uint32)
         np.bitwise_xor.at(v, at, (bit * _U(0x9E3779B97F4A7C15) >> _U(32)).astype(np.uint32))
+        v[v == 0] = 1
+        told = np.bincount(at, minlength=len(v)) > 1
+        some = np.add.reduceat(told.astype(np.int64), base[:-1]) if len(band) else np.zeros(0, np.int64)
+        v[~told & np.repeat(some >= self.need[band], parts)] = 0
         return v, base
 
     def keys(self, v: np.ndarray, base: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Join keys of the segments; the caller drops those with v = 0."""
         size = np.diff(base)
         seg = np.arange(len(v)) - np.repeat(base[:-1], size)
         code = v.astype(_U) | seg.astype(_U) << _U(32)
@@ -149,8 +162,8 @@ def _profile(num: int, den: int, k: int):
                 order = np.argsort(rows, kind="stable")
                 raw = v[_runs(base[:-1][order], np.diff(base)[order])].astype("<u4").tobytes()
                 parts = [raw[e - 4 * m : e] for e, m in zip(ends.tolist(), each.tolist(), strict=True)]
-                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "parts"])
+                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parts, pa.binary()), pa.array(_dense(x, bounds), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "parts", "dense"])
 
     return run
 
@@ -191,9 +204,10 @@ def _keys_of_parts(num: int, den: int):
             own = sk.parts[band]
             for rows, at, start in ((np.arange(len(n)), band, offs[:-1] // 4), (np.flatnonzero(lower), (band - 1)[lower], (offs[:-1] // 4 + own)[lower])):
                 size = sk.parts[at]
-                key = sk.keys(v[_runs(start, size)], np.concatenate([[0], np.cumsum(size)]), at)
+                u = v[_runs(start, size)]
+                key = sk.keys(u, np.concatenate([[0], np.cumsum(size)]), at)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(rid[rows], size))], names=["key", "rid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[u > 0]), pa.array(np.repeat(rid[rows], size)[u > 0])], names=["key", "rid"])
 
     return run
 
@@ -211,7 +225,7 @@ def _keys_of_sets(num: int, den: int, level: int):
                 v, base = sk.segments(x[idx], sizes, band, level)
                 per = np.diff(base)
                 key = mix64(sk.keys(v, base, band).view(_U) + np.repeat(bucket[rows], per).view(_U) * _U(0x9FB21C651E98DF25))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(rid[rows], per))], names=["key", "rid"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[v > 0]), pa.array(np.repeat(rid[rows], per)[v > 0])], names=["key", "rid"])
 
     return run
 
@@ -369,8 +383,27 @@ def _verify(num: int, den: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose sets link, as (a, b)."""
+def _close(num: int, den: int):
+    """(x, y) of the pairs whose dense sketches are near enough; columns x, y, n, dense, m, other."""
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)
+            got = []
+            for x, y, n, p, m, q in rows:
+                size = min(len(p), len(q))
+                if num * max(n, m) <= den * min(n, m) and int(np.bitwise_count(_fold(p, size) ^ _fold(q, size)).sum()) * (den + num) <= (n + m) * (den - num):
+                    got.append((x, y))
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["x", "y"])
+
+    return run
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, dense: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose sets link, as (a, b): the sketches are compared first, then the sets."""
+    both = pairs.join(dense.select(F.col("rid").alias("x"), "n", "dense"), "x").join(dense.select(F.col("rid").alias("y"), F.col("n").alias("m"), F.col("dense").alias("other")), "y")
+    pairs = written(both.select("x", "y", "n", "dense", "m", "other").mapInArrow(_close(num, den), "x long, y long"))
     sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("rid")).join(sets, "rid").select("x", "y", "set")
     return sides.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
@@ -387,17 +420,21 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile = written(docs.mapInArrow(_profile(num, den, shingle), "doc_id long, n long, h1 long, h2 long, parts binary"))
-    classes = profile.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.max("parts").alias("parts"))
-    classes = written(classes.withColumn("rid", F.monotonically_increasing_id()))
-    release(spark)
+    profile = docs.mapInArrow(_profile(num, den, shingle), "doc_id long, n long, h1 long, h2 long, parts binary, dense binary")
+    profile = written(profile.withColumn("rid", F.monotonically_increasing_id()))
+    classes = profile.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("rid").alias("rid"))
+    classes = written(classes)
+    dense = profile.select("rid", "n", "dense")
+
+    def keys_of(which: DataFrame) -> DataFrame:
+        rows = profile.select("rid", "n", "parts").join(which.select("rid"), "rid", "left_semi")
+        return rows.mapInArrow(_keys_of_parts(num, den), "key long, rid long")
 
     def sets_of(which: DataFrame) -> DataFrame:
         hit = docs.withColumnRenamed("doc_id", "_id").join(which.select("doc_id", "n", "h1", "h2", "rid"), F.col("_id").eqNullSafe(F.col("doc_id")))
         return hit.select("text", "n", "h1", "h2", "rid").mapInArrow(_sets(shingle), "rid long, set binary")
 
-    keys = classes.select("rid", "n", "parts").mapInArrow(_keys_of_parts(num, den), "key long, rid long")
-    stars = keys.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_stars, "rid long, lead long")
+    stars = keys_of(classes).repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_stars, "rid long, lead long")
     stars = written(stars.groupBy("rid", "lead").agg(F.count("*").alias("m")))
     release(spark)
     involved = stars.select("rid").union(stars.select("lead")).distinct()
@@ -414,12 +451,12 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             s = s.where(F.col("c") != F.coalesce("lc", "lead"))
         best = s.groupBy("rid").agg(F.max_by("lead", F.struct("m", "lead")).alias("lead"))
         pairs = best.select(F.least("rid", "lead").alias("x"), F.greatest("rid", "lead").alias("y")).distinct()
-        found = written(_linked(pairs, sets, num, den))
+        found = written(_linked(pairs, sets, dense, num, den))
         links = found if links is None else links.union(found)
         comps = written(components(links))
         release(spark)
 
-    rows = classes.join(involved, "rid", "left_semi").select("rid", "n", "parts").mapInArrow(_keys_of_parts(num, den), "key long, rid long")
+    rows = keys_of(involved)
     for level in range(4):
         rows = _labelled(rows, comps).select("key", "rid", "comp")
         out = written(rows.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
@@ -429,10 +466,10 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         load = load.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
         huge = written(load.where(F.col("p") > FILTERED).select("key")) if level < 3 else None
         here = many if huge is None else many.join(huge, "key", "left_anti")
-        here = _labelled(here, comps).join(sets.mapInArrow(_with_dense, "rid long, n long, dense binary"), "rid")
+        here = _labelled(here, comps).join(dense, "rid")
         near = here.select("key", "rid", "comp", "n", "dense").repartition("key").sortWithinPartitions("key").mapInArrow(_filtered(num, den), "x long, y long")
         pairs = written(pairs.union(near).distinct())
-        links = links.union(written(_linked(pairs, sets, num, den)))
+        links = links.union(written(_linked(pairs, sets, dense, num, den)))
         release(spark)
         if huge is None or huge.isEmpty():
             break
@@ -442,18 +479,11 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     named = _labelled(classes, comps)
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "comp").select("h1", "h2", "component_id")
-    out = profile.drop("parts").join(named, ["h1", "h2"], "left")
+    out = profile.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", comp.alias("component_id"))
 
 
-def _with_dense(batches):
-    for b in batches:
-        for i, j, data, offs in chunks(b.column(1)):
-            x, bounds = np.frombuffer(np.ascontiguousarray(data), dtype=_U), offs // 8
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(_dense(x, bounds), pa.binary())], names=["rid", "n", "dense"])
-
-
 def op5_ngram_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return link_components(docs, shingle=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
