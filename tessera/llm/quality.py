@@ -15,7 +15,9 @@ noise of its hash; the k highest are kept, k being the number of documents with
 odds above zero. The k-th highest is found by nested histograms, without a sort.
 
 At most ``LABELLED`` labelled rows, chosen by hash, fit the target model and the
-curve; all counts and scores cover all documents and whole texts.
+curve; all counts and scores cover all documents and whole texts. The driver sees
+at most ``BUCKETS`` counts of each kind, as Arrow columns, and one weight per row of
+the curve.
 
 Defined results: null text counts as empty; labels of one document are combined
 (lowest quality, highest toxic); labels with nulls or without a document are not
@@ -114,15 +116,12 @@ def bucket_counts(df: DataFrame) -> DataFrame:
     return part.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
 
 
-def _vector(rows, kind: int) -> tuple[np.ndarray, int]:
-    v, docs = np.zeros(BUCKETS), 0
-    for r in rows:
-        if r["kind"] == kind:
-            if r["bucket"] < 0:
-                docs = r["n"]
-            else:
-                v[r["bucket"]] = r["n"]
-    return v, docs
+def _vector(counts: pa.Table, kind: int) -> tuple[np.ndarray, int]:
+    k, bucket, n = (counts.column(c).to_numpy() for c in ("kind", "bucket", "n"))
+    v = np.zeros(BUCKETS)
+    w = (k == kind) & (bucket >= 0)
+    v[bucket[w]] = n[w]
+    return v, int(n[(k == kind) & (bucket < 0)].sum())
 
 
 def log_ratios(good, bad, raw) -> np.ndarray:
@@ -175,19 +174,19 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = L
     held = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) < 3
     rows = docs.join(F.broadcast(lab), "doc_id")  # at most ``labelled`` rows
     kinds = rows.where(~held).select("text", F.when(F.col("good"), 1).otherwise(2).alias("kind"))
-    seen = bucket_counts(kinds).collect()
+    seen = bucket_counts(kinds).toArrow()
     good, bad = _vector(seen, 1), _vector(seen, 2)
     w, a, b = np.zeros(BUCKETS, np.float32), 0.0, 0.0
     if good[1] and bad[1]:
-        raw = bucket_counts(docs.select("text", F.lit(0).alias("kind"))).collect()
+        raw = bucket_counts(docs.select("text", F.lit(0).alias("kind"))).toArrow()
         w = log_ratios(good, bad, _vector(raw, 0))
     shared = spark.sparkContext.broadcast(w)
     out = [c for c in keep if c not in ("log_weight", "log_odds")]
     field = T.StructField("log_weight", T.DoubleType())
     run = lambda df, cols: df.select(*cols, F.col("text").alias("_text")).mapInArrow(_scorer(shared, cols), T.StructType([df.schema[c] for c in cols] + [field]))
     if good[1] and bad[1]:
-        curve = run(rows.where(held), ["good"]).collect()
-        x, t = np.array([r["log_weight"] for r in curve]), np.array([r["good"] for r in curve], dtype=float)
+        curve = run(rows.where(held), ["good"]).toArrow()
+        x, t = curve.column("log_weight").to_numpy(), curve.column("good").to_numpy().astype(float)
         if len(set(t.tolist())) == 2:
             a, b = logistic(x, t)
     return run(docs, out).withColumn("log_odds", F.lit(a) + F.lit(b) * F.col("log_weight"))
