@@ -58,8 +58,8 @@ def cohens_d(df: DataFrame, score: str, positive: str, by: list[str] | None = No
 
 def separability(df: DataFrame, score: str, positive: str, slices: list[str]) -> DataFrame:
     """(slice, value, auc, ap, d, qsep): over everything and by each slice; qsep: median of negatives above the third quartile of positives."""
-    whole = df.withColumn("s", F.explode(F.array(F.struct(F.lit("all").alias("slice"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices])))
-    x = whole.select("s.slice", "s.value", score, positive)
+    whole = df.withColumn("_s", F.explode(F.array(F.struct(F.lit("all").alias("slice"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("slice"), F.col(c).cast("string").alias("value")) for c in slices])))
+    x = whole.select("_s.slice", "_s.value", score, positive)
     by = ["slice", "value"]
     q = x.groupBy(*by).agg((F.median(F.when(~F.col(positive), F.col(score))) > F.percentile(F.when(F.col(positive), F.col(score)), 0.75)).alias("qsep"))
     return roc_auc(x, score, positive, by).join(average_precision(x, score, positive, by), by).join(cohens_d(x, score, positive, by), by).join(q, by)

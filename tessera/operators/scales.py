@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 
 def block_restrict(cells: DataFrame, value: str, block: int = 2) -> DataFrame:
-    """(R, C, v): means of square blocks."""
+    """(br, bc, v): means of square blocks."""
     at = lambda c: F.floor(F.col(c) / block).cast("int")
-    return cells.groupBy(at("r").alias("R"), at("c").alias("C")).agg(F.avg(value).alias("v"))
+    return cells.groupBy(at("r").alias("br"), at("c").alias("bc")).agg(F.avg(value).alias("v"))
 
 
 def block_prolong(cells: DataFrame, coarse: DataFrame, block: int = 2, out: str = "up") -> DataFrame:
     at = lambda c: F.floor(F.col(c) / block).cast("int")
-    x = cells.withColumns({"R": at("r"), "C": at("c")}).join(coarse.withColumnRenamed("v", out), ["R", "C"])
-    return x.drop("R", "C")
+    x = cells.withColumns({"br": at("r"), "bc": at("c")}).join(coarse.withColumnRenamed("v", out), ["br", "bc"])
+    return x.drop("br", "bc")
 
 
 def cluster_restrict(nodes: DataFrame, value: str, cluster: str) -> DataFrame:
