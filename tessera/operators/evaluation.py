@@ -1,4 +1,4 @@
-"""Evaluation: separability, thresholds, tests, partitions compared."""
+"""Evaluation: separability, thresholds, tests, partitions compared. What has no value (one class only, say) is null."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ def roc_auc(df: DataFrame, score: str, positive: str, by: list[str] | None = Non
     w = Window.partitionBy(*by, F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
     u = F.sum(F.col("p") * (F.col("below") + F.col("n") / 2))
-    return g.groupBy(*by).agg((u / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return g.groupBy(*by).agg(F.try_divide(u, F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def average_precision(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def average_precision(df: DataFrame, score: str, positive: str, by: list[str] |
     g = df.groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.count("*").alias("m"))
     w = Window.partitionBy(*by, F.lit(0)).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumn("prec", F.sum("p").over(w) / F.sum("m").over(w))
-    return g.groupBy(*by).agg((F.sum(F.col("p") * F.col("prec")) / F.sum("p")).alias("ap"))
+    return g.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * F.col("prec")), F.sum("p")).alias("ap"))
 
 
 def thresholds(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def thresholds(df: DataFrame, score: str, positive: str, by: list[str] | None =
     part = Window.partitionBy(*by, F.lit(0))
     w = part.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     g = g.withColumns({"tp": F.sum("p").over(w), "fp": F.sum(F.col("m") - F.col("p")).over(w), "ap": F.sum("p").over(part), "an": F.sum(F.col("m") - F.col("p")).over(part)})
-    g = g.withColumns({"tpr": F.col("tp") / F.col("ap"), "fpr": F.col("fp") / F.col("an"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
+    g = g.withColumns({"tpr": F.try_divide("tp", "ap"), "fpr": F.try_divide("fp", "an"), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
     g = g.withColumn("f1", 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("ap"))).withColumn("youden", F.col("tpr") - F.col("fpr"))
     return g.select(*by, "threshold", "tp", "fp", "tpr", "fpr", "precision", "f1", "youden")
 
@@ -52,8 +52,8 @@ def best_threshold(df: DataFrame, score: str, positive: str, by: list[str] | Non
 def cohens_d(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     a, b = (F.when(F.col(positive) == v, F.col(score)) for v in (True, False))
     na, nb = F.count(a), F.count(b)
-    pooled = F.sqrt(((na - 1) * F.var_samp(a) + (nb - 1) * F.var_samp(b)) / (na + nb - 2))
-    return df.groupBy(*(by or [])).agg((F.abs(F.avg(a) - F.avg(b)) / pooled).alias("d"))
+    pooled = F.sqrt(F.try_divide((na - 1) * F.var_samp(a) + (nb - 1) * F.var_samp(b), na + nb - 2))
+    return df.groupBy(*(by or [])).agg(F.try_divide(F.abs(F.avg(a) - F.avg(b)), pooled).alias("d"))
 
 
 def separability(df: DataFrame, score: str, positive: str, slices: list[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def wilcoxon(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("wm"))
     n = F.col("n")
     low = F.least("wp", "wm")
-    return g.select(*by, "n", low.alias("w"), ((low - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
+    return g.select(*by, "n", low.alias("w"), F.try_divide(low - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -96,12 +96,12 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     pb = t.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias("sb"))
     n = t.agg(F.sum("n").alias("all"))
     x = both.join(F.broadcast(pa)).join(F.broadcast(pb)).join(F.broadcast(n))  # one row each
-    e = F.col("sa") * F.col("sb") / two(F.col("all"))
-    return x.select(((F.col("s") - e) / ((F.col("sa") + F.col("sb")) / 2 - e)).alias("ari"))
+    e = F.try_divide(F.col("sa") * F.col("sb"), two(F.col("all")))
+    return x.select(F.try_divide(F.col("s") - e, (F.col("sa") + F.col("sb")) / 2 - e).alias("ari"))
 
 
 def jaccard_masks(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg((F.sum((F.col(a) & F.col(b)).cast("long")) / F.sum((F.col(a) | F.col(b)).cast("long"))).alias("iou"))
+    return df.agg(F.try_divide(F.sum((F.col(a) & F.col(b)).cast("long")), F.sum((F.col(a) | F.col(b)).cast("long"))).alias("iou"))
 
 
 def bootstrap_auc(df: DataFrame, score: str, positive: str, key: str, rounds: int, seed: int = 0) -> DataFrame:
@@ -114,7 +114,7 @@ def bootstrap_auc(df: DataFrame, score: str, positive: str, key: str, rounds: in
     g = x.groupBy("round", score).agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("w"))).alias("n"))
     below = Window.partitionBy("round").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    return g.groupBy("round").agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return g.groupBy("round").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
 
 
 def linear_fit(df: DataFrame, y: str, x: Column, by: list[str] | None = None) -> DataFrame:

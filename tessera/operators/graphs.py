@@ -85,7 +85,7 @@ def cut_ratio(edges: DataFrame, block: DataFrame) -> DataFrame:
 def padding_waste(block: DataFrame, size: int) -> DataFrame:
     """One row: 1 - active / (blocks with active nodes * size). ``block``: id, block, active."""
     a = block.where("active")
-    return a.agg((1 - F.count("*") / (F.count_distinct("block") * size)).alias("waste"))
+    return a.agg((1 - F.try_divide(F.count("*"), F.count_distinct("block") * size)).alias("waste"))
 
 
 def degree_entropy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 
     r = ranked(df.withColumn("_neg", -F.col(value)).withColumn("_key", F.col("id")), "_neg", "_key")
     n, s = F.count("*"), F.sum(value)
-    return r.agg((2 * F.sum(F.col("rank") * F.col(value)) / (n * s) - (n + 1) / n).alias("gini"))
+    return r.agg((F.try_divide(2 * F.sum(F.col("rank") * F.col(value)), n * s) - F.try_divide(n + 1, n)).alias("gini"))
 
 
 def modularity(edges: DataFrame, block: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def modularity(edges: DataFrame, block: DataFrame) -> DataFrame:
     inside = e.where("b1 = b2").select(F.col("b1").alias("b"), F.lit(1).alias("inner"))
     per = ends.unionAll(inside).groupBy("b").agg(F.sum("inner").alias("l"), F.sum(1 - F.col("inner")).alias("d"))
     m = F.sum("d") / 2
-    return per.agg((F.sum("l") / m - F.sum(F.col("d") * F.col("d")) / (4 * m * m)).alias("modularity"))
+    return per.agg((F.try_divide(F.sum("l"), m) - F.try_divide(F.sum(F.col("d") * F.col("d")), 4 * m * m)).alias("modularity"))
 
 
 def cluster_sizes(block: DataFrame) -> DataFrame:

@@ -97,6 +97,6 @@ def converged(ticks: DataFrame, k: int = 3) -> DataFrame:
 
 def cold_start(units: DataFrame, prior: float) -> DataFrame:
     """One row: thresholds before the first tick from a zone's prior and the spread of rho."""
-    cv = F.when(F.avg("rho") < 1e-10, 0.0).otherwise(F.stddev_pop("rho") / F.avg("rho"))
+    cv = F.when(F.avg("rho") < 1e-10, 0.0).otherwise(F.try_divide(F.stddev_pop("rho"), F.avg("rho")))
     x = units.agg(cv.alias("cv")).withColumn("instability", (0.5 * prior + 0.5 * F.col("cv")) * 0.7)
     return x.select("cv", "instability", F.greatest(F.lit(0.05), F.col("instability") / 2).alias("fsr"))

@@ -113,4 +113,4 @@ def fsr_instability(now: DataFrame, before: DataFrame, refined: DataFrame) -> Da
     free = now.join(refined.select("unit"), "unit", "left_anti").join(before.select("unit", F.col("rho").alias("old")), "unit", "left")
     flip = F.avg((F.signum("rho") != F.signum(F.coalesce("old", "rho"))).cast("double"))
     m = F.avg(F.abs("rho"))
-    return free.agg(F.coalesce(flip, F.lit(0.0)).alias("fsr"), F.when(m < 1e-10, 0.0).otherwise(F.stddev_pop(F.abs("rho")) / m).alias("instability"))
+    return free.agg(F.coalesce(flip, F.lit(0.0)).alias("fsr"), F.when(m < 1e-10, 0.0).otherwise(F.try_divide(F.stddev_pop(F.abs("rho")), m)).alias("instability"))
