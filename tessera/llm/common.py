@@ -15,13 +15,41 @@ BROADCAST_ROWS = 200_000
 ARROW_ROWS, ARROW_BYTES = 50_000, 4 << 20
 
 
+#: Folders made in the open scope, if one is.
+_scope: list[str] | None = None
+
+
+def begin_scope(spark: SparkSession, reads: DataFrame) -> None:
+    """Deletes the folders of the scope before, unless ``reads`` still reads one, and opens a new one.
+
+    For chains of steps each of which starts when the result of the one before is written.
+    """
+    global _scope
+    if _scope:
+        files = reads.inputFiles()
+        for path in _scope:
+            if not any(path.partition(":")[2].lstrip("/") in f for f in files):
+                target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        release(spark)
+    _scope = []
+
+
+def end_scope() -> None:
+    global _scope
+    _scope = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _scope is not None:
+        _scope.append(path)
+    return path
 
 
 def written(df: DataFrame, order: list | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ where d + 1 others remain. Segments are wide and sparse and are held as the XOR
 band below emits that band's segments too. No link is lost.
 
 Equal sets are one class throughout. Buckets of a key are streamed in sorted order:
-each member is paired with the bucket's first one only, and each class keeps the
-partner it shares most segments with; these pairs are verified and connected, twice.
+each member is paired with the bucket's first one only, and each class keeps a few
+partners that it shares most segments with; these pairs are verified and connected.
 Dense sketches, folded to one size, turn most false pairs away before the sets meet.
 What is left are buckets whose members lie in several components. Their cross pairs
 are listed exactly: few at once as pairs, many after a Hamming filter on folded dense
@@ -42,6 +42,8 @@ from .textscan import Scanner, chunks, mix64, ngrams, utf8
 BAND = 1.4
 #: Cross pairs of a bucket that are listed without the filter, with it, and members a task holds.
 PLAIN, FILTERED, HELD = 64, 4_000_000, 100_000
+#: Partners of a set that are verified before buckets are listed: at most one of each 64th of the partners, the best of these.
+LEADS = 3
 _U = np.uint64
 
 
@@ -400,10 +402,14 @@ def _close(num: int, den: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, dense: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (x, y) whose sets link, as (a, b): the sketches are compared first, then the sets."""
+def _near(pairs: DataFrame, dense: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose sketches are near enough, written."""
     both = pairs.join(dense.select(F.col("rid").alias("x"), "n", "dense"), "x").join(dense.select(F.col("rid").alias("y"), F.col("n").alias("m"), F.col("dense").alias("other")), "y")
-    pairs = written(both.select("x", "y", "n", "dense", "m", "other").mapInArrow(_close(num, den), "x long, y long"))
+    return written(both.select("x", "y", "n", "dense", "m", "other").mapInArrow(_close(num, den), "x long, y long"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose sets link, as (a, b)."""
     sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("rid")).join(sets, "rid").select("x", "y", "set")
     return sides.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(_verify(num, den), "a long, b long")
 
@@ -438,23 +444,22 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     stars = written(stars.groupBy("rid", "lead").agg(F.count("*").alias("m")))
     release(spark)
     involved = stars.select("rid").union(stars.select("lead")).distinct()
-    sets = written(sets_of(classes.join(involved, "rid", "left_semi")).dropDuplicates(["rid"]))
-    release(spark)
 
-    links = None
-    comps = None
-    for turn in range(2):
-        # the partner with most common segments, then one of another component
-        s = stars
-        if turn:
-            s = _labelled(stars, comps).withColumnRenamed("comp", "c").join(comps.select(F.col("id").alias("lead"), F.col("comp").alias("lc")), "lead", "left")
-            s = s.where(F.col("c") != F.coalesce("lc", "lead"))
-        best = s.groupBy("rid").agg(F.max_by("lead", F.struct("m", "lead")).alias("lead"))
-        pairs = best.select(F.least("rid", "lead").alias("x"), F.greatest("rid", "lead").alias("y")).distinct()
-        found = written(_linked(pairs, sets, dense, num, den))
-        links = found if links is None else links.union(found)
-        comps = written(components(links))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = _near(pairs, dense, num, den)
+        ids = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
+        sets = written(sets_of(classes.join(ids, "rid", "left_semi")).dropDuplicates(["rid"]))
+        release(spark)
+        found = written(_linked(pairs, sets, num, den))
         release(spark)
+        return found
+
+    # the partners with most common segments
+    best = stars.groupBy("rid", F.pmod(F.xxhash64("lead"), F.lit(64))).agg(F.max(F.struct("m", "lead")).alias("b"))
+    best = best.groupBy("rid").agg(F.slice(F.reverse(F.array_sort(F.collect_list("b"))), 1, LEADS).alias("b")).select("rid", F.explode("b.lead").alias("lead"))
+    links = verified(best.select(F.least("rid", "lead").alias("x"), F.greatest("rid", "lead").alias("y")).distinct())
+    comps = written(components(links))
+    release(spark)
 
     rows = keys_of(involved)
     for level in range(4):
@@ -469,11 +474,12 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         here = _labelled(here, comps).join(dense, "rid")
         near = here.select("key", "rid", "comp", "n", "dense").repartition("key").sortWithinPartitions("key").mapInArrow(_filtered(num, den), "x long, y long")
         pairs = written(pairs.union(near).distinct())
-        links = links.union(written(_linked(pairs, sets, dense, num, den)))
-        release(spark)
+        links = links.union(verified(pairs))
         if huge is None or huge.isEmpty():
             break
-        rows = many.join(huge, "key").join(sets, "rid").select("rid", "set", "key").mapInArrow(_keys_of_sets(num, den, level + 1), "key long, rid long")
+        more = many.join(huge, "key")
+        sets = sets_of(classes.join(more.select("rid").distinct(), "rid", "left_semi")).dropDuplicates(["rid"])
+        rows = more.join(sets, "rid").select("rid", "set", "key").mapInArrow(_keys_of_sets(num, den, level + 1), "key long, rid long")
 
     comps = written(components(links))
     named = _labelled(classes, comps)
