@@ -45,6 +45,7 @@ WORDS = set(
     "advertising sponsor sponsored promo promotion comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup "
     "login search breadcrumb breadcrumbs pagination pager widget widgets toolbar skip copyright legal outbrain taboola teaser".split()
 )
+COMMENT = {"comment", "comments", "reply", "replies"}
 LEGAL = re.compile(r"^\s*(?:©|\(c\)|copyright\b|advertisement\b|sponsored\b|all rights reserved)|\ball rights reserved\b|\bcookies?\b.*\b(?:accept|agree|consent)\b", re.I)
 END = re.compile(r"[.!?…:;。！？][\"'”’)\]]*$")
 
@@ -55,14 +56,17 @@ def _marked(tag: str, attrs: str, inside: bool) -> bool:
     """Whether an element holds surroundings of the article."""
     if tag in AROUND or (tag == "header" and not inside):
         return True
-    if not attrs or tag in ("html", "body", "article", "main") or tag in INLINE:
+    if not attrs or tag in ("html", "body", "main") or tag in INLINE:
         return False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            parts = {p.lower() for p in PART.findall(value)}
-            if parts & WORDS or ("header" in parts and not inside and not parts & {"article", "post", "entry", "story", "page"}):
-                return True
+            for one in value.split():
+                parts = {p.lower() for p in PART.findall(one)}
+                if parts & {"has", "with", "no", "without"}:
+                    continue
+                if parts & (COMMENT if tag == "article" else WORDS) or ("header" in parts and not inside and not parts & {"article", "post", "entry", "story", "page"}):
+                    return True
         elif name == "role":
             if value.lower() in ROLES:
                 return True

@@ -345,6 +345,7 @@ PAGES = [
     ("<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>T &amp; U</h1><p>First <b>bold</b>\n  text here.<p>Er.<p>Another paragraph of some length follows here.</article><footer>&copy; x</footer>", "T & U\nFirst bold text here.\nEr.\nAnother paragraph of some length follows here."),
     ("<div id=menu><a href=/a>One</a> <a href=/b>Two</a></div><h1>Title of it</h1><p>Words of the first paragraph which is long enough to be read.</p><!-- <p>no</p> --><script>var a='<p>x</p>'</script><style>p{}</style><p>Second one, with a <a href=/x>link</a> inside of it.</p><div class='comments'><p>I do not agree with any of this at all.</p></div>", "Title of it\nWords of the first paragraph which is long enough to be read.\nSecond one, with a link inside of it."),
     ("<article><p>Kept text is here.</p><aside><p>A box beside the article with words.</p></aside><section class=comments><p>A reader says something.</p></section><p>All rights reserved.</p></article>", "Kept text is here.\nAll rights reserved."),
+    ("<div id=content class='post has-sidebar'><h2>Head of it</h2><p>Body of the post with enough words in it.</p></div><article class='comment'><p>Someone writes a comment under the post.</p></article><div class=sidebar-left><p>Side words here for you.</p></div>", "Head of it\nBody of the post with enough words in it."),
     (None, ""), ("", ""), ("<p", ""), ("<article>no end <b>at all", "no end at all"), ("<article><p>a &lt;p&gt; b &#233;&nbsp;c</p></article>", "a <p> b é c"),
 ]
 
