@@ -273,3 +273,52 @@ def heap_distance(u: Column, v: Column) -> Column:
         same = F.substring(cut, 1, k) == F.substring(F.bin(b), 1, k)
         common = F.when((d >= k) & same, k).otherwise(common)
     return da + db - 2 * common
+
+
+def contracted(edges: DataFrame, block: DataFrame) -> DataFrame:
+    """(src, dst) of the blocks' graph: distinct pairs of blocks with an edge between them."""
+    a, b = block.select(F.col("id").alias("src"), F.col("block").alias("p")), block.select(F.col("id").alias("dst"), F.col("block").alias("q"))
+    e = edges.join(a, "src").join(b, "dst").where("p <> q")
+    return e.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).distinct()
+
+
+def community_tree(nodes: DataFrame, edges: DataFrame, levels: int = 5, rounds: int = 5) -> DataFrame:
+    """(id, level, parent): communities by label propagation, contracted and grouped again until one block or no edge is left."""
+    out, at, e = None, nodes.select("id"), edges
+    for k in range(levels):
+        b = label_propagation(at, e, rounds).checkpoint()
+        step = b.select("id", F.lit(k).alias("level"), F.col("block").alias("parent"))
+        out = step if out is None else out.unionByName(step)
+        nxt = b.select(F.col("block").alias("id")).distinct().checkpoint()
+        if nxt.count() in (1, at.count()):
+            break
+        e, at = contracted(e, b).checkpoint(), nxt
+    return out
+
+
+def greedy_blocks(edges: DataFrame, component: DataFrame, size: int) -> DataFrame:
+    """(id, block): nodes taken one by one, next the one with most neighbours in the open block (smallest id on ties). Sequential inside each connected part."""
+    e = both_ways(edges).join(component.select(F.col("id").alias("src"), "component"), "src")
+
+    def one(pdf):
+        import pandas as pd
+
+        adj: dict[int, set[int]] = {}
+        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+            adj.setdefault(int(a), set()).add(int(b))
+        free, out, block = set(adj), [], []
+        near: dict[int, int] = {}
+        while free:
+            if len(block) == size:
+                out.append(block)
+                block, near = [], {}
+            x = min(near, key=lambda v: (-near[v], v)) if near else min(free)
+            free.discard(x)
+            near.pop(x, None)
+            block.append(x)
+            for y in adj[x] & free:
+                near[y] = near.get(y, 0) + 1
+        out.append(block)
+        return pd.DataFrame([(v, min(b)) for b in out for v in b], columns=["id", "block"])
+
+    return e.groupBy("component").applyInPandas(one, "id long, block long")

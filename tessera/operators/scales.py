@@ -183,3 +183,38 @@ def rank_normalised(df: DataFrame, column: str, key: str, by: list[str], out: st
 
 def combined(p: Column, s: Column, how: str) -> Column:
     return {"max": F.greatest(p, s), "weighted": 0.6 * p + 0.4 * s, "two_stage": p + 0.3 * s}[how]
+
+
+def gradient_shift(cells: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, d_gradient): norm of the difference of forward differences over the norm of the first's. Columns r, c."""
+    row, col = Window.partitionBy(*by, "r").orderBy("c"), Window.partitionBy(*by, "c").orderBy("r")
+    step = lambda x, w: F.coalesce(F.lead(x).over(w) - F.col(x), F.lit(0.0))
+    g = cells.select(*by, *[step(x, w).alias(f"{k}{j}") for k, x in (("a", a), ("b", b)) for j, w in enumerate((row, col))])
+    diff = F.sqrt(F.sum((F.col("a0") - F.col("b0")) ** 2 + (F.col("a1") - F.col("b1")) ** 2))
+    return g.groupBy(*by).agg((diff / (F.sqrt(F.sum(F.col("a0") ** 2 + F.col("a1") ** 2)) + 1e-12)).alias("d_gradient"))
+
+
+def sign_cancellation(df: DataFrame, by: list[str], delta: str) -> DataFrame:
+    """(by, d_sign): |mean delta| over mean |delta|: 1 for one-sided changes, 0 for balanced ones."""
+    return df.groupBy(*by).agg((F.abs(F.avg(delta)) / (F.avg(F.abs(delta)) + 1e-12)).alias("d_sign"))
+
+
+def ssim(cells: DataFrame, a: str, b: str, side: int, sigma: float = 1.5, span: float = 1.0) -> DataFrame:
+    """One row: 1 - mean structural similarity of two grids with Gaussian windows."""
+    w = gaussian_weights(cells.sparkSession, side, sigma, 1)
+    x = cells.select("r", "c", F.col(a).alias("a"), F.col(b).alias("b"))
+    parts = {"ma": "a", "mb": "b", "qa": "a * a", "qb": "b * b", "ab": "a * b"}
+    one = x.join(F.broadcast(w), F.col("r") == F.col("fine")).groupBy(F.col("coarse").alias("r"), "c").agg(*[F.sum(F.expr(e) * F.col("w")).alias(k) for k, e in parts.items()])
+    two = one.join(F.broadcast(w), F.col("c") == F.col("fine")).groupBy("r", F.col("coarse").alias("c")).agg(*[F.sum(F.col(k) * F.col("w")).alias(k) for k in parts])
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    m = F.col("ma") * F.col("mb")
+    s = (2 * m + c1) * (2 * (F.col("ab") - m) + c2) / ((F.col("ma") ** 2 + F.col("mb") ** 2 + c1) * (F.col("qa") - F.col("ma") ** 2 + F.col("qb") - F.col("mb") ** 2 + c2))
+    return two.agg((1 - F.avg(s)).alias("d_ssim"))
+
+
+def projected(cells: DataFrame, keys: list[str], channel: str, value: str, k: int, seed: int = 0) -> DataFrame:
+    """(keys, p, v): k random unit-scale projections of vector cells; weights follow from the channel and the seed."""
+    from ..sources.fields import normal
+
+    p = cells.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return p.groupBy(*keys, "p").agg(F.sum(F.col(value) * normal(seed, "p", channel)).alias("v"))

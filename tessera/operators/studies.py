@@ -189,3 +189,34 @@ def mean_pairwise_ari(df: DataFrame, partitions: list[str]) -> float:
     pairs = [(a, b) for i, a in enumerate(partitions) for b in partitions[:i]]
     vals = [evaluation.adjusted_rand(df, a, b).first()["ari"] for a, b in pairs]
     return sum(vals) / len(vals)
+
+
+def policies(df: DataFrame, step: int, seed: int, last: str, variance: str, key: str) -> DataFrame:
+    """Scores of probe policies: ``uniform`` (hash), ``age`` (steps since the last visit), ``uncert`` (variance)."""
+    from ..sources.fields import uniform
+
+    return df.withColumns({"uniform": uniform(seed + step, key), "age": F.lit(step) - F.col(last), "uncert": F.col(variance)})
+
+
+def gap_statistic(df: DataFrame, features: list[str], ks: list[int], refs: int = 3, seed: int = 1) -> list[tuple[int, float]]:
+    """(k, gap): mean log cost of k-means on uniform references in the same box minus that of the data."""
+    import math
+
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..sources.fields import uniform
+
+    box = df.agg(*[F.min(c).alias(f"a_{c}") for c in features], *[F.max(c).alias(f"b_{c}") for c in features]).first()
+    x = df.select(*features).withColumn("_i", F.monotonically_increasing_id()).checkpoint()
+    put = VectorAssembler(inputCols=features, outputCol="features")
+
+    def cost(d, k):
+        return math.log(max(KMeans(k=k, seed=seed).fit(put.transform(d)).summary.trainingCost, 1e-12))
+
+    fakes = [x.select(*[(box[f"a_{c}"] + (box[f"b_{c}"] - box[f"a_{c}"]) * uniform(seed + 31 * r + j, "_i")).alias(c) for j, c in enumerate(features)]) for r in range(refs)]
+    return [(k, sum(cost(f, k) for f in fakes) / refs - cost(x, k)) for k in ks]
+
+
+def composite(auc: Column, least: Column, effect: Column) -> Column:
+    return 0.4 * auc + 0.3 * least + 0.3 * F.least(effect / 2, F.lit(1.0))

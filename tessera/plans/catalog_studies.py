@@ -102,9 +102,9 @@ def win_rates(spark, d):
     return studies.win_rates(_runs(spark, d), ["pt", "pattern", "early"], "variant", "cost").select("variant", "wins", *_r("rate"))
 
 
-@query("break_even", RUNS + ", r AS (SELECT pattern, pt, avg(CASE WHEN cost < 40 THEN 1.0 ELSE 0.0 END) AS rate FROM runs GROUP BY ALL) SELECT pattern, max(pt) AS pt FROM r WHERE rate > 0.5 GROUP BY pattern")
+@query("break_even", RUNS + ", r AS (SELECT pattern, pt, avg(CASE WHEN cost < 60 THEN 1.0 ELSE 0.0 END) AS rate FROM runs GROUP BY ALL) SELECT pattern, max(pt) AS pt FROM r WHERE rate > 0.5 GROUP BY pattern")
 def break_even(spark, d):
-    return studies.break_even(_runs(spark, d).withColumn("won", F.col("cost") < 40), "pattern", "pt", "won")
+    return studies.break_even(_runs(spark, d).withColumn("won", F.col("cost") < 60), "pattern", "pt", "won")
 
 
 @query("verdicts", RUNS + ", m AS (SELECT variant, median(cost/38-1) AS overhead FROM runs GROUP BY variant) SELECT variant, round(overhead,6) AS overhead, CASE WHEN overhead <= 0 THEN 'PASS' WHEN overhead <= 0.2 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM m")
@@ -202,3 +202,59 @@ def idempotence(spark, d):
     one = scales.separable(c, down, "gt", True).checkpoint()
     two = scales.separable(scales.separable(one, up, "v", False), down, "v", True).withColumnRenamed("v", "w")
     return one.join(two, ["r", "c"]).agg((F.sqrt(F.sum((F.col("v") - F.col("w")) ** 2)) / F.sqrt(F.sum(F.col("v") ** 2))).alias("gap"))
+
+
+@query("gradient_shift", CELL + """, g AS (SELECT unit, coalesce(lead(gt) OVER a - gt,0) AS a0, coalesce(lead(gt) OVER b - gt,0) AS a1, coalesce(lead(gt*0.9+r*0.01) OVER a - (gt*0.9+r*0.01),0) AS b0, coalesce(lead(gt*0.9+r*0.01) OVER b - (gt*0.9+r*0.01),0) AS b1 FROM cell WINDOW a AS (PARTITION BY unit, r ORDER BY c), b AS (PARTITION BY unit, c ORDER BY r))
+ SELECT unit, round(sqrt(sum((a0-b0)**2+(a1-b1)**2))/(sqrt(sum(a0**2+a1**2))+1e-12),6) AS d_gradient FROM g GROUP BY unit""")
+def gradient_shift(spark, d):
+    c = _sales(spark, d).withColumn("s", F.col("gt") * 0.9 + F.col("r") * 0.01)
+    return scales.gradient_shift(c, ["unit"], "gt", "s").select("unit", *_r("d_gradient"))
+
+
+@query("sign_cancellation", CELL + " SELECT unit, round(abs(avg(gt-coarse+0.1))/(avg(abs(gt-coarse+0.1))+1e-12),6) AS d_sign FROM cell GROUP BY unit")
+def sign_cancellation(spark, d):
+    c = _sales(spark, d).withColumn("x", F.col("gt") - F.col("coarse") + 0.1)
+    return scales.sign_cancellation(c, ["unit"], "x").select("unit", *_r("d_sign"))
+
+
+@query("ssim")
+def ssim(spark, d):
+    return scales.ssim(_sales(spark, d), "gt", "coarse", SIDE, span=5.0).select(*_r("d_ssim"))
+
+
+@query("community_contract", UND + " SELECT DISTINCT least(a.community, b.community) AS src, greatest(a.community, b.community) AS dst FROM und JOIN vert a ON a.id = und.src JOIN vert b ON b.id = und.dst WHERE a.community <> b.community")
+def community_contract(spark, d):
+    v, e = _und(spark, d)
+    return graphs.contracted(e, v.select("id", F.col("community").alias("block")))
+
+
+@query("community_tree")
+def community_tree(spark, d):
+    v, e = _und(spark, d)
+    return graphs.community_tree(v.select("id"), e, 3, 3)
+
+
+@query("greedy_blocks")
+def greedy_blocks(spark, d):
+    v, e = _und(spark, d)
+    return graphs.greedy_blocks(e, graphs.components(v.select("id"), e), 32)
+
+
+@query("projected_seam")
+def projected_seam(spark, d):
+    p = scales.projected(spaces.vector_cells(spark, d), ["r", "c"], "d", "gt", 1, 5)
+    box = spaces.vector_cells(spark, d).groupBy("unit").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("r") + 1).alias("r1"), (F.max("c") + 1).alias("c1"))
+    return units.seam(p, box, 1, "v").select("unit", *_r("seam", n=5))
+
+
+@query("tree_activation", "SELECT i AS id, i%8 = 0 AND i < 8*32 AS active FROM range(256) g(i)")
+def tree_activation(spark, d):
+    from ..sources.generators import tree_activation as activation
+
+    return activation(spark, 256, 32, "frontier")
+
+
+@query("probe_policies", "SELECT user_id, CAST(31 - max(day(ts)) AS INT) AS age, round(var_pop(value),5) AS uncert FROM events GROUP BY user_id")
+def probe_policies(spark, d):
+    g = table(spark, d, "events").groupBy("user_id").agg(F.max(F.dayofmonth("ts")).alias("last"), F.var_pop("value").alias("v"))
+    return studies.policies(g, 31, 1, "last", "v", "user_id").select("user_id", "age", *_r("uncert", n=5))

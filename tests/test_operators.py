@@ -218,3 +218,48 @@ def test_streams_equal_tables(spark, tmp_path):
     got = sorted(map(tuple, spark.sql("select node, step, trigger from deb").collect()))
     want = sorted(map(tuple, states.debounce(rows, "node", "step", "sig").select("node", F.col("step").cast("long"), "trigger").collect()))
     assert got == want
+
+
+def test_preferential_attachment_has_hubs(spark):
+    from tessera.sources import generators
+
+    e = generators.preferential_attachment(spark, 300, 2, 1)
+    d = graphs.degrees(e).agg(F.max("degree").alias("m"), F.avg("degree").alias("a")).first()
+    assert e.where("src >= dst").count() == 0 and d["m"] > 4 * d["a"]
+    assert generators.clustered_hubs(spark, 200, 4, 2, 5).where("dst >= 200").count() == 0
+    assert generators.rewired(spaces.lattice_edges(spark, 6), 36, 0.3).count() > 30
+
+
+def test_edge_list_and_images(spark, tmp_path):
+    import struct
+
+    from tessera.sources import generators
+
+    (tmp_path / "g.txt").write_text("# graph\n1 2\n2 1 5\n3,4\n\n4 4\n")
+    assert {tuple(r) for r in generators.edge_list(spark, str(tmp_path / "g.txt")).collect()} == {(1, 2), (3, 4)}
+    px = bytes([0, 0, 255, 255, 255, 255, 0, 0]) + bytes([0, 0, 0, 0, 255, 0, 0, 0])
+    bmp = b"BM" + struct.pack("<IHHI", 54 + len(px), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, len(px), 0, 0, 0, 0) + px
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "a.bmp").write_bytes(bmp)
+    got = {(r["r"], r["c"]): round(r["gt"], 3) for r in generators.gray_images(spark, str(tmp_path / "i")).collect()}
+    assert got == {(0, 0): 0.0, (0, 1): 0.587, (1, 0): 0.299, (1, 1): 1.0}
+
+
+def test_greedy_blocks_cover_and_stay_small(spark):
+    e = spaces.lattice_edges(spark, 6)
+    out = graphs.greedy_blocks(e, graphs.components(spark.range(36), e), 9)
+    assert out.count() == 36 and out.groupBy("block").count().agg(F.max("count")).first()[0] <= 9
+
+
+def test_ssim_of_equal_grids_is_zero(spark):
+    c = grid4(spark)
+    assert scales.ssim(c, "gt", "gt", 4).first()["d_ssim"] == pytest.approx(0, abs=1e-9)
+    assert scales.ssim(c, "gt", "coarse", 4).first()["d_ssim"] > 0.01
+
+
+def test_gap_prefers_the_number_of_groups(spark):
+    from tessera.operators import studies
+
+    pts = spark.range(60).select((F.col("id") % 3 * 10 + fields.uniform(1, "id")).alias("x"), (F.col("id") % 3 * 7 + fields.uniform(2, "id")).alias("y"))
+    gaps = dict(studies.gap_statistic(pts, ["x", "y"], [2, 3], refs=2))
+    assert gaps[3] > gaps[2]
