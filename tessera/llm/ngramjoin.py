@@ -16,7 +16,8 @@ partners that it shares most segments with; these pairs are verified and connect
 Dense sketches, folded to one size, turn most false pairs away before the sets meet.
 What is left are buckets whose members lie in several components. Their cross pairs
 are listed exactly: few at once as pairs, many after a Hamming filter on folded dense
-sketches, and buckets with very many are keyed anew by segments of another hash.
+sketches (twice a spanning forest of what passes, verified and connected, then all
+that still passes), and buckets with very many are keyed anew by another hash.
 Pairs of one component need no look. Every listed pair is verified on the sets.
 
 Tasks hold at most ``HELD`` members of a bucket; nothing is collected to the driver.
@@ -134,10 +135,10 @@ def _runs(at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _dense(x: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Parity sketches of 2**j >= max(128, size) bits; a larger one folds to a smaller one by XOR of its parts."""
+    """Parity sketches of 2**j >= max(256, 2 * size) bits; a larger one folds to a smaller one by XOR of its parts."""
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        bits = 1 << max(7, int(b - a - 1).bit_length())
+        bits = 1 << max(8, int(2 * (b - a) - 1).bit_length())
         p = (x[a:b] & _U(bits - 1)).astype(np.int64)
         out.append(np.packbits((np.bincount(p, minlength=bits) & 1).astype(bool), bitorder="little").tobytes())
     return out
@@ -318,34 +319,53 @@ def _fold(blob: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(a, axis=0)
 
 
-def _filtered(num: int, den: int):
+def _filtered(num: int, den: int, forest: bool):
     """Cross pairs of large buckets that pass the size and Hamming filters; columns key, rid, comp, n, dense, sorted by key.
 
-    Blocks of ``HELD // 50`` members meet all members held so far, so memory is that of the sketches.
+    ``forest``: only pairs that join parts of the bucket which no pair so far has joined,
+    fewer than it has members; else all.
     """
 
-    def passing(a, b):
-        (ra, ca, na, da), (rb, cb, nb, db) = a, b
+    def near(a, b):
+        (ca, na, da), (cb, nb, db) = a, b
         small, large = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
-        ok = (ca[:, None] != cb[None]) & (num * large <= den * small)
-        i, j = np.nonzero(ok)
+        i, j = np.nonzero((ca[:, None] != cb[None]) & (num * large <= den * small))
         for s in range(0, len(i), 1 << 16):
             p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             ham = np.bitwise_count(da[p] ^ db[q]).sum(axis=1, dtype=np.int64)
             w = ham * (den + num) <= (na[p] + nb[q]) * (den - num)
-            x, y = ra[p[w]], rb[q[w]]
-            if len(x):
-                yield np.minimum(x, y), np.maximum(x, y)
+            yield p[w], q[w]
 
     def bucket(rows):
         rid, comp, n = (np.array([r[i] for r in rows]) for i in range(3))
         size = min(len(r[3]) for r in rows)
-        dense = np.stack([_fold(r[3], size) for r in rows])
-        for a in range(0, len(rows), 2000):
-            for b in range(a, len(rows), 2000):
-                one, two = (tuple(z[s : s + 2000] for z in (rid, comp, n, dense)) for s in (a, b))
-                for x, y in passing(one, two):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+        dense = np.stack([_fold(r[3], size) for r in rows]).view(np.uint64)
+        up: dict[int, int] = {}
+
+        def find(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for a in range(0, len(rows), 1000):
+            for b in range(a, len(rows), 1000):
+                one, two = (tuple(z[s : s + 1000] for z in (comp, n, dense)) for s in (a, b))
+                for p, q in near(one, two):
+                    p, q = p + a, q + b
+                    if forest:
+                        keep = []
+                        for k, (x, y) in enumerate(zip(comp[p].tolist(), comp[q].tolist(), strict=True)):
+                            x, y = find(x), find(y)
+                            if x != y:
+                                up[max(x, y)] = min(x, y)
+                                keep.append(k)
+                        p, q = p[keep], q[keep]
+                    if len(p):
+                        x, y = rid[p], rid[q]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+                if forest and up:
+                    comp = np.array([find(c) for c in comp.tolist()])
 
     def run(batches):
         key, rows = None, []
@@ -471,10 +491,14 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         load = load.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
         huge = written(load.where(F.col("p") > FILTERED).select("key")) if level < 3 else None
         here = many if huge is None else many.join(huge, "key", "left_anti")
-        here = _labelled(here, comps).join(dense, "rid")
-        near = here.select("key", "rid", "comp", "n", "dense").repartition("key").sortWithinPartitions("key").mapInArrow(_filtered(num, den), "x long, y long")
-        pairs = written(pairs.union(near).distinct())
-        links = links.union(verified(pairs))
+        here = written(here.join(dense, "rid").select("key", "rid", "n", "dense"))
+        for forest in (True, True, False):
+            rows = _labelled(here, comps).select("key", "rid", "comp", "n", "dense").repartition("key").sortWithinPartitions("key", "rid")
+            near = rows.mapInArrow(_filtered(num, den, forest), "x long, y long")
+            links = links.union(verified(written(pairs.union(near).distinct())))
+            if forest:
+                comps = written(components(links))
+                pairs = pairs.limit(0)
         if huge is None or huge.isEmpty():
             break
         more = many.join(huge, "key")
@@ -493,3 +517,15 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 def op5_ngram_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return link_components(docs, shingle=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x : x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 4) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (WITH RECURSIVE z AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.b, z.root FROM z JOIN e ON e.a = z.id) SELECT id, min(root) AS root FROM z GROUP BY id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id FROM w JOIN r ON r.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_ngram_join": ngramjoin.OP5_SQL,
     "op7_chat": chat.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
     "op10_exact_dedup": exactdedup.OP10_SQL,
