@@ -89,12 +89,12 @@ def kill_criteria(spark, d):
     return studies.kill_criteria(_cases(spark, d), "s", "pos", "level").select(*_r("auc", "d"))
 
 
-RUNS = "runs AS (SELECT l_orderkey%50 AS pt, l_shipdate < TIMESTAMP '1995-01-01' AS early, l_linenumber AS variant, l_returnflag AS pattern, round(avg(l_extendedprice)/1000,4) AS cost FROM lineitem GROUP BY ALL)"
+RUNS = "runs AS (SELECT l_orderkey%50 AS pt, l_shipdate < TIMESTAMP '1995-01-01' AS early, l_linenumber AS variant, l_returnflag AS pattern, round(avg(l_extendedprice)/1000,8) AS cost FROM lineitem GROUP BY ALL)"
 
 
 def _runs(spark, d):
     li = table(spark, d, "lineitem")
-    return li.groupBy((F.col("l_orderkey") % 50).alias("pt"), (F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")).alias("early"), F.col("l_linenumber").alias("variant"), F.col("l_returnflag").alias("pattern")).agg(F.round(F.avg("l_extendedprice") / 1000, 4).alias("cost"))
+    return li.groupBy((F.col("l_orderkey") % 50).alias("pt"), (F.col("l_shipdate") < F.lit("1995-01-01").cast("timestamp")).alias("early"), F.col("l_linenumber").alias("variant"), F.col("l_returnflag").alias("pattern")).agg(F.round(F.avg("l_extendedprice") / 1000, 8).alias("cost"))
 
 
 @query("win_rates", RUNS + ", b AS (SELECT variant, row_number() OVER (PARTITION BY pt, pattern, early ORDER BY cost, variant) AS k FROM runs) SELECT variant, count(*) AS wins, round(count(*)/sum(count(*)) OVER (),6) AS rate FROM b WHERE k = 1 GROUP BY variant")
@@ -118,10 +118,10 @@ def ridge_width(spark, d):
     return studies.ridge(g, "s", "x").select(*_r("best", "share", "width"))
 
 
-@query("run_summary", RUNS + " SELECT pattern, variant, count(*) AS n, round(avg(cost),5) AS mean, round(quantile_cont(cost,0.5),5) AS p50, round(quantile_cont(cost,0.9),5) AS p90, round(max(cost),5) AS most FROM runs GROUP BY ALL")
+@query("run_summary", RUNS + " SELECT pattern, variant, count(*) AS n, round(avg(cost),8) AS mean, round(quantile_cont(cost,0.5),8) AS p50, round(quantile_cont(cost,0.9),8) AS p90, round(max(cost),8) AS most FROM runs GROUP BY ALL")
 def run_summary(spark, d):
     g = _runs(spark, d).groupBy("pattern", "variant").agg(F.count("*").alias("n"), F.avg("cost").alias("mean"), F.percentile("cost", 0.5).alias("p50"), F.percentile("cost", 0.9).alias("p90"), F.max("cost").alias("most"))
-    return g.select("pattern", "variant", "n", *_r("mean", "p50", "p90", "most", n=5))
+    return g.select("pattern", "variant", "n", *_r("mean", "p50", "p90", "most", n=8))
 
 
 @query("local_update", RHO + ", m AS (SELECT median(rho) AS m FROM rho) SELECT unit, round(rho,6) AS rho FROM rho, m WHERE unit%5 = 0 OR rho >= m ORDER BY rho.rho DESC, unit LIMIT 12")
