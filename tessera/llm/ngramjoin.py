@@ -43,6 +43,8 @@ from .textscan import Scanner, chunks, mix64, ngrams, utf8
 BAND = 1.4
 #: Cross pairs of a bucket that are listed without the filter, with it, and members a task holds.
 PLAIN, FILTERED, HELD = 64, 4_000_000, 100_000
+#: Bytes of the sketches that the spanning forests of large buckets compare; what is left meets the whole sketches.
+BRIEF = 64
 #: Partners of a set that are verified before buckets are listed: at most one of each 64th of the partners, the best of these.
 LEADS = 3
 _U = np.uint64
@@ -144,6 +146,13 @@ def _dense(x: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
+def _brief(batches):
+    """rid, n and the dense sketch folded to ``BRIEF`` bytes at most."""
+    for b in batches:
+        short = [_fold(x, min(len(x), BRIEF)).tobytes() for x in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(short, pa.binary())], names=["rid", "n", "dense"])
+
+
 def _profile(num: int, den: int, k: int):
     """doc_id, n, h1, h2 and the segments (32 bits each, for the set's band, then for the band below if it reaches there)."""
 
@@ -481,6 +490,7 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     comps = written(components(links))
     release(spark)
 
+    brief = written(dense.mapInArrow(_brief, "rid long, n long, dense binary"))
     rows = keys_of(involved)
     for level in range(4):
         rows = _labelled(rows, comps).select("key", "rid", "comp")
@@ -491,9 +501,9 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         load = load.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
         huge = written(load.where(F.col("p") > FILTERED).select("key")) if level < 3 else None
         here = many if huge is None else many.join(huge, "key", "left_anti")
-        here = written(here.join(dense, "rid").select("key", "rid", "n", "dense"))
-        for forest in (True, True, False):
-            rows = _labelled(here, comps).select("key", "rid", "comp", "n", "dense").repartition("key").sortWithinPartitions("key", "rid")
+        for sketches, forest in ((brief, True), (brief, True), (dense, False)):
+            rows = _labelled(here, comps).join(sketches, "rid").select("key", "rid", "comp", "n", "dense")
+            rows = rows.repartition("key").sortWithinPartitions("key", "rid")
             near = rows.mapInArrow(_filtered(num, den, forest), "x long, y long")
             links = links.union(verified(written(pairs.union(near).distinct())))
             if forest:
