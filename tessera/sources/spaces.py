@@ -57,18 +57,19 @@ def depth_of(node: Column) -> Column:
     return F.length(F.bin(node + 1)) - 1
 
 
-def tree_nodes(spark: SparkSession, sf_dir: str, nodes: int = 1023, unit_depth: int = 3) -> DataFrame:
-    """Binary heap over order keys: id, parent, depth, gt (total price in hundred thousands), unit (ancestor at the unit depth), coarse.
+def tree_nodes(spark: SparkSession, sf_dir: str, unit_depth: int = 3) -> DataFrame:
+    """Binary heap over the keys of all orders: id, parent, depth, gt (total price in hundred thousands), unit (ancestor at the unit depth), coarse.
 
     Coarse is the own value above the unit depth, else the mean of the subtree of the ancestor one level above it.
     """
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") < nodes)
+    o = table(spark, sf_dir, "orders")
     t = o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("gt")).withColumn("depth", depth_of(F.col("id")))
     up = lambda d: F.expr(f"CAST(shiftright(id + 1, depth - {d}) - 1 AS BIGINT)")
     t = t.withColumn("parent", F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 2)).cast("long"))
     t = t.withColumn("unit", F.when(F.col("depth") >= unit_depth, up(unit_depth))).withColumn("top", F.when(F.col("depth") >= unit_depth - 1, up(unit_depth - 1)))
-    mean = F.avg("gt").over(Window.partitionBy("top"))
-    return t.withColumn("coarse", F.when(F.col("depth") < unit_depth, F.col("gt")).otherwise(mean)).select("id", "parent", "depth", "unit", "gt", "coarse")
+    mean = t.where("top IS NOT NULL").groupBy("top").agg(F.avg("gt").alias("mean"))
+    t = t.join(F.broadcast(mean), "top", "left")  # one row for each node of the level above the unit depth
+    return t.withColumn("coarse", F.when(F.col("depth") < unit_depth, F.col("gt")).otherwise(F.col("mean"))).select("id", "parent", "depth", "unit", "gt", "coarse")
 
 
 def knn_edges(points: DataFrame, k: int, cell: float | None = None) -> DataFrame:
