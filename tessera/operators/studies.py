@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluation, graphs
 from .select import top_k
 
+#: Edges that the driver may hold: two arrays of eight bytes an edge each way.
+LOCAL_EDGES = 2_000_000
+
 
 def probe_health(gains: DataFrame, gain: str, share: float = 0.1) -> DataFrame:
     """One row: median gain of the probes and the share of gains below ``share`` of it."""
@@ -138,22 +144,135 @@ def kmeans(df: DataFrame, features: list[str], k: int, seed: int = 1) -> tuple[D
     return out.select(*df.columns, "cluster"), score
 
 
-def spectral_gap(nodes: DataFrame, edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """One row: lambda2 of the Laplacian by power iteration on c - L with the constant part removed, largest degree, and 1 / (1 + 10 * lambda2 / d_max)."""
-    d = graphs.degrees(edges)
-    n = nodes.select("id").join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).checkpoint()
+def spectral_gap(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES, tolerance: float = 1e-9) -> DataFrame:
+    """One row: lambda2 of the Laplacian, largest degree, and 1 / (1 + 10 * lambda2 / d_max).
+
+    lambda2 is 0 for a graph of several components and null below two nodes. Else Lanczos steps with the constant
+    part removed go on until the residual norm of (L x - lambda x) is at most ``tolerance`` times 2 * d_max. Up to
+    ``local`` edges they run on the driver, beyond it each is a plan over the nodes and the driver holds three
+    numbers a step; both take as many steps as it needs.
+    """
+    spark = nodes.sparkSession
+    e = edges.select("src", "dst").checkpoint()
+    n = nodes.select("id").join(graphs.degrees(e), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).checkpoint()
     top = n.agg(F.max("degree").alias("m"), F.count("*").alias("n")).first()
-    c, e = 2.0 * max(top["m"] or 0, 1), graphs.both_ways(edges).checkpoint()
-    x = n.select("id", "degree", (F.sin(F.col("id") * 12.9898) * 1.0).alias("x"))
-    lam = None
-    for k in range(rounds):
-        m = x.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-        x = x.join(F.broadcast(m)).select("id", "degree", F.coalesce(F.try_divide(F.col("x") - F.col("m"), F.col("s")), F.lit(0.0)).alias("x"))  # one row
-        near = e.join(x.select(F.col("id").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("x").alias("near"))
-        y = x.join(near, "id", "left").select("id", "degree", "x", (F.col("degree") * F.col("x") - F.coalesce("near", F.lit(0.0))).alias("lx")).checkpoint()
-        lam = y.agg(F.try_divide(F.sum(F.col("x") * F.col("lx")), F.sum(F.col("x") * F.col("x"))).alias("lambda2"))
-        x = y.select("id", "degree", (c * F.col("x") - F.col("lx")).alias("x"))
-    return lam.select("lambda2", F.lit(int(top["m"] or 0)).alias("d_max"), (1 / (1 + 10 * F.col("lambda2") / max(top["m"] or 0, 1))).alias("gap"))
+    most, lam = int(top["m"] or 0), None
+    if top["n"] > 1:
+        lam = 0.0
+        if e.count() <= local:
+            m, s, t = _indexed(n, e)
+            if _connected(m.size, s, t):
+                lam = lowest_ritz(_local_steps(m, s, t), 2.0 * most, tolerance)
+        elif graphs.components(n, e).select("component").distinct().count() == 1:
+            lam = lowest_ritz(_spread_steps(n, e), 2.0 * most, tolerance)
+    gap = None if lam is None else 1 / (1 + 10 * lam / max(most, 1))
+    return spark.createDataFrame([(lam, most, gap)], "lambda2 double, d_max int, gap double")
+
+
+def lowest_ritz(steps: Iterator[tuple[float, float]], scale: float, tolerance: float) -> float:
+    """The smallest eigenvalue from (alpha, beta) of Lanczos steps, taken until its residual is at most tolerance * scale.
+
+    Without reorthogonalisation eigenvalues that were found may come again, which leaves the smallest as it is.
+    """
+    a: list[float] = []
+    b: list[float] = []
+    look = 4
+    for alpha, beta in steps:
+        a.append(alpha)
+        whole = beta <= 1e-13 * scale  # the steps have spanned all that the start holds
+        if whole or len(a) >= look:
+            value, last = _lowest(a, b, scale)
+            if whole or beta * last <= tolerance * scale:
+                return value
+            look = len(a) + max(1, len(a) // 5)
+        b.append(beta)
+    raise ValueError("no steps")
+
+
+def _lowest(a: list[float], b: list[float], scale: float) -> tuple[float, float]:
+    """Smallest eigenvalue of a positive tridiagonal matrix, and the last entry of its unit vector: bisection, then inverse iteration from just below."""
+
+    def pivots(s):
+        d = [a[0] - s]
+        for x, y in zip(a[1:], b, strict=True):
+            if d[-1] <= 0:
+                return None
+            d.append(x - s - y * y / d[-1])
+        return d if d[-1] > 0 else None
+
+    lo, hi = -1e-6 * scale, min(a) + 1e-12 * scale
+    while hi - lo > 1e-15 * scale and lo < (mid := (lo + hi) / 2) < hi:
+        lo, hi = (lo, mid) if pivots(mid) is None else (mid, hi)
+    d = pivots(lo)
+    v = [(-1.0) ** k for k in range(len(a))]  # the signs of that vector, as all of b are positive
+    for _ in range(4):
+        for k in range(1, len(v)):
+            v[k] -= b[k - 1] / d[k - 1] * v[k - 1]
+        v[-1] /= d[-1]
+        for k in range(len(v) - 2, -1, -1):
+            v[k] = (v[k] - b[k] * v[k + 1]) / d[k]
+        size = math.sqrt(sum(x * x for x in v))
+        v = [x / size for x in v]
+    return lo, abs(v[-1])
+
+
+def _indexed(n: DataFrame, e: DataFrame) -> tuple:
+    """Ids in order, and the ends of the edges both ways as places in them."""
+    import numpy as np
+
+    ids = np.sort(n.select("id").toPandas()["id"].to_numpy())
+    p = e.toPandas()
+    s, t = (np.searchsorted(ids, p[c].to_numpy()) for c in ("src", "dst"))
+    return ids, np.concatenate([s, t]), np.concatenate([t, s])
+
+
+def _connected(n: int, s, t) -> bool:
+    import numpy as np
+
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, low[s], low[t])  # a group's head takes the smallest head next to the group
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[low]
+        if (new == low).all():
+            return bool((low == 0).all())
+        low = new
+
+
+def _local_steps(ids, s, t) -> Iterator[tuple[float, float]]:
+    import numpy as np
+
+    degree = np.bincount(s, minlength=len(ids))
+    v, old, beta = np.sin(ids * 12.9898), np.zeros(len(ids)), 0.0
+    v -= v.mean()
+    v /= np.linalg.norm(v)
+    while True:
+        w = degree * v - np.bincount(s, weights=v[t], minlength=len(ids)) - beta * old
+        alpha = float(w @ v)
+        w -= alpha * v
+        w -= w.mean()
+        beta = float(np.linalg.norm(w))
+        yield alpha, beta
+        v, old = w / beta, v
+
+
+def _spread_steps(n: DataFrame, e: DataFrame) -> Iterator[tuple[float, float]]:
+    both = graphs.both_ways(e).checkpoint()
+    x = n.select("id", "degree", F.sin(F.col("id") * 12.9898).alias("w"), F.lit(0.0).alias("v")).checkpoint()
+    beta = None
+    while True:
+        m = x.agg(F.avg("w").alias("m"), F.stddev_pop("w").alias("s"), F.count("*").alias("n")).first()
+        size = m["s"] * math.sqrt(m["n"])
+        if beta is not None:
+            yield alpha, size
+        beta = 0.0 if beta is None else size
+        v = x.select("id", "degree", ((F.col("w") - m["m"]) / size).alias("v"), F.col("v").alias("old"))
+        near = both.join(v.select(F.col("id").alias("dst"), F.col("v").alias("o")), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("o").alias("near"))
+        y = v.join(near, "id", "left").select("id", "degree", "v", (F.col("degree") * F.col("v") - F.coalesce("near", F.lit(0.0)) - beta * F.col("old")).alias("w")).checkpoint()
+        alpha = y.agg(F.sum(F.col("v") * F.col("w")).alias("a")).first()["a"]
+        x = y.select("id", "degree", (F.col("w") - alpha * F.col("v")).alias("w"), "v")
 
 
 def hybrid_curvature(edges: DataFrame, most: int) -> DataFrame:

@@ -186,7 +186,7 @@ def kmeans_clusters(spark, d):
 @query("spectral_gap")
 def spectral_gap(spark, d):
     v, e = _und(spark, d)
-    return studies.spectral_gap(v.select("id"), e, 12)
+    return studies.spectral_gap(v.select("id"), e)
 
 
 @query("hybrid_curvature")
