@@ -157,20 +157,41 @@ def topology_boost(units: DataFrame, rho: str = "rho", curvature: float = 0.3, h
     return units.withColumn("boosted", F.col(rho) * f)
 
 
-def bfs_blocks(nodes: DataFrame, edges: DataFrame, start: int, size: int, rounds: int = 64) -> DataFrame:
-    """(id, level, block): breadth-first levels from a node, nodes numbered by level then id, cut into blocks; unreached nodes come last."""
-    seen = nodes.where(F.col("id") == start).select("id", F.lit(0).alias("level")).checkpoint()
-    e = both_ways(edges)
-    for k in range(1, rounds):
-        nxt = seen.where(F.col("level") == k - 1).join(e.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id")).distinct()
-        nxt = nxt.join(seen, "id", "left_anti").select("id", F.lit(k).alias("level")).checkpoint()
+def bfs_levels(seeds: DataFrame, e: DataFrame) -> tuple[DataFrame, int]:
+    """(id, level) of all nodes that the seeds reach, and the number of levels. ``e``: id, dst both ways; a level's neighbours lie in it or next to it."""
+    near = seeds.select("id", F.lit(0).alias("level")).checkpoint()
+    seen, last, k = near, near.limit(0), 1
+    while True:
+        nxt = near.join(e, "id").select(F.col("dst").alias("id")).distinct()
+        nxt = nxt.join(near.unionByName(last), "id", "left_anti").select("id", F.lit(k).alias("level")).checkpoint()
         if nxt.isEmpty():
-            break
-        seen = seen.unionByName(nxt)
-    x = nodes.select("id").join(seen, "id", "left").withColumn("level", F.coalesce("level", F.lit(rounds)))
+            return seen, k
+        seen, near, last = seen.unionByName(nxt), nxt, near
+        k += 1
+        if k % 32 == 0:
+            seen = seen.checkpoint()
+
+
+def bfs_blocks(nodes: DataFrame, edges: DataFrame, start: int, size: int) -> DataFrame:
+    """(id, level, block): breadth-first levels, nodes numbered by component, level and id, cut into blocks.
+
+    The component of ``start`` comes first and begins there; the others follow by their smallest id, begin at it
+    and advance together. All go on to their ends.
+    """
     from .select import ranked
 
-    r = ranked(x.withColumn("_near", -F.col("level")), "_near", "id")
+    n, e = nodes.select("id").checkpoint(), both_ways(edges).withColumnRenamed("src", "id").checkpoint()
+    seen, k = bfs_levels(n.where(F.col("id") == start), e)
+    rest = n.join(seen, "id", "left_anti").checkpoint()
+    x = seen.withColumn("_turn", F.lit(0).cast("long"))
+    if not rest.isEmpty():
+        inner = e.where("id < dst").join(rest, "id", "left_semi").select(F.col("id").alias("src"), "dst")
+        comp = components(rest, inner)
+        heads = comp.where("id = component")
+        more, k2 = bfs_levels(heads, e)
+        turn = ranked(heads.withColumn("_near", -F.col("component")), "_near", "component").select("component", F.col("rank").cast("long").alias("_turn"))
+        x, k = x.unionByName(more.join(comp.join(turn, "component"), "id").select("id", "level", "_turn")), max(k, k2)
+    r = ranked(x.withColumn("_near", -(F.col("_turn") * k + F.col("level"))), "_near", "id")  # each level is below k
     return r.select("id", "level", F.floor((F.col("rank") - 1) / size).cast("long").alias("block"))
 
 
