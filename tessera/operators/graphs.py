@@ -195,13 +195,14 @@ def bfs_blocks(nodes: DataFrame, edges: DataFrame, start: int, size: int) -> Dat
     return r.select("id", "level", F.floor((F.col("rank") - 1) / size).cast("long").alias("block"))
 
 
-def ollivier(edges: DataFrame, most: int, alpha: float = 0.5) -> DataFrame:
-    """(src, dst, kappa): 1 - W1 of lazy walks at both ends, exact, for the ``most`` edges of largest |Forman| (ties by ends).
+def ollivier(edges: DataFrame, most: int | None = None, alpha: float = 0.5) -> DataFrame:
+    """(src, dst, kappa): 1 - W1 of lazy walks at both ends, exact, for all edges, or the ``most`` of largest |Forman| (ties by ends).
 
     The transport problem of an edge has a few dozen nodes; each is solved in one row of a grouped map over its ball of two hops.
     """
-    f = forman(edges)
-    pick = f.orderBy(F.desc(F.abs("curvature")), "src", "dst").limit(most).select("src", "dst")
+    pick = edges.select("src", "dst")
+    if most is not None:
+        pick = forman(edges).orderBy(F.desc(F.abs("curvature")), "src", "dst").limit(most).select("src", "dst")
     e = both_ways(edges)
     near = pick.select("src", "dst", F.explode(F.array("src", "dst")).alias("a")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a")
     hop2 = near.select("src", "dst", F.col("b").alias("a")).distinct().join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a")

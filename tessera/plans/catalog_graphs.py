@@ -139,7 +139,7 @@ def bfs_blocks(spark, d):
 
 @query("ollivier_curvature")
 def ollivier_curvature(spark, d):
-    return graphs.ollivier(_und(spark, d)[1], 40).select("src", "dst", *_r("kappa"))
+    return graphs.ollivier(_und(spark, d)[1].checkpoint()).select("src", "dst", *_r("kappa"))
 
 
 @query("lattice_edges", "SELECT i AS src, i+1 AS dst FROM range(1024) g(i) WHERE i%32 < 31 UNION ALL SELECT i, i+32 FROM range(1024) g(i) WHERE i < 992")
