@@ -31,7 +31,7 @@ KNN = VERT + """, knn AS (SELECT src, dst, dist FROM (SELECT a.id AS src, b.id A
 UND = KNN + ", und AS (SELECT DISTINCT least(src,dst) AS src, greatest(src,dst) AS dst FROM knn), deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM und UNION ALL SELECT dst FROM und) GROUP BY id)"
 TREE = """node AS (SELECT *, CASE WHEN depth < 3 THEN gt ELSE avg(gt) OVER (PARTITION BY top) END AS coarse FROM (
  SELECT id, depth, gt, CASE WHEN id > 0 THEN (id-1)//2 END AS parent, CASE WHEN depth >= 3 THEN ((id+1) >> (depth-3)) - 1 END AS unit, CASE WHEN depth >= 2 THEN ((id+1) >> (depth-2)) - 1 END AS top
- FROM (SELECT o_orderkey AS id, o_totalprice/100000 AS gt, CAST(length(bin(o_orderkey+1)) - 1 AS INT) AS depth FROM orders WHERE o_orderkey < 1023)))"""
+ FROM (SELECT o_orderkey AS id, o_totalprice/100000 AS gt, CAST(length(bin(o_orderkey+1)) - 1 AS INT) AS depth FROM orders)))"""
 SIG = """sig AS (SELECT user_id AS node, day(ts) AS step, CAST(least(15, floor(avg(value)/20)) AS INT)*256 + CAST(least(15, count(*)) AS INT)*16 + CAST(least(15, floor(coalesce(stddev_pop(value),0)/15)) AS INT) AS sig, sum(value) AS cost, avg(value) AS rho FROM events GROUP BY ALL)"""
 DIRTY = "(bit_count((sig # base) & 4095) >= 3 OR greatest(abs((sig>>8)-(base>>8)), abs(((sig>>4)&15)-((base>>4)&15)), abs((sig&15)-(base&15))) >= 4)".replace(" # ", "^^")
 CASES = """cs AS (SELECT l_returnflag AS structure, CAST(l_linenumber AS INT) AS level, l_shipdate >= TIMESTAMP '1995-06-17' AS pos, round(l_extendedprice*l_discount/1000, 2) + CASE WHEN l_shipdate >= TIMESTAMP '1995-06-17' THEN l_quantity/25 ELSE 0 END AS s, l_orderkey*8+l_linenumber AS id FROM lineitem)"""

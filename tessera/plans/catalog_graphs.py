@@ -156,12 +156,12 @@ def tree_space(spark, d):
     return spaces.tree_nodes(spark, d).select("id", none("parent"), none("unit"), *_r("coarse", n=8))
 
 
-@query("subtree_sizes", TREE + " SELECT ((id+1) >> k) - 1 AS id, count(*) AS size FROM node, range(0,10) g(k) WHERE k <= depth GROUP BY 1")
+@query("subtree_sizes", TREE + " SELECT ((id+1) >> k) - 1 AS id, count(*) AS size FROM node, range(0,63) g(k) WHERE k <= depth GROUP BY 1")
 def subtree_sizes(spark, d):
     return trees.subtree_sizes(spaces.tree_nodes(spark, d))
 
 
-@query("parent_child_add", TREE + " SELECT node.id, round(sum(CASE WHEN a.id%3 <> 0 THEN a.gt ELSE 0 END),8) AS total FROM node, range(0,10) g(k), node a WHERE k <= node.depth AND a.id = ((node.id+1) >> k) - 1 GROUP BY node.id")
+@query("parent_child_add", TREE + " SELECT node.id, round(sum(CASE WHEN a.id%3 <> 0 THEN a.gt ELSE 0 END),8) AS total FROM node, range(0,63) g(k), node a WHERE k <= node.depth AND a.id = ((node.id+1) >> k) - 1 GROUP BY node.id")
 def parent_child_add(spark, d):
     return trees.parent_added(spaces.tree_nodes(spark, d).withColumn("on", F.col("id") % 3 != 0), "gt", "on").select("id", *_r("total", n=8))
 

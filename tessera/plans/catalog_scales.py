@@ -353,7 +353,7 @@ def holm_without_stop(spark, d):
     return evaluation.holm(_pv(spark, d), "p", "k", stop=False).select("k", "reject")
 
 
-@query("wilcoxon_signed_rank", """WITH x AS (SELECT l_returnflag AS g, round(l_extendedprice/1000,1) - round(l_quantity*1.5,1) AS dd FROM lineitem WHERE l_linenumber <= 2), y AS (SELECT *, abs(dd) AS m FROM x WHERE dd <> 0),
+@query("wilcoxon_signed_rank", """WITH x AS (SELECT l_returnflag AS g, round(l_extendedprice/1000,1) - round(l_quantity*1.5,1) AS dd FROM lineitem), y AS (SELECT *, abs(dd) AS m FROM x WHERE dd <> 0),
  r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY m) + (count(*) OVER (PARTITION BY g, m)-1)/2 AS r FROM y), s AS (SELECT g, count(*) AS n, least(coalesce(sum(r) FILTER (dd > 0),0), coalesce(sum(r) FILTER (dd < 0),0)) AS w FROM r GROUP BY g)
  SELECT g, n, round(CAST(w AS DOUBLE),1) AS w, round((w-n*(n+1)/4)/sqrt(CAST(n AS DOUBLE)*(n+1)*(2*n+1)/24),5) AS z FROM s""")
 def wilcoxon_signed_rank(spark, d):
