@@ -5,9 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows in a table that may be broadcast; all such tables are narrow.
 BROADCAST_ROWS = 200_000
@@ -41,9 +40,11 @@ def end_scope() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one where that is unset and the master is local (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -72,13 +73,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def literal_table(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
-    """A small table from driver values, as a constant of the plan: no RDD, no Python on executors."""
-    import json
+def ordinals(rows: DataFrame, keys: list[str], row_id: str, salts: int = 64) -> DataFrame:
+    """``rows`` (written) with ``_ord``: 0, 1, ... within rows that agree in ``keys``; 0 where a row is alone.
 
-    kind = T.ArrayType(T._parse_datatype_string(ddl))
-    one = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("x"))
-    return one.select("x.*")
+    ``row_id``: a column that tells all rows apart. Only rows that are not alone are
+    numbered; they are dealt over ``salts`` runs a key whose lengths give the offsets.
+    """
+    salt = F.pmod(F.xxhash64(row_id), F.lit(salts))
+    key = F.xxhash64(*keys)
+    runs = rows.select(key.alias("_key"), salt.alias("_salt")).groupBy("_key", "_salt").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy("_key")
+    before = whole.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"_all": F.sum("_n").over(whole), "_from": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+    runs = written(runs.where("_all > 1").select("_key", "_salt", "_from"))
+    if runs.isEmpty():
+        return rows.withColumn("_ord", F.lit(0).cast("long"))
+    many = rows.select(row_id, key.alias("_key"), salt.alias("_salt")).join(runs, ["_key", "_salt"])
+    place = F.row_number().over(Window.partitionBy("_key", "_salt").orderBy(row_id)) - 1
+    many = many.select(row_id, (F.col("_from") + place).alias("_ord"))
+    return rows.join(many, row_id, "left").withColumn("_ord", F.coalesce("_ord", F.lit(0)).cast("long"))
 
 
 def joined_small(df: DataFrame, small: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:

@@ -2,22 +2,26 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded; shingles
 have five words (a template of fewer words is one shingle of its own length). A
-template of m shingles belongs to the class c, the power of two at or above m; texts
-are covered by windows of 2c shingles that start every c, so an occurrence lies whole
-in one of them. Its Jaccard similarity to the template is then at least a quarter of
-the part that occurs; ``BANDS`` bands of one MinHash row collide with probability
-1 - (1 - 0.8 / 4) ** 32 > 0.999 at the least containment that counts, 0.8, and equal
+template of m shingles belongs to the class c, the power of two at or above m; each
+text is covered from its own start by windows of 2c shingles that start every c, so an
+occurrence lies whole in one of them. With at least c / 2 shingles, of which 0.8 occur,
+its Jaccard similarity to the window is at least 0.4 / 2.1 = 0.19; ``BANDS`` bands of
+one MinHash row collide with probability 1 - (1 - 0.19) ** 36 > 0.999 there, and equal
 minima mean an equal shingle, so there are few false windows. Each is verified by the
 exact share of the template's shingles in it. Where licenses overlap, those that are
 contained to a smaller part than another are left out.
 
-Templates are small and at hand in every task; texts are scanned where they lie, whole,
-without a shuffle. Window minima of all classes come from one pyramid per MinHash.
+Templates are notices by default; whole license texts come as a table, of at most
+``TEMPLATE_BYTES``. They are at hand in every task; texts are scanned where they lie,
+whole, without a shuffle. Window minima of all classes come from one pyramid per
+MinHash, whose blocks begin at the start of each text.
 
 Defined results: null and empty texts match nothing; a license is named once per
 document with its best containment and the words of its first best occurrence; ties
-go to the first; rows that repeat are rows of their own; an empty table gives an empty
-result; clashing column names of the input are replaced.
+go to the first; rows that repeat are rows of their own; very long texts are scanned
+whole; results don't depend on how rows are dealt; an empty table gives an empty
+result; an input column ``licenses`` is replaced, names that begin with ``_tessera`` are
+reserved.
 """
 
 from __future__ import annotations
@@ -31,7 +35,10 @@ from pyspark.sql import types as T
 from .common import small_batches
 from .textscan import Scanner, chunks, mix64, ngrams
 
-K, BANDS, LEAST = 5, 32, 0.8
+K, BANDS, LEAST = 5, 36, 0.8
+#: Bytes of all templates of a table.
+TEMPLATE_BYTES = 64 << 20
+_MAX = 2**64 - 1
 _U = np.uint64
 
 # Public license notices and texts.
@@ -95,24 +102,45 @@ class Templates:
                 mark[(keys >> _U(16)).astype(np.int64) & 0xFFFF] = True
                 self.tables[c, j] = (mark, keys, [t for _, t in low])
 
-    def windows(self, g: np.ndarray) -> set[tuple[int, int, int]]:
-        """(class, window, template) of all bands that collide; window w of class c covers shingles w*c to (w+2)*c."""
-        found: set[tuple[int, int, int]] = set()
+    def windows(self, g: np.ndarray, n: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(class, text, window, template) of all bands that collide; window w of class c covers shingles w*c to (w+2)*c of its text.
+
+        ``g``: shingles of consecutive texts, ``n``: how many each has.
+        """
+        found: set[tuple[int, int, int, int]] = set()
+        if not len(g):
+            return found
+        levels = []  # of each halving: where the values go, places, first place of each text
+        size = n
+        for _ in range(max(self.classes).bit_length()):
+            even = size + (size & 1)
+            first = np.concatenate([[0], np.cumsum(even)])
+            at = np.arange(int(size.sum())) + np.repeat(first[:-1] - (np.cumsum(size) - size), size)
+            levels.append((at, int(first[-1]), np.concatenate([[0], np.cumsum(size)])))
+            size = even // 2
         for j in range(BANDS):
-            level, size = g * self.multipliers[j], 1
+            level, depth = g * self.multipliers[j], 0
             for c in self.classes:
-                while size < c:
-                    if len(level) % 2:
-                        level = np.append(level, _U(2**64 - 1))
-                    level = np.minimum(level[::2], level[1::2])
-                    size *= 2
-                low = np.minimum(level, np.append(level[1:], _U(2**64 - 1)))
+                while 1 << depth < c:
+                    at, places, _ = levels[depth]
+                    wide = np.full(places, _U(_MAX)) if places > len(level) else level
+                    if places > len(level):
+                        wide[at] = level
+                    level = np.minimum(wide[::2], wide[1::2])
+                    depth += 1
+                rows = levels[depth][2]
+                low = level.copy()
+                low[:-1] = np.minimum(level[:-1], level[1:])
+                last = rows[1:][np.diff(rows) > 0] - 1
+                low[last] = level[last]
                 mark, keys, ts = self.tables[c, j]
                 for w in np.flatnonzero(mark[(low >> _U(16)).astype(np.int64) & 0xFFFF]).tolist():
                     i = int(np.searchsorted(keys, low[w]))
-                    while i < len(keys) and keys[i] == low[w]:
-                        found.add((c, w, ts[i]))
-                        i += 1
+                    if i < len(keys) and keys[i] == low[w]:
+                        d = int(np.searchsorted(rows, w, side="right")) - 1
+                        while i < len(keys) and keys[i] == low[w]:
+                            found.add((c, d, w - int(rows[d]), ts[i]))
+                            i += 1
         return found
 
     def matches(self, h: np.ndarray, first: np.ndarray) -> dict[int, dict[str, tuple[float, int, int]]]:
@@ -126,17 +154,18 @@ class Templates:
                 x[self.names[t]] = (share, a, b)
 
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        if len(h) >= K:
-            g = ngrams(h, K)
-            for c, w, t in self.windows(g):
-                lo, hi = w * c, min(len(g), (w + 2) * c)
-                for d in np.unique(doc[lo:hi]).tolist():
-                    a, b = max(lo, int(first[d])), min(hi, int(first[d + 1]) - K + 1)
-                    at = np.flatnonzero(np.isin(g[a:b], self.sets[t])) if b > a else []
-                    if len(at):
-                        share = len(np.unique(g[a + at])) / len(self.sets[t])
-                        if share >= LEAST:
-                            add(d, t, share, a + int(at[0]) - int(first[d]), a + int(at[-1]) + K - int(first[d]))
+        if len(h) >= K and self.classes:
+            n = np.maximum(np.diff(first) - K + 1, 0)
+            starts = np.concatenate([[0], np.cumsum(n)])
+            inside = np.arange(int(starts[-1])) + np.repeat(first[:-1] - starts[:-1], n)
+            g = ngrams(h, K)[inside]
+            for c, d, w, t in self.windows(g, n):
+                a, b = int(starts[d]) + w * c, min(int(starts[d]) + (w + 2) * c, int(starts[d + 1]))
+                at = np.flatnonzero(np.isin(g[a:b], self.sets[t]))
+                if len(at):
+                    share = len(np.unique(g[a + at])) / len(self.sets[t])
+                    if share >= LEAST:
+                        add(d, t, share, w * c + int(at[0]), w * c + int(at[-1]) + K)
         for n, table in self.short.items():
             if len(h) < n:
                 continue
@@ -158,10 +187,24 @@ FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.St
 _FOUND = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def scan_licenses(docs: DataFrame, keep: list[str], text_col: str = "text", templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """``keep`` columns and ``licenses``: name, containment and word range of each license found, by name."""
+def template_table(table: DataFrame) -> list[tuple[str, str]]:
+    """(name, text) of a table with columns license and text, in a fixed order; it must not exceed ``TEMPLATE_BYTES``."""
+    rows = table.where("license IS NOT NULL AND text IS NOT NULL").select("license", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"license templates of {size} bytes exceed {TEMPLATE_BYTES}")
+    return sorted((r["license"], r["text"]) for r in rows.collect())
+
+
+def scan_licenses(docs: DataFrame, keep: list[str], text_col: str = "text", templates: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """``keep`` columns and ``licenses``: name, containment and word range of each license found, by name.
+
+    ``templates``: (name, text) pairs, or a table with columns license and text.
+    """
     small_batches(docs.sparkSession)
-    ready = Templates(templates or TEMPLATES)
+    if isinstance(templates, DataFrame):
+        templates = template_table(templates)
+    ready = Templates(TEMPLATES if templates is None else templates)
     keep = [c for c in keep if c != "licenses"]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("licenses", FOUND)])
 
@@ -169,13 +212,13 @@ def scan_licenses(docs: DataFrame, keep: list[str], text_col: str = "text", temp
         scan = Scanner("alnum")
         for b in batches:
             out = []
-            for i, j, data, offs in chunks(b.column("_text")):
+            for i, j, data, offs in chunks(b.column("_tessera_text")):
                 w = scan.scan(data, offs)
                 m = ready.matches(w.hash, w.first)
                 out += [[{"license": n, "containment": x[0], "start": x[1], "end": x[2]} for n, x in sorted(m.get(d, {}).items())] for d in range(j - i)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, _FOUND)], names=[*keep, "licenses"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_tessera_text")).mapInArrow(run, schema)
 
 
 def op4_licenses(spark, sf_dir):

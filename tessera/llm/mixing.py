@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash thresholds.
 
-Each document has a 60-bit hash. Sizes are summed by source and hash bucket (12 bits
+Each row has a 60-bit hash of its doc_id, its text and, where these repeat, its ordinal
+among the equal rows. Sizes are summed by source and hash bucket (12 bits
 a level); the bucket in which a source's running sum passes its budget is the only
 one refined, level by level, until it holds one hash; a threshold on the hash then
 selects the documents. Nothing is sorted but the at most 4096 buckets of a source,
@@ -10,9 +11,13 @@ than others. Budgets are nested: a larger one keeps all that a smaller one took.
 A target above the source's size takes every document once (or twice) and selects
 for the rest, so no document is taken more often than the cap rounded up.
 
+Sources are ranked by range partitions and offsets, and targets are found by sums over
+all sources, so a table with a source per host needs no task that sees them all.
+
 Defined results: null source is a source of its own and comes last; null text has
-size 0; rows that agree in doc_id share a hash and stand or fall together; an empty
-table gives an empty result; clashing column names of the input are replaced.
+size 0; very long texts count whole; rows that repeat a doc_id, null ids too, are drawn
+one by one; an empty table gives an empty result; input columns of any name are kept,
+but names that begin with ``_tessera`` are reserved.
 """
 
 from __future__ import annotations
@@ -22,16 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import joined_small, small_batches, written
+from .common import joined_small, ordinals, small_batches, written
 from .textscan import Scanner, chunks
 
 BITS, LEVEL = 60, 12
 
 
-def doc_hash(id_col: str, seed: int):
-    return F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 64 - BITS)
-
-
 def thresholds(items: DataFrame, budgets: DataFrame, n_groups: int) -> DataFrame:
     """(grp, threshold): documents with ``h < threshold`` have sizes that add up nearest to the budget.
 
@@ -70,68 +71,106 @@ def thresholds(items: DataFrame, budgets: DataFrame, n_groups: int) -> DataFrame
     return state.select("grp", "threshold")
 
 
-def word_sizes(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+def word_sizes(df: DataFrame, text_col: str, keep: list[str], size: str = "size") -> DataFrame:
     """``keep`` columns and ``size``: number of words (runs without ASCII white space) of the whole text."""
     small_batches(df.sparkSession)
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("size", T.LongType())])
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(size, T.LongType())])
 
     def run(batches):
         scan = Scanner("space")
         for b in batches:
-            sizes = [int(x) for _, _, data, offs in chunks(b.column("_text")) for x in scan.counts(data, offs)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64())], names=[*keep, "size"])
-
-    return df.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, schema)
-
-
-def plan_mix(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 29) -> tuple[DataFrame, int]:
+            sizes = [int(x) for _, _, data, offs in chunks(b.column("_tessera_text")) for x in scan.counts(data, offs)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64())], names=[*keep, size])
+
+    return df.select(*keep, F.col(text_col).alias("_tessera_text")).mapInArrow(run, schema)
+
+
+def ranked_sources(by: DataFrame) -> DataFrame:
+    """``by`` (one row a source, written) with ``grp``: the rank of the source by code points, from 0, null last."""
+    n = int(by.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = by.repartitionByRange(n, F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = written(placed.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_m", 33)
+    parts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # at most one row a partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    placed = placed.withColumn("_p", part).join(F.broadcast(parts), "_p")
+    return placed.withColumn("grp", F.col("_at") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_p", "_m", "_at")
+
+
+def water_level(by: DataFrame, share: float) -> float | None:
+    """The level at which sources of ``full`` and weight ``w`` take ``share`` of all sizes; each round fills the sources below the level so far."""
+    level, filled = 0.0, -1
+    while True:
+        is_full = F.col("full") <= F.lit(level) * F.col("w")
+        x = by.agg(
+            F.sum("source_size").alias("s"), F.sum(F.when(~is_full, F.col("w"))).alias("w"),
+            F.sum(F.when(is_full, F.col("full"))).alias("f"), F.count_if(is_full).alias("n"),
+        ).first()
+        if x["w"] is None or x["n"] == filled:
+            return level if x["w"] is not None else None
+        level, filled = (share * (x["s"] or 0) - (x["f"] or 0.0)) / x["w"], x["n"]
+
+
+def plan_mix(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, int]:
     """One row per source: source, source_size, target, times (whole takes of every document), threshold (of one more take); and their number.
 
-    ``sizes``: doc_id, source, size, written. Sources in order of code points, null last,
+    ``sizes``: source, h, size, of a written table. Sources in order of code points, null last,
     take the weights in turn. Targets share ``share`` of all sizes by weight but stop at
-    ``cap`` times the source's size; the excess is shared again by weight. That is
-    water-filling: with sources ordered by cap * size / weight, a prefix is full and the
-    others stand at one level.
+    ``cap`` times the source's size; the excess is shared again by weight, which is
+    water-filling: full sources have their cap and the others stand at one level.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
+    by = ranked_sources(written(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("grp"), F.lit(len(weights))) + 1).cast("int"))
-    by = by.withColumn("grp", F.row_number().over(order) - 1).withColumn("w", w).withColumn("full", F.col("source_size") * cap)
-    fill = Window.orderBy(F.col("full") / F.col("w"), "grp").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by = by.withColumns({"f0": F.coalesce(F.sum("full").over(fill), F.lit(0.0)), "w0": F.coalesce(F.sum("w").over(fill), F.lit(0.0)), "all_s": F.sum("source_size").over(every), "all_w": F.sum("w").over(every)})
-    level = (F.lit(share) * F.col("all_s") - F.col("f0")) / (F.col("all_w") - F.col("w0"))
-    fits = F.when(level * F.col("w") <= F.col("full"), level)
-    by = by.withColumn("level", F.min_by(fits, F.when(fits.isNotNull(), F.col("full") / F.col("w"))).over(every))
-    by = by.withColumn("target", F.least(F.col("full"), F.coalesce(F.col("level") * F.col("w"), F.col("full"))))
+    by = written(by.withColumn("w", w).withColumn("full", F.col("source_size") * cap))
+    level = water_level(by, share)
+    target = F.col("full") if level is None else F.least(F.col("full"), F.lit(level) * F.col("w"))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    by = written(by.select("grp", "source", "source_size", "target", times.cast("long").alias("times")))
+    by = written(by.withColumn("target", target).select("grp", "source", "source_size", "target", times.cast("long").alias("times")))
     n = by.count()
     items = joined_small(sizes, by.select("source", "grp"), sizes["source"].eqNullSafe(by["source"]), n)
-    items = written(items.select("grp", doc_hash("doc_id", seed).alias("h"), "size"))
+    items = written(items.select("grp", "h", "size"))
     cut = thresholds(items, by.select("grp", (F.col("target") - F.col("times") * F.col("source_size")).alias("budget")), n)
     return written(by.join(cut, "grp").drop("grp")), n
 
 
-def taken(df: DataFrame, plan: DataFrame, n_sources: int, id_col: str = "doc_id", source_col: str = "source", seed: int = 29) -> DataFrame:
-    """``df`` with source_size, target and ``copies``: how often the mix takes the row."""
+def sized(docs: DataFrame, keep: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 29) -> DataFrame:
+    """``keep`` columns (named keep_...), source, size and h (the row's hash) of a table written once."""
+    row = "_tessera_row"
+    cols = list(dict.fromkeys(keep))
+    mine = docs.select(
+        *[F.col(c).alias(f"_tessera_keep_{c}") for c in cols], F.col(id_col).alias("_tessera_id"), F.col(source_col).alias("_tessera_source"),
+        F.xxhash64(text_col).alias("_tessera_hash"), F.col(text_col).alias("_tessera_whole"),
+    )
+    held = [c for c in mine.columns if c != "_tessera_whole"]
+    rows = written(word_sizes(mine, "_tessera_whole", held, "_tessera_size").withColumn(row, F.monotonically_increasing_id()))
+    rows = ordinals(rows, ["_tessera_id", "_tessera_source", "_tessera_hash"], row)
+    h = F.shiftrightunsigned(F.xxhash64("_tessera_id", "_tessera_hash", "_ord", F.lit(seed)), 64 - BITS)
+    return rows.select(
+        *[F.col(f"_tessera_keep_{c}").alias(f"keep_{c}") for c in cols], F.col("_tessera_source").alias("source"),
+        F.col("_tessera_size").alias("size"), h.alias("h"),
+    )
+
+
+def taken(sizes: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
+    """``sizes`` with source_size, target and ``copies``: how often the mix takes the row."""
     plan = plan.withColumnRenamed("source", "_source")
-    df = df.drop("source_size", "target", "copies")
-    out = joined_small(df, plan, df[source_col].eqNullSafe(plan["_source"]), n_sources)
-    more = F.when(doc_hash(id_col, seed) < F.col("threshold"), 1).otherwise(0)
+    out = joined_small(sizes, plan, sizes["source"].eqNullSafe(plan["_source"]), n_sources)
+    more = F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
     return out.withColumn("copies", F.col("times") + more).drop("_source", "times", "threshold")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: every row of ``docs`` as often as the mix takes it."""
-    plan, n = plan_mix(written(word_sizes(docs, "text", ["doc_id", "source"])), **options)
-    out = taken(docs, plan, n).where("copies > 0")
-    return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    sizes = sized(docs, docs.columns)
+    plan, n = plan_mix(sizes, **options)
+    out = taken(sizes, plan, n).where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
 
 
 def op2_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sizes = written(word_sizes(docs, "text", ["doc_id", "source"]))
+    sizes = sized(docs, ["doc_id"])
     plan, n = plan_mix(sizes)
     out = taken(sizes, plan, n)
-    return out.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("keep_doc_id").alias("doc_id"), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

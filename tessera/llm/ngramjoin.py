@@ -438,10 +438,12 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, rows["rid"] == comps["id"], "left").select(*rows.columns, F.coalesce("comp", "rid").alias("comp"))
 
 
-def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, h1, h2 (hashes of the set), component_id.
+def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, row, n_shingles, comp (a number of the component's own), component_id.
 
-    Two rows link when den * |intersection| >= num * |union| of their sets of ``shingle`` words.
+    Two rows link when den * |intersection| >= num * |union| of their sets of ``shingle``
+    words. ``row_col``: a column of a written table that tells all rows apart; without
+    it one is made, which is not kept between two reads of ``docs``.
     """
     spark = docs.sparkSession
     small_batches(spark)

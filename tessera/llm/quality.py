@@ -1,28 +1,31 @@
 """Quality classifier by importance resampling.
 
-Texts are bags of hashed n-grams: words, runs of punctuation, pairs of neighbouring
-words, pairs of neighbouring token shapes, and a few summary tokens (shares of
-repeated words, capitals, punctuation, distinct words, in tenths). Two generative
-models count in how many documents each hash bucket occurs: the target model over
-labelled good rows (quality 1, toxic 0), the raw model over every document. A
-document's weight is the sum of log ratios of its buckets; a bucket counts only if
-the ratio is far from one against the raw corpus and against labelled rejects alike,
-so that neither rare words nor a large group of copies weigh anything.
-
-Labelled rows that the models did not see turn weights into log odds. Sampling is
-Gumbel top-k over them: each document's log odds, times ``SHARPNESS``, plus Gumbel
-noise of its hash; the k highest are kept, k being the number of documents with log
-odds above zero. The k-th highest is found by nested histograms, without a sort.
-
-At most ``LABELLED`` labelled rows, chosen by hash, fit the target model and the
-curve; all counts and scores cover all documents and whole texts. The driver sees
-at most ``BUCKETS`` counts of each kind, as Arrow columns, and one weight per row of
-the curve.
-
-Defined results: null text counts as empty; labels of one document are combined
-(lowest quality, highest toxic); labels with nulls or without a document are not
-used; without labelled rows of both kinds everything is kept with weight 0; rows that
-agree in doc_id and text share their noise; an empty table gives an empty result.
+Texts are bags of hashed n-grams: words, pairs of words, runs of punctuation, and pairs
+and triples of token shapes (lower case, capitals, digits, the mark itself). A text
+counts an n-gram 1 + ln(times), so that one line repeated a thousand times weighs little
+more than ten. Two generative models give each bucket a probability: the target model
+over labelled good rows (quality 1, toxic 0), the raw model over every document, whose
+counts are scaled to those of the target; both get ``PRIOR`` added. Buckets whose numbers
+of documents differ by no more than ``SIGMAS`` standard deviations from what the raw
+model expects have the same probability in both. A document's weight is the sum, over
+its n-grams, of log p_target / p_raw.
+
+Sampling is Gumbel top-k: each document's log weight plus Gumbel noise of its hash; the
+k highest are kept. k is the number of documents whose log weight reaches the cut that
+parts held-out labelled rows, which the models did not see, with the fewest errors. The
+k-th highest is found by nested histograms, without a sort.
+
+At most ``LABELLED`` labelled rows, chosen by hash, fit the target model and the cut;
+all counts and scores cover all documents and whole texts. The driver sees at most
+``BUCKETS`` counts of each kind, as Arrow columns, and one weight per held-out row.
+
+Defined results: null text counts as empty and weighs 0; labels of one document are
+combined (lowest quality, highest toxic); labels with nulls or without a document are
+not used; of documents that share a labelled doc_id one is used; without labelled rows
+of both kinds everything is kept with weight 0; rows that agree in doc_id and text share
+their noise; very long texts are counted whole; an empty table gives an empty result;
+input columns of any name are kept but ``log_weight``, ``cut`` and ``kept``, which are
+replaced, and names that begin with ``_tessera``, which are reserved.
 """
 
 from __future__ import annotations
@@ -40,13 +43,13 @@ from .textscan import Scanner, byte_class, chunks, mix64
 LABELLED = 40_000
 WORD_BITS, PAIR_BITS = 18, 17
 BUCKETS = (1 << WORD_BITS) + (1 << PAIR_BITS)
-#: Documents added to either side of a ratio, and log ratios that count.
-PRIOR, LEAST = 3.0, 1.0
-SHARPNESS = 2.0
+#: Added to the counts of both models, and standard deviations within which they count as equal.
+PRIOR, SIGMAS = 0.5, 2.5
+_ID, _TEXT = "_tessera_id", "_tessera_text"
 
 
 class Bags:
-    """Distinct buckets of each text."""
+    """Counts of the buckets of each text."""
 
     def __init__(self):
         self.words = Scanner("alnum")
@@ -55,8 +58,8 @@ class Bags:
         b = np.arange(256)
         self.upper, self.lower = (b >= 0x41) & (b <= 0x5A), (b >= 0x61) & (b <= 0x7A)
 
-    def chunk(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, bucket) pairs, each once, in order of texts."""
+    def chunk(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, bucket, 1 + ln(times)) of each text and bucket, in order of texts."""
         n = len(offs) - 1
         w, m = self.words.scan(data, offs), self.marks.scan(data, offs)
         wd = np.repeat(np.arange(n), np.diff(w.first))
@@ -64,74 +67,64 @@ class Bags:
         runs = lambda t: np.concatenate([[0], np.cumsum(t[data])])
         up, low = runs(self.upper), runs(self.lower)
         ups, lows = up[w.end] - up[w.start], low[w.end] - low[w.start]
-        caps = (ups > 1) & (lows == 0)
-        shape = np.where(caps, 3, np.where(ups > 0, 2, np.where(lows > 0, 1, 0))).astype(np.uint64)
-        nw, nm = np.diff(w.first), np.diff(m.first)
-        count = lambda d: np.bincount(d, minlength=n)
-        pair = wd[1:] == wd[:-1]
-        same = pair & (w.hash[1:] == w.hash[:-1])
-        tenth = lambda a, b: (10 * a // np.maximum(b, 1)).astype(np.uint64)
-        uniq = np.unique(wd.astype(np.uint64) << np.uint64(40) | w.hash >> np.uint64(24))
-        shares = [tenth(count(wd[1:][same]), nw), tenth(count(wd[caps]), nw), tenth(nm, nw + nm), tenth(count((uniq >> np.uint64(40)).astype(np.int64)), nw)]
-        # token stream of shapes and marks in the order of the text
-        pos = np.concatenate([w.start, m.start])
-        code = np.concatenate([shape, m.hash | np.uint64(8)])
-        doc = np.concatenate([wd, md])
-        order = np.argsort(pos, kind="stable")
-        code, doc = code[order], doc[order]
-        kin = doc[1:] == doc[:-1]
-        h = [w.hash, m.hash * np.uint64(3), mix64(code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:])[kin]]
-        d = [wd, md, doc[1:][kin]]
-        for k, s in enumerate(shares):
-            h.append(mix64(s + np.uint64(1000 * (k + 1))))
-            d.append(np.arange(n))
-        uni = np.concatenate([mix64(x) for x in h]) >> np.uint64(64 - WORD_BITS)
+        shape = np.where((ups > 1) & (lows == 0), 3, np.where(ups > 0, 2, np.where(lows > 0, 1, 0))).astype(np.uint64)
+        order = np.argsort(np.concatenate([w.start, m.start]), kind="stable")
+        code = np.concatenate([shape, m.hash | np.uint64(8)])[order]
+        doc = np.concatenate([wd, md])[order]
+        turn = np.uint64(0x9E3779B97F4A7C15)
+        two = mix64(code[:-1] * turn + code[1:])
+        three = mix64(two[:-1] * turn + code[2:])
+        pair, kin, kin3 = wd[1:] == wd[:-1], doc[1:] == doc[:-1], doc[2:] == doc[:-2]
+        uni = mix64(np.concatenate([w.hash, m.hash * np.uint64(3), two[kin], three[kin3]])) >> np.uint64(64 - WORD_BITS)
         bi = mix64(w.hash[:-1] * np.uint64(5) + w.hash[1:])[pair] >> np.uint64(64 - PAIR_BITS)
-        text = np.concatenate([*d, wd[1:][pair]])
+        text = np.concatenate([wd, md, doc[1:][kin], doc[2:][kin3], wd[1:][pair]])
         bucket = np.concatenate([uni, bi + np.uint64(1 << WORD_BITS)]).astype(np.int64)
-        both = np.unique(text * BUCKETS + bucket)
-        return both // BUCKETS, both % BUCKETS
+        both, times = np.unique(text * BUCKETS + bucket, return_counts=True)
+        return both // BUCKETS, both % BUCKETS, 1 + np.log(times)
 
 
 def _count(batches):
-    """(kind, bucket, n): documents of each kind with the bucket; bucket -1: documents. Columns text, kind."""
+    """(kind, bucket, n, mass): documents of each kind with the bucket and their counts of it; bucket -1: documents. Columns text, kind."""
     bags, total = Bags(), {}
     for b in batches:
         kind = np.asarray(b.column(1))
         for i, j, data, offs in chunks(b.column(0)):
-            text, bucket = bags.chunk(data, offs)
+            text, bucket, times = bags.chunk(data, offs)
             for k in np.unique(kind[i:j]).tolist():
-                t = total.setdefault(k, np.zeros(BUCKETS + 1, np.int64))
+                docs, mass = total.setdefault(k, (np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1)))
                 w = kind[i:j] == k
-                t[1:] += np.bincount(bucket[w[text]], minlength=BUCKETS)
-                t[0] += int(w.sum())
-    for k, t in total.items():
-        at = np.flatnonzero(t)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at - 1, pa.int64()), pa.array(t[at])], names=["kind", "bucket", "n"])
+                at = w[text]
+                docs[1:] += np.bincount(bucket[at], minlength=BUCKETS)
+                mass[1:] += np.bincount(bucket[at], weights=times[at], minlength=BUCKETS)
+                docs[0] += int(w.sum())
+    for k, (docs, mass) in total.items():
+        at = np.flatnonzero(docs)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at - 1, pa.int64()), pa.array(docs[at]), pa.array(np.round(mass[at] * 1024).astype(np.int64))], names=["kind", "bucket", "n", "mass"])
 
 
 def bucket_counts(df: DataFrame) -> DataFrame:
-    """df: text, kind."""
-    part = df.mapInArrow(_count, "kind int, bucket long, n long")
-    return part.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
+    """df: text, kind; masses are whole 1024ths, so that sums do not depend on their order."""
+    part = df.mapInArrow(_count, "kind int, bucket long, n long, mass long")
+    return part.groupBy("kind", "bucket").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
 
 
-def _vector(counts: pa.Table, kind: int) -> tuple[np.ndarray, int]:
-    k, bucket, n = (counts.column(c).to_numpy() for c in ("kind", "bucket", "n"))
-    v = np.zeros(BUCKETS)
+def _vectors(counts: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Documents and mass of each bucket, and documents in all."""
+    k, bucket, n, mass = (counts.column(c).to_numpy() for c in ("kind", "bucket", "n", "mass"))
+    docs, total = np.zeros(BUCKETS), np.zeros(BUCKETS)
     w = (k == kind) & (bucket >= 0)
-    v[bucket[w]] = n[w]
-    return v, int(n[(k == kind) & (bucket < 0)].sum())
+    docs[bucket[w]], total[bucket[w]] = n[w], mass[w] / 1024
+    return docs, total, int(n[(k == kind) & (bucket < 0)].sum())
 
 
-def log_ratios(good, bad, raw) -> np.ndarray:
-    """Weight of each bucket; each argument: (documents with the bucket, documents)."""
-    (cg, ng), (cb, nb), (cr, nr) = good, bad, raw
-    against_raw = np.log((cg + PRIOR) / (cr * (ng / max(nr, 1)) + PRIOR))
-    against_bad = np.log((cg * (nb / max(ng, 1)) + PRIOR) / (cb + PRIOR))
-    same = np.sign(against_raw) == np.sign(against_bad)
-    w = np.where(same, np.sign(against_raw) * np.minimum(abs(against_raw), abs(against_bad)), 0)
-    return np.where(abs(w) >= LEAST, w, 0).astype(np.float32)
+def log_ratios(target, raw) -> np.ndarray:
+    """log p_target / p_raw of each bucket; each argument: (documents with the bucket, mass, documents)."""
+    (dt, ct, nt), (dr, cr, nr) = target, raw
+    scaled = cr * (ct.sum() / max(cr.sum(), 1e-9))
+    w = np.log((ct + PRIOR) / (scaled + PRIOR))
+    expected = dr * (nt / max(nr, 1))
+    w[abs(dt - expected) < SIGMAS * np.sqrt(expected + 1)] = 0
+    return w.astype(np.float32)
 
 
 def _scorer(shared, keep: list[str]):
@@ -139,74 +132,80 @@ def _scorer(shared, keep: list[str]):
         bags, w = Bags(), shared.value
         for b in batches:
             out = []
-            for _, _, data, offs in chunks(b.column("_text")):
-                text, bucket = bags.chunk(data, offs)
-                out.append(np.bincount(text, weights=w[bucket], minlength=len(offs) - 1))
+            for _, _, data, offs in chunks(b.column(_TEXT)):
+                text, bucket, times = bags.chunk(data, offs)
+                out.append(np.bincount(text, weights=times * w[bucket], minlength=len(offs) - 1))
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], names=[*keep, "log_weight"])
 
     return run
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of log odds a + b * x, a little regularised; Newton steps."""
-    m, s = x.mean(), x.std() or 1.0
-    z = np.stack([np.ones(len(x)), (x - m) / s], axis=1)
-    beta = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        g = z.T @ (y - p) - 1e-3 * beta
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, g)
-        beta += step
-        if abs(step).max() < 1e-9:
-            break
-    return float(beta[0] - beta[1] * m / s), float(beta[1] / s)
-
-
-def score(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = LABELLED) -> DataFrame:
-    """``keep`` columns, log_weight and log_odds of each document."""
+def best_cut(x: np.ndarray, good: np.ndarray) -> float:
+    """The value that parts good rows (at or above) from the others with the fewest errors; the middle one of the widest such gap."""
+    o = np.argsort(x, kind="stable")
+    v, y = x[o], good[o]
+    low = np.concatenate([[0], np.cumsum(y)])  # good rows below the cut
+    high = np.concatenate([np.cumsum(~y[::-1])[::-1], [0]])  # others at or above it
+    between = np.concatenate([[True], v[1:] > v[:-1], [True]])
+    errors = np.where(between, low + high, len(x) + 1)
+    at = np.flatnonzero(errors == errors.min())
+    edge = np.concatenate([[v[0] - 1], v, [v[-1] + 1]])
+    k = at[int(np.argmax(edge[at + 1] - edge[at]))]
+    return float((edge[k] + edge[k + 1]) / 2)
+
+
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], labelled: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``keep`` columns, log_weight and cut of each document; cut is null where no labels tell it."""
     spark = docs.sparkSession
     small_batches(spark)
     y = (F.min("quality") == 1) & (F.max("toxic") == 0)
-    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(y.alias("good"))
-    lab = written(lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
-    held = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) < 3
-    rows = docs.join(F.broadcast(lab), "doc_id")  # at most ``labelled`` rows
-    kinds = rows.where(~held).select("text", F.when(F.col("good"), 1).otherwise(2).alias("kind"))
+    lab = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias(_ID)).agg(y.alias("good"))
+    lab = written(lab.orderBy(F.xxhash64(_ID), _ID).limit(labelled))
+    held = F.pmod(F.xxhash64(_ID, F.lit(5)), F.lit(10)) < 3
+    mine = docs.select(F.col(id_col).cast("long").alias(_ID), F.col(text_col).alias(_TEXT))
+    rows = mine.join(F.broadcast(lab), _ID)  # at most ``labelled`` rows
+    rows = rows.groupBy(_ID, "good").agg(F.min(_TEXT).alias(_TEXT))
+    kinds = rows.where(~held).select(_TEXT, F.when(F.col("good"), 1).otherwise(2).alias("kind"))
     seen = bucket_counts(kinds).toArrow()
-    good, bad = _vector(seen, 1), _vector(seen, 2)
-    w, a, b = np.zeros(BUCKETS, np.float32), 0.0, 0.0
-    if good[1] and bad[1]:
-        raw = bucket_counts(docs.select("text", F.lit(0).alias("kind"))).toArrow()
-        w = log_ratios(good, bad, _vector(raw, 0))
+    target, others = _vectors(seen, 1), _vectors(seen, 2)
+    w, cut = np.zeros(BUCKETS, np.float32), None
+    known = target[2] and others[2]
+    if known:
+        raw = bucket_counts(mine.select(_TEXT, F.lit(0).alias("kind"))).toArrow()
+        w = log_ratios(target, _vectors(raw, 0))
     shared = spark.sparkContext.broadcast(w)
-    out = [c for c in keep if c not in ("log_weight", "log_odds")]
+    keep = [c for c in keep if c not in ("log_weight", "cut", "kept")]
     field = T.StructField("log_weight", T.DoubleType())
-    run = lambda df, cols: df.select(*cols, F.col("text").alias("_text")).mapInArrow(_scorer(shared, cols), T.StructType([df.schema[c] for c in cols] + [field]))
-    if good[1] and bad[1]:
-        curve = run(rows.where(held), ["good"]).toArrow()
-        x, t = curve.column("log_weight").to_numpy(), curve.column("good").to_numpy().astype(float)
-        if len(set(t.tolist())) == 2:
-            a, b = logistic(x, t)
-    return run(docs, out).withColumn("log_odds", F.lit(a) + F.lit(b) * F.col("log_weight"))
+    run = lambda df, cols: df.mapInArrow(_scorer(shared, cols), T.StructType([df.schema[c] for c in cols] + [field]))
+    if known:
+        curve = run(rows.where(held).select("good", _TEXT), ["good"]).toArrow()
+        x, good = (np.asarray(curve.column(c).combine_chunks()) for c in ("log_weight", "good"))
+        if good.any() and not good.all():
+            cut = best_cut(x, good.astype(bool))
+    out = run(docs.select(*keep, F.col(text_col).alias(_TEXT)), keep)
+    return out.withColumn("cut", F.lit(cut).cast("double"))
 
 
-def resample(scored: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:
-    """``scored`` (written) with ``kept``: Gumbel top-k, k the number of rows with log odds of zero or more."""
+def gumbel(keys: list[str], seed: int):
     u = (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    noisy = F.col("log_odds") * SHARPNESS - F.log(-F.log(u))
+    return -F.log(-F.log(u))
+
+
+def resample(scored: DataFrame, keys: list[str], seed: int = 7) -> DataFrame:
+    """``scored`` (written) with ``kept``: Gumbel top-k on log_weight, k the number of rows whose weight reaches the cut."""
+    noisy = F.col("log_weight") + gumbel(keys, seed) - F.coalesce("cut", F.lit(0.0))
     h = F.floor((F.lit(0.5) - F.atan(noisy / 8) / F.lit(np.pi)) * F.lit(float(1 << BITS))).cast("long")
     h = F.least(F.greatest(h, F.lit(0)), F.lit((1 << BITS) - 1))
-    k = scored.where("log_odds >= 0").count()
+    k = scored.where("cut IS NULL OR log_weight >= cut").count()
     items = written(scored.select(F.lit(0).cast("long").alias("grp"), h.alias("h"), F.lit(1).cast("long").alias("size")))
     budget = scored.sparkSession.range(1).select(F.col("id").alias("grp"), F.lit(float(k)).alias("budget"))
-    cut = thresholds(items, budget, 1).first()["threshold"]
-    return scored.withColumn("kept", h < F.lit(cut))
+    last = thresholds(items, budget, 1).first()["threshold"]
+    return scored.withColumn("kept", h < F.lit(last))
 
 
 def op8_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    scored = written(score(rows, labels, ["doc_id", "_h"]))
-    return resample(scored, ["doc_id", "_h"]).select("doc_id", "log_weight", "log_odds", "kept")
+    rows = docs.withColumn("_tessera_h", F.xxhash64("text"))
+    scored = written(score(rows, labels, ["doc_id", "_tessera_h"]))
+    return resample(scored, ["doc_id", "_tessera_h"]).select("doc_id", "log_weight", "cut", "kept")

@@ -3,8 +3,11 @@
 Texts are tokenised once and the ids written. Every id is counted over all documents
 and ids are ranked by falling count (the table has at most one entry per id of the
 vocabulary). Each document's ranks are then encoded in 1 to 4 bytes; a separate
-control byte holds the lengths of four of them. Documents go by doc_id ranges to the
-tasks that write the files, one file a range, in ascending doc_id order.
+control byte holds the lengths of four of them. Documents go by ranges of (doc_id,
+number of ids, hash of the ids) to the tasks that write the files, one file a range, in
+ascending order; Spark samples the ranges, so many rows of one doc_id, or without one,
+are spread too. A file holds about ``FILE_TOKENS`` tokens, fewer while that would leave
+tasks idle.
 
 File format, little-endian. A file is a run of blocks of at most about
 ``BLOCK_TOKENS`` tokens: header ``<4sIQQQ`` (magic FVB1, documents, tokens, control
@@ -16,12 +19,15 @@ the attempt's own and renamed, so that a task that runs twice leaves one whole f
 Decoding looks the lengths of a control byte up in a 256 x 4 table, sums them to
 offsets and gathers the bytes of all tokens of a block at once.
 
-Tokens come from the ``tokenizers`` library. A text is cut at single spaces between
-other characters, where a byte-level tokenizer always cuts too, and the ids of pieces
-that were seen before come from a table of ``SLOTS`` pieces.
+Tokens come from the ``tokenizers`` library as it is loaded: strings of added tokens in
+a text become their ids; ``special_as_text`` makes them ordinary text. A text is cut at
+single spaces between other characters, where a byte-level tokenizer always cuts too,
+and the ids of pieces that were seen before come from a table of ``SLOTS`` pieces;
+texts with the string of an added token go to the library whole.
 
 Defined results: null text counts as empty and gets the end id only; null doc_ids
-come first; rows that repeat a doc_id follow each other in order of their ids; an
+come first; rows that repeat a doc_id follow each other in order of the number of their
+ids, then a hash of these; very long texts are encoded whole, in memory of one text; an
 empty table gives no files and an empty result; other columns are ignored.
 """
 
@@ -45,7 +51,8 @@ from .textscan import Scanner, chunks, mix64
 BLOCK_TOKENS = 1 << 20
 #: Slots of the table of pieces, and tokens that it holds.
 SLOTS, POOL = 1 << 21, 8 << 20
-FILE_ROWS = 8192
+#: Tokens of a file, and tokens below which no more files are made to keep tasks busy.
+FILE_TOKENS, LEAST_TOKENS = 1 << 26, 1 << 20
 HEADER = "<4sIQQQ"
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -64,14 +71,16 @@ class Encoder:
     the tokens that begin with a space. Other tokenizers get whole texts.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.end = end_id
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = special_as_text
         kind = json.loads(self.tok.to_str())
+        added = [t for t in kind.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        self.added = [t["content"].encode() for t in added]
         pre = kind.get("pre_tokenizer") or {}
         self.cuts = kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.scan = Scanner("space", lower=False)
@@ -84,11 +93,11 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
 
     @classmethod
-    def of_worker(cls, path: str, end_id: int) -> Encoder:
-        memory = _worker_memory()
-        if (path, end_id) not in memory:
-            memory[path, end_id] = cls(path, end_id)
-        return memory[path, end_id]
+    def of_worker(cls, path: str, end_id: int, special_as_text: bool = False) -> Encoder:
+        memory, key = _worker_memory(), (path, end_id, special_as_text)
+        if key not in memory:
+            memory[key] = cls(*key)
+        return memory[key]
 
     def pieces(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pieces, and whether each may be joined to others (one space, at its start, and no odd end)."""
@@ -138,13 +147,27 @@ class Encoder:
     def encode(self, column):
         """(first row, last row + 1, ids, number of ids of each row) of slices of a string column."""
         for i, j, data, offs in chunks(column):
-            if not self.cuts or not len(data):
-                raw = data.tobytes()
-                texts = [raw[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+            whole = self._whole(data, offs) if self.cuts and len(data) else np.ones(j - i, bool)
+            cut = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), j - i], strict=True):
+                part, at = data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                if not whole[a] and len(part):
+                    yield i + a, i + b, *self._chunk(part, at)
+                    continue
+                raw = part.tobytes()
+                texts = [raw[x:y].decode() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 each = [np.array([*e.ids, self.end], np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-                yield i, j, np.concatenate(each), np.array([len(x) for x in each], np.int64)
-                continue
-            yield i, j, *self._chunk(data, offs)
+                yield i + a, i + b, np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+    def _whole(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Which texts hold the string of an added token."""
+        found, raw = np.zeros(len(offs) - 1, bool), data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                found[int(np.searchsorted(offs, at, side="right")) - 1] = True
+                at = raw.find(token, at + 1)
+        return found
 
     def _chunk(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start, simple = self.pieces(data, offs)
@@ -233,11 +256,11 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int, special_as_text: bool = False) -> DataFrame:
     """doc_id, n, ids (2 bytes each where the vocabulary allows, else 4) of each document."""
 
     def run(batches):
-        enc = Encoder.of_worker(path, end_id)
+        enc = Encoder.of_worker(path, end_id, special_as_text)
         kind = _id_type(enc.tok.get_vocab_size(), end_id)
         for b in batches:
             for i, j, ids, n in enc.encode(b.column(1)):
@@ -272,11 +295,11 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("n", "ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, out_uri: str, end_id: int = 2, file_rows: int = FILE_ROWS) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, out_uri: str, end_id: int = 2, special_as_text: bool = False, file_tokens: int = FILE_TOKENS, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes ranks.bin and the files; returns (file, path, docs, tokens), one row a file."""
     spark = docs.sparkSession
     small_batches(spark)
-    tokens = written(tokenised(docs, tokenizer, end_id))
+    tokens = written(tokenised(docs, tokenizer, end_id, special_as_text))
     rows = token_counts(tokens).orderBy(F.desc("n"), "token").collect()
     ids = np.array([r["token"] for r in rows], dtype=np.uint32)
     fs, root = _filesystem(out_uri)
@@ -285,37 +308,25 @@ def write_tokens(docs: DataFrame, tokenizer: str, out_uri: str, end_id: int = 2,
         f.write(ids.astype("<u4").tobytes())
     rank = np.zeros(int(ids.max()) + 1 if len(ids) else 1, dtype=np.uint32)
     rank[ids] = np.arange(len(ids))
-    total = tokens.count()
-    n_files = max(1, -(-total // file_rows))
-    cuts = [x / n_files for x in range(1, n_files)]
-    bounds = np.array(sorted(set(tokens.select(F.percentile_approx("doc_id", cuts, 10 * n_files)).first()[0] or [])) if cuts else [], dtype=np.int64)
-    shared = spark.sparkContext.broadcast((rank, bounds))
-
-    def encode(batches):
-        rank, bounds = shared.value
-        for b in batches:
-            file = np.searchsorted(bounds, np.array(b.column(0).fill_null(-(2**63))), side="right")
-            blobs = [b"".join(encode_ranks(rank[_ids(n, x.as_py())])) for n, x in zip(b.column(1).to_pylist(), b.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(file, pa.int32()), b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["file", "doc_id", "n", "blob"])
+    total = sum(r["n"] for r in rows)
+    n_files = max(1, -(-total // file_tokens), min(4 * spark.sparkContext.defaultParallelism, total // least_tokens))
+    shared = spark.sparkContext.broadcast(rank)
 
     def save(batches):
+        from pyspark import TaskContext
+
         fs, root = _filesystem(out_uri)
-        at, done = None, []
+        rank, at = shared.value, None
         for b in batches:
-            cols = [b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)]
-            for f, d, n, x in zip(*cols, strict=True):
-                if at is None or f != at.file:
-                    if at is not None:
-                        done.append(at.close())
-                    at = _Writer(fs, root, f)
-                at.add(d, n, x.as_py())
-        if at is not None:
-            done.append(at.close())
+            for d, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                at = at or _Writer(fs, root, TaskContext.get().partitionId())
+                at.add(d, n, encode_ranks(rank[_ids(n, x.as_py())]))
+        done = [at.close()] if at is not None else []
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("file", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    coded = tokens.mapInArrow(encode, "file int, doc_id long, n long, blob binary")
-    placed = coded.repartitionById(n_files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "n", "blob")
-    files = placed.mapInArrow(save, "file long, path string, docs long, tokens long").collect()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("h")]
+    placed = tokens.withColumn("h", F.xxhash64("ids")).repartitionByRange(n_files, *order).sortWithinPartitions(*order)
+    files = placed.select("doc_id", "n", "ids").mapInArrow(save, "file long, path string, docs long, tokens long").collect()
     return spark.createDataFrame(sorted(files), "file long, path string, docs long, tokens long")
 
 
@@ -328,8 +339,8 @@ class _Writer:
         self.rows: list[tuple] = []
         self.held = 0
 
-    def add(self, doc_id, n: int, blob: bytes) -> None:
-        self.rows.append((doc_id, n, blob))
+    def add(self, doc_id, n: int, coded: tuple[bytes, bytes]) -> None:
+        self.rows.append((doc_id, n, *coded))
         self.held += n
         if self.held >= BLOCK_TOKENS:
             self.flush()
@@ -337,13 +348,11 @@ class _Writer:
     def flush(self) -> None:
         if not self.rows:
             return
-        control = [x[: -(-n // 4)] for _, n, x in self.rows]
-        data = [x[-(-n // 4) :] for _, n, x in self.rows]
-        c, d = b"".join(control), b"".join(data)
+        c, d = (b"".join(r[k] for r in self.rows) for k in (2, 3))
         self.out.write(struct.pack(HEADER, b"FVB1", len(self.rows), self.held, len(c), len(d)))
-        self.out.write(np.array([i or 0 for i, _, _ in self.rows], dtype="<i8").tobytes())
-        self.out.write(np.array([i is None for i, _, _ in self.rows], dtype=np.uint8).tobytes())
-        self.out.write(np.array([n for _, n, _ in self.rows], dtype="<i8").tobytes())
+        self.out.write(np.array([i or 0 for i, *_ in self.rows], dtype="<i8").tobytes())
+        self.out.write(np.array([i is None for i, *_ in self.rows], dtype=np.uint8).tobytes())
+        self.out.write(np.array([n for _, n, *_ in self.rows], dtype="<i8").tobytes())
         self.out.write(c)
         self.out.write(d)
         self.docs, self.tokens = self.docs + len(self.rows), self.tokens + self.held
