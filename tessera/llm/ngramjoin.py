@@ -20,13 +20,20 @@ sketches (twice a spanning forest of what passes, verified and connected, then a
 that still passes), and buckets with very many are keyed anew by another hash.
 Pairs of one component need no look. Every listed pair is verified on the sets.
 
-Tasks hold at most ``HELD`` members of a bucket; nothing is collected to the driver.
+Hot buckets are split. Keys that a sample of the sets holds most often get their
+first member beforehand, by broadcast of at most four rows a shuffle partition, so
+their members need not meet. A large bucket is compared by blocks: its largest
+component in blocks of ``BLOCK`` members, and what lies outside it in blocks too; each
+block of the one meets each of the other in a task of its own, and a member of the
+largest component never meets another. Tasks hold at most ``HELD`` numbers of members,
+or the sketches of two blocks; nothing is collected to the driver.
 
 Defined results: A-Z count as a-z; words are runs without ASCII white space; with
 fewer words than a shingle has, the whole sequence is one shingle; null, empty and
-blank texts have no shingle and link with nothing; rows that repeat a doc_id are rows
-of their own; null doc_ids link like others but never name a component unless it has
-no other; an empty table gives an empty result.
+blank texts have no shingle and link with nothing; very long texts are read whole, one
+at a time; rows that repeat a doc_id are rows of their own; null doc_ids link like
+others but never name a component unless it has no other; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +43,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, release, small_batches, written
+from .common import components, joined_small, release, small_batches, written
 from .textscan import Scanner, chunks, mix64, ngrams, utf8
 
 #: Upper sizes of neighbouring bands differ by this factor; it must be at least 1 / similarity.
 BAND = 1.4
 #: Cross pairs of a bucket that are listed without the filter, with it, and members a task holds.
 PLAIN, FILTERED, HELD = 64, 4_000_000, 100_000
+#: Members of a block, bytes of the sketches compared in it, and bytes of the products of one step.
+BLOCK, FOLD, STEP = 2000, 1 << 14, 8 << 20
+#: One of so many sets tells which keys are hot, if it meets a key in so many of these.
+SAMPLE, HOT = 16, 8
 #: Partners of a set that are verified before buckets are listed: at most one of each 64th of the partners, the best of these.
 LEADS = 3
 _U = np.uint64
@@ -145,7 +156,7 @@ def _dense(x: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 
 
 def _profile(num: int, den: int, k: int):
-    """doc_id, n, h1, h2 and the segments (32 bits each, for the set's band, then for the band below if it reaches there)."""
+    """doc_id, row, n, h1, h2 and the segments (32 bits each, for the set's band, then for the band below if it reaches there); columns doc_id, text, row."""
 
     def run(batches):
         scan, sk = Scanner("space"), Sketcher(num, den)
@@ -165,8 +176,8 @@ def _profile(num: int, den: int, k: int):
                 order = np.argsort(rows, kind="stable")
                 raw = v[_runs(base[:-1][order], np.diff(base)[order])].astype("<u4").tobytes()
                 parts = [raw[e - 4 * m : e] for e, m in zip(ends.tolist(), each.tolist(), strict=True)]
-                cols = [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parts, pa.binary()), pa.array(_dense(x, bounds), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "parts", "dense"])
+                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parts, pa.binary()), pa.array(_dense(x, bounds), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n", "h1", "h2", "parts", "dense"])
 
     return run
 
@@ -234,27 +245,30 @@ def _keys_of_sets(num: int, den: int, level: int):
 
 
 def _stars(batches):
-    """(rid, lead) for all members of a bucket but the first; rows come sorted by key, then rid."""
+    """(rid, lead) for all members of a bucket but its lead: the given one, else the first; rows (key, rid, lead) come sorted by key, then rid."""
     last_key = last_lead = None
     for b in batches:
         key, rid = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(key):
             continue
+        given = np.asarray(b.column(2).is_valid())
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
         new[0] = last_key is None or key[0] != last_key
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
         lead = np.where(at >= 0, rid[np.maximum(at, 0)], last_lead if last_lead is not None else 0)
         last_key, last_lead = key[-1], lead[-1]
+        if given.any():
+            lead = np.where(given, np.asarray(b.column(2).fill_null(0)), lead)
         w = np.flatnonzero(lead != rid)
         if len(w):
             yield pa.RecordBatch.from_arrays([pa.array(rid[w]), pa.array(lead[w])], names=["rid", "lead"])
 
 
 def _cross(listed: int):
-    """Cross pairs of buckets with several components, as (kind 0, x, y), or their members as (kind 1, key, rid), if more than ``listed``.
+    """Cross pairs of buckets with several components, as (kind 0, x, y), or their members as (kind 1, key, rid), if more than ``listed`` or hot.
 
-    Columns key, rid, comp, sorted by key.
+    Columns key, rid, comp, hot, sorted by key.
     """
 
     def group(key, rid, comp):
@@ -279,6 +293,10 @@ def _cross(listed: int):
         over, pending = False, 0
         for b in batches:
             key, rid, comp = (b.column(i).to_numpy() for i in range(3))
+            hot = np.asarray(b.column(3))
+            if hot.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(int(hot.sum()), np.int8)), pa.array(key[hot]), pa.array(rid[hot])], names=["kind", "x", "y"])
+                key, rid, comp = key[~hot], rid[~hot], comp[~hot]
             if not len(key):
                 continue
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -320,26 +338,29 @@ def _fold(blob: bytes, size: int) -> np.ndarray:
 
 
 def _filtered(num: int, den: int, forest: bool):
-    """Cross pairs of large buckets that pass the size and Hamming filters; columns key, rid, comp, n, dense, sorted by key.
+    """Cross pairs of large buckets that pass the size and Hamming filters; columns key, grp, rid, comp, n, dense, other, sorted by key and grp.
 
-    ``forest``: only pairs that join parts of the bucket which no pair so far has joined,
+    Rows with ``other`` meet rows without it only, if a group has both.
+    ``forest``: only pairs that join parts of the group which no pair so far has joined,
     fewer than it has members; else all.
     """
 
     def near(a, b):
         (ca, na, da), (cb, nb, db) = a, b
+        step = max(64, STEP // (8 * da.shape[1]))
         small, large = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
         i, j = np.nonzero((ca[:, None] != cb[None]) & (num * large <= den * small))
-        for s in range(0, len(i), 1 << 16):
-            p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+        for s in range(0, len(i), step):
+            p, q = i[s : s + step], j[s : s + step]
             ham = np.bitwise_count(da[p] ^ db[q]).sum(axis=1, dtype=np.int64)
             w = ham * (den + num) <= (na[p] + nb[q]) * (den - num)
             yield p[w], q[w]
 
-    def bucket(rows):
-        rid, comp, n = (np.array([r[i] for r in rows]) for i in range(3))
-        size = min(len(r[3]) for r in rows)
-        dense = np.stack([_fold(r[3], size) for r in rows]).view(np.uint64)
+    def group(parts):
+        rid, comp, n, other = (np.concatenate([x[i] for x in parts]) for i in range(4))
+        blobs = [d for x in parts for d in x[4]]
+        size = min(map(len, blobs))
+        dense = np.stack([_fold(d, size) for d in blobs]).view(np.uint64)
         up: dict[int, int] = {}
 
         def find(x):
@@ -348,11 +369,14 @@ def _filtered(num: int, den: int, forest: bool):
                 x = y
             return x
 
-        for a in range(0, len(rows), 1000):
-            for b in range(a, len(rows), 1000):
-                one, two = (tuple(z[s : s + 1000] for z in (comp, n, dense)) for s in (a, b))
-                for p, q in near(one, two):
-                    p, q = p + a, q + b
+        split = other.any() and not other.all()
+        rows = np.arange(len(rid))
+        sides = (rows[~other], rows[other]) if split else (rows, rows)
+        for a in range(0, len(sides[0]), 1000):
+            for b in range(0 if split else a, len(sides[1]), 1000):
+                one, two = sides[0][a : a + 1000], sides[1][b : b + 1000]
+                for p, q in near((comp[one], n[one], dense[one]), (comp[two], n[two], dense[two])):
+                    p, q = one[p], two[q]
                     if forest:
                         keep = []
                         for k, (x, y) in enumerate(zip(comp[p].tolist(), comp[q].tolist(), strict=True)):
@@ -368,16 +392,22 @@ def _filtered(num: int, den: int, forest: bool):
                     comp = np.array([find(c) for c in comp.tolist()])
 
     def run(batches):
-        key, rows = None, []
+        last, held = None, []
         for b in batches:
-            for k, *row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if k != key:
-                    if rows:
-                        yield from bucket(rows)
-                    key, rows = k, []
-                rows.append(row)
-        if rows:
-            yield from bucket(rows)
+            key, grp, rid, comp, n = (b.column(i).to_numpy() for i in range(5))
+            if not len(key):
+                continue
+            other = np.asarray(b.column(6))
+            dense = [d if len(d) <= FOLD else _fold(d, FOLD).tobytes() for d in b.column(5).to_pylist()]
+            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (grp[1:] != grp[:-1])))
+            for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+                if held and last != (key[a], grp[a]):
+                    yield from group(held)
+                    held = []
+                last = key[a], grp[a]
+                held.append((rid[a:e], comp[a:e], n[a:e], other[a:e], dense[a:e]))
+        if held:
+            yield from group(held)
 
     return run
 
@@ -438,31 +468,91 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, rows["rid"] == comps["id"], "left").select(*rows.columns, F.coalesce("comp", "rid").alias("comp"))
 
 
+def _hot_keys(sample: DataFrame) -> DataFrame:
+    """(key, lead) of the keys that ``sample`` (key, rid) holds most often, at most four a shuffle partition; written.
+
+    By their number, every key that fills a quarter of a mean partition is among them,
+    but for chance in the sample: that costs time only.
+    """
+    most = 4 * int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = sample.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("lead")).where(F.col("c") >= HOT)
+    return written(counts.orderBy(F.desc("c"), "key").limit(most).select("key", "lead"))
+
+
+def _sampled(rows: DataFrame) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0)
+
+
+def _by_key(rows: DataFrame, hot) -> DataFrame:
+    """Rows of a key in one task and in order, those of hot keys dealt over many."""
+    salt = F.when(hot, F.pmod(F.xxhash64("rid"), F.lit(1 << 20))).otherwise(F.lit(0))
+    return rows.repartition("key", salt).sortWithinPartitions("key", "rid")
+
+
+def _blocks(many: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, rid, comp) and, for keys with cross pairs, key, main (its largest component), p (cross pairs), na and nb (blocks of that and of the others; 0: one group)."""
+    lab = written(_labelled(many, comps).select("key", "rid", "comp"))
+    c = F.col("c").cast("double")
+    load = lab.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+    load = load.agg(F.max(F.struct("c", "comp")).alias("x"), F.sum("c").alias("m"), F.sum(c * c).alias("q"))
+    m = F.col("m").cast("double")
+    n = lambda size: F.when(F.col("m") <= BLOCK, F.lit(0)).otherwise(F.ceil(size / F.lit(BLOCK))).cast("long")
+    load = load.select("key", F.col("x.comp").alias("main"), ((m * m - F.col("q")) / 2).alias("p"), n(F.col("x.c")).alias("na"), n(F.col("m") - F.col("x.c")).alias("nb"))
+    return lab, written(load.where("p > 0"))
+
+
+def _groups(lab: DataFrame, load: DataFrame) -> DataFrame:
+    """key, grp, rid, comp, other: every cross pair of a key meets in a group, each of at most two blocks."""
+    rows = lab.join(load, "key")
+    out, na, nb = F.col("comp") != F.col("main"), F.greatest("na", F.lit(1)), F.greatest("nb", F.lit(1))
+    a, b = F.pmod(F.xxhash64("rid"), na), F.pmod(F.xxhash64("rid", F.lit(1)), nb)
+    of_main = F.transform(F.sequence(F.lit(0).cast("long"), nb - 1), lambda y: a * nb + y)
+    of_out = F.transform(F.sequence(F.lit(0).cast("long"), na - 1), lambda y: y * nb + b)
+    among = F.transform(F.sequence(F.lit(0).cast("long"), nb - 1), lambda y: -1 - (F.least(b, y) * nb + F.greatest(b, y)))
+    grp = F.when(F.col("na") == 0, F.array(F.lit(0).cast("long"))).when(out, F.concat(of_out, among)).otherwise(of_main)
+    rows = rows.select("key", "rid", "comp", (out & (F.col("na") > 0)).alias("out"), F.explode(grp).alias("grp"))
+    return rows.select("key", "grp", "rid", "comp", (F.col("out") & (F.col("grp") >= 0)).alias("other"))
+
+
+def _component_ids(named: DataFrame) -> DataFrame:
+    """h1, h2, comp and component_id of classes (written: rid, comp, doc_id, h1, h2); large components by broadcast, the others by a join on comp."""
+    least = written(named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")))
+    large = least.where(F.col("c") > BLOCK).select("comp", F.col("component_id").alias("one"), F.lit(True).alias("is_large"))
+    rows = joined_small(named, large, "comp", large.count(), "left")
+    done = rows.where("is_large").select("h1", "h2", "comp", F.col("one").alias("component_id"))
+    rest = rows.where("is_large IS NULL").select("h1", "h2", "comp").join(least.select("comp", "component_id"), "comp")
+    return done.union(rest.select("h1", "h2", "comp", "component_id"))
+
+
 def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, row, n_shingles, comp (a number of the component's own), component_id.
+    """One row per row of ``docs``: doc_id, row, n_shingles, comp (a number of the component's own; null without shingles), component_id.
 
     Two rows link when den * |intersection| >= num * |union| of their sets of ``shingle``
-    words. ``row_col``: a column of a written table that tells all rows apart; without
-    it one is made, which is not kept between two reads of ``docs``.
+    words. ``row_col``: a long that tells all rows apart whenever ``docs`` is read; without
+    it doc_id and text are written once more, with a number.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile = docs.mapInArrow(_profile(num, den, shingle), "doc_id long, n long, h1 long, h2 long, parts binary, dense binary")
+    cols = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    docs = written(docs.select(*cols, F.monotonically_increasing_id().alias("row"))) if row_col is None else docs.select(*cols, F.col(row_col).alias("row"))
+    profile = docs.mapInArrow(_profile(num, den, shingle), "doc_id long, row long, n long, h1 long, h2 long, parts binary, dense binary")
     profile = written(profile.withColumn("rid", F.monotonically_increasing_id()))
-    classes = profile.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("rid").alias("rid"))
-    classes = written(classes)
+    first = F.min(F.struct("rid", "row")).alias("x")
+    classes = profile.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), first)
+    classes = written(classes.select("h1", "h2", "doc_id", "n", "x.rid", "x.row"))
     dense = profile.select("rid", "n", "dense")
 
-    def keys_of(which: DataFrame) -> DataFrame:
-        rows = profile.select("rid", "n", "parts").join(which.select("rid"), "rid", "left_semi")
+    def keys_of(which: DataFrame, part=lambda rows: rows) -> DataFrame:
+        rows = part(profile.select("rid", "n", "parts")).join(which.select("rid"), "rid", "left_semi")
         return rows.mapInArrow(_keys_of_parts(num, den), "key long, rid long")
 
     def sets_of(which: DataFrame) -> DataFrame:
-        hit = docs.withColumnRenamed("doc_id", "_id").join(which.select("doc_id", "n", "h1", "h2", "rid"), F.col("_id").eqNullSafe(F.col("doc_id")))
+        hit = docs.select("text", "row").join(which.select("n", "h1", "h2", "rid", "row"), "row")
         return hit.select("text", "n", "h1", "h2", "rid").mapInArrow(_sets(shingle), "rid long, set binary")
 
-    stars = keys_of(classes).repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_stars, "rid long, lead long")
+    hot = _hot_keys(keys_of(classes, _sampled))
+    rows = keys_of(classes).join(F.broadcast(hot), "key", "left").select("key", "rid", "lead")  # at most four rows a partition
+    stars = _by_key(rows, F.col("lead").isNotNull()).mapInArrow(_stars, "rid long, lead long")
     stars = written(stars.groupBy("rid", "lead").agg(F.count("*").alias("m")))
     release(spark)
     involved = stars.select("rid").union(stars.select("lead")).distinct()
@@ -485,40 +575,51 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
     rows = keys_of(involved)
     for level in range(4):
-        rows = _labelled(rows, comps).select("key", "rid", "comp")
-        out = written(rows.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
+        if level:
+            hot = _hot_keys(_sampled(rows))
+        if not hot.isEmpty():  # hot keys of one component have no cross pairs; the others go to the blocks
+            ends = _labelled(rows.join(F.broadcast(hot.select("key")), "key"), comps).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+            flags = hot.select("key").join(ends, "key").select("key", (F.col("a") < F.col("b")).alias("hot"))
+            rows = rows.join(F.broadcast(written(flags)), "key", "left").where("hot IS NULL OR hot")
+        else:
+            rows = rows.withColumn("hot", F.lit(None).cast("boolean"))
+        rows = _labelled(rows, comps).select("key", "rid", "comp", F.coalesce("hot", F.lit(False)).alias("hot"))
+        out = written(_by_key(rows, F.col("hot")).mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
         pairs = out.where("kind = 0").select("x", "y")
         many = out.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("rid"))
-        load = _labelled(many, comps).groupBy("key", "comp").agg(F.count("*").alias("c"))
-        load = load.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"))
-        huge = written(load.where(F.col("p") > FILTERED).select("key")) if level < 3 else None
-        here = many if huge is None else many.join(huge, "key", "left_anti")
-        here = written(here.join(dense, "rid").select("key", "rid", "n", "dense"))
+        lab, load = _blocks(many, comps)
+        huge = load.where(F.col("p") > FILTERED) if level < 3 else load.limit(0)
+        load = load.where(F.col("p") <= FILTERED) if level < 3 else load
+        here = lab.select("key", "rid").join(load.select("key"), "key", "left_semi")
         for forest in (True, True, False):
-            rows = _labelled(here, comps).select("key", "rid", "comp", "n", "dense").repartition("key").sortWithinPartitions("key", "rid")
+            rows = _groups(lab, load).join(dense, "rid").select("key", "grp", "rid", "comp", "n", "dense", "other")
+            rows = rows.repartition("key", "grp").sortWithinPartitions("key", "grp")
             near = rows.mapInArrow(_filtered(num, den, forest), "x long, y long")
             links = links.union(verified(written(pairs.union(near).distinct())))
             if forest:
                 comps = written(components(links))
                 pairs = pairs.limit(0)
-        if huge is None or huge.isEmpty():
+                lab, load = _blocks(here, comps)
+                if load.isEmpty():
+                    break
+        if huge.isEmpty():
             break
-        more = many.join(huge, "key")
+        more = many.join(huge.select("key"), "key")
         sets = sets_of(classes.join(more.select("rid").distinct(), "rid", "left_semi")).dropDuplicates(["rid"])
-        rows = more.join(sets, "rid").select("rid", "set", "key").mapInArrow(_keys_of_sets(num, den, level + 1), "key long, rid long")
+        rows = written(more.join(sets, "rid").select("rid", "set", "key").mapInArrow(_keys_of_sets(num, den, level + 1), "key long, rid long"))
 
     comps = written(components(links))
-    named = _labelled(classes, comps)
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "comp").select("h1", "h2", "component_id")
-    out = profile.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    named = written(_labelled(classes, comps).select("rid", "comp", "doc_id", "h1", "h2"))
+    out = profile.select("doc_id", "row", "n", "h1", "h2").join(_component_ids(named), ["h1", "h2"], "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2", comp.alias("component_id"))
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "comp", comp.alias("component_id"))
 
 
 def op5_ngram_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return link_components(docs, shingle=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")  # two rows with one number do no harm
+    docs = docs.select("doc_id", "text", row)
+    return link_components(docs, shingle=4, num=85, den=100, row_col="row").select("doc_id", "n_shingles", "component_id")
 
 
 OP5_SQL = r"""
