@@ -3,18 +3,23 @@
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded. Every
 window of ``WINDOW`` hashes of k words keeps its minimum, so two texts that share
 ``k + WINDOW - 1`` words (ten: five and six) share a fingerprint in that span. The
-fingerprints of the test items are a sorted array at hand in every task; each
-matching fingerprint of a document is extended both ways, word by word, and a run of
-ten equal words or more is a hit. Items of fewer than ten words are one window each
-and are found by the hash of the whole item, for each length that occurs.
+fingerprints of the test items are a sorted array at hand in every task; around each
+matching fingerprint of a document, the ten-word spans that contain it are looked up
+among those of the items, and spans that touch grow into one hit. Work is linear in
+the words of a document however often it or an item repeats itself. Items of fewer
+than ten words are one window each and are found by the hash of the whole item, for
+each length that occurs. Equal items are held once.
 
 The join needs no shuffle: documents are scanned where they lie. The test set is
 read in blocks of at most ``BLOCK_BYTES`` of text; a larger set takes one more pass a
-block, and no block is left out.
-
-Defined results: null text has no words; an item without words never occurs; an item
-with null id marks its words but is not named; equal items are each named; an empty
-test set hits nothing; clashing column names of the input are replaced.
+block, with the table written between two passes, so that a task and the driver hold
+one block at a time, and no block is left out.
+
+Defined results: null text has no words; very long texts are scanned whole; an item
+without words never occurs; an item with null id marks its words but is not named;
+equal items are each named; repeated rows are rows of their own; an empty test set hits
+nothing; an empty table gives an empty result; input columns ``n_words``, ``hit_spans``
+and ``hit_items`` are replaced, names that begin with ``_tessera`` are reserved.
 """
 
 from __future__ import annotations
@@ -25,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, written
 from .textscan import Scanner, chunks, ngrams
 
 SPAN, K = 10, 5
 WINDOW = SPAN - K + 1
 BLOCK_BYTES = 32 << 20
+_TEXT = "_tessera_text"
 
 
 def winnow(g: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -48,81 +54,88 @@ def winnow(g: np.ndarray, valid: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Fingerprints of test items and their words."""
+    """Fingerprints and spans of the distinct test items; ``names[i]``: the ids of item i."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None]):
-        self.ids = ids
-        words = []
-        scan = Scanner("alnum")
-        for _, _, data, offs in chunks(pa.array(texts, pa.large_string())):
+        scan, seen = Scanner("alnum"), {}
+        self.names: list[set[str]] = []
+        prints, spans, short = [], [], {}
+        for i0, _, data, offs in chunks(pa.array(texts, pa.large_string())):
             w = scan.scan(data, offs)
-            words += [w.hash[a:b].copy() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        self.words = words
-        keys, items, at, short = [], [], [], {}
-        for i, h in enumerate(words):
-            if 0 < len(h) < SPAN:
-                short.setdefault(len(h), []).append((int(ngrams(h, len(h))[0]), i))
-            elif len(h) >= SPAN:
-                g = ngrams(h, K)
-                p = winnow(g, np.ones(len(g), bool))
-                keys.append(g[p])
-                items.append(np.full(len(p), i))
-                at.append(p)
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        k, it, p = cat(keys, np.uint64), cat(items, np.int64), cat(at, np.int64)
-        o = np.argsort(k, kind="stable")
-        self.key, self.item, self.at = k[o], it[o], p[o]
+            for r, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                h = w.hash[a:b]
+                if not len(h):
+                    continue
+                i = seen.setdefault(h.tobytes(), len(seen))
+                if i == len(self.names):
+                    self.names.append(set())
+                    if len(h) < SPAN:
+                        short.setdefault(len(h), []).append((int(ngrams(h, len(h))[0]), i))
+                    else:
+                        g = ngrams(h, K)
+                        prints.append(np.unique(g[winnow(g, np.ones(len(g), bool))]))
+                        s = np.unique(ngrams(h, SPAN))
+                        spans.append((s, np.full(len(s), i, np.int32)))
+                if ids[i0 + r] is not None:
+                    self.names[i].add(ids[i0 + r])
+        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
+        s = np.concatenate([x for x, _ in spans]) if spans else np.zeros(0, np.uint64)
+        items = np.concatenate([y for _, y in spans]) if spans else np.zeros(0, np.int32)
+        o = np.argsort(s, kind="stable")
+        self.spans, self.items = s[o], items[o]
         self.short = {}
         for n, rows in short.items():
             rows.sort()
             self.short[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64))
 
-    def hits(self, h: np.ndarray, doc: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, first word, last word + 1, item) of all runs; h: word hashes of consecutive texts, doc: text of each word."""
-        out: list[tuple[int, int, int, int]] = []
-        g = ngrams(h, K)
-        if len(self.key) and len(g) >= WINDOW:
+    def hits(self, h: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
+        """Hit spans (first word, last word + 1) and items of each text that has any; h: word hashes of consecutive texts, doc: text of each word."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[int]] = {}
+
+        def add(at, n, lo, hi, of):
+            """Spans of n words at ``at``, whose items are of[lo:hi]."""
+            d = doc[at]
+            cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (at[1:] > at[:-1] + n)))
+            ends = np.append(cut[1:], len(at)) - 1
+            for k, a, b in zip(d[cut].tolist(), at[cut].tolist(), (at[ends] + n).tolist(), strict=True):
+                out.setdefault(k, []).append((a - int(first[k]), b - int(first[k])))
+            pairs = np.unique(np.stack([d, lo, hi], 1), axis=0)
+            for k, a, b in pairs.tolist():
+                items.setdefault(k, set()).update(of[a:b].tolist())
+
+        def found(keys, g):
+            lo = np.searchsorted(keys, g, side="left")
+            ok = lo < len(keys)
+            ok[ok] = keys[lo[ok]] == g[ok]
+            return ok, lo
+
+        if len(self.prints) and len(h) >= SPAN:
+            g = ngrams(h, K)
             valid = doc[: len(h) - SPAN + 1] == doc[SPAN - 1 :]
             p = winnow(g, valid)
-            lo = np.searchsorted(self.key, g[p], side="left")
-            hit = lo < len(self.key)
-            hit[hit] = self.key[lo[hit]] == g[p[hit]]
-            p, lo = p[hit], lo[hit]
-            hi = np.searchsorted(self.key, g[p], side="right")
-            seen: dict[tuple[int, int], int] = {}
-            for at, a, b in zip(p.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                d = int(doc[at])
-                x, y = int(first[d]), int(first[d + 1])
-                for j in range(a, b):
-                    i, q = int(self.item[j]), int(self.at[j])
-                    shift = at - q
-                    if seen.get((i, shift), -1) >= at:
-                        continue
-                    w = self.words[i]
-                    u, v = max(0, x - shift), min(len(w), y - shift)
-                    eq = h[shift + u : shift + v] == w[u:v]
-                    odd = np.flatnonzero(~eq) + u
-                    k = int(np.searchsorted(odd, q))
-                    s = int(odd[k - 1]) + 1 if k else u
-                    e = int(odd[k]) if k < len(odd) else v
-                    seen[i, shift] = max(at, shift + e - 1)
-                    if e - s >= SPAN:
-                        out.append((d, shift + s - x, shift + e - x, i))
-        for n, (keys, items) in self.short.items():
+            p = p[found(self.prints, g[p])[0]]
+            near = np.zeros(len(valid), dtype=bool)  # spans that contain a matching fingerprint
+            for j in range(WINDOW):
+                at = p - j
+                near[at[(at >= 0) & (at < len(near))]] = True
+            at = np.flatnonzero(near & valid)
+            if len(at):
+                s = ngrams(h, SPAN)[at]
+                ok, lo = found(self.spans, s)
+                at, lo, s = at[ok], lo[ok], s[ok]
+                if len(at):
+                    add(at, SPAN, lo, np.searchsorted(self.spans, s, side="right"), self.items)
+        for n, (keys, of) in self.short.items():
             if len(h) < n:
                 continue
             g = ngrams(h, n)
-            lo = np.searchsorted(keys, g, side="left")
-            ok = lo < len(keys)
-            ok[ok] = keys[lo[ok]] == g[ok]
+            ok, lo = found(keys, g)
             ok &= doc[: len(g)] == doc[n - 1 :]
             p = np.flatnonzero(ok)
-            hi = np.searchsorted(keys, g[p], side="right")
-            for at, a, b in zip(p.tolist(), lo[p].tolist(), hi.tolist(), strict=True):
-                d = int(doc[at])
-                s = at - int(first[d])
-                out += [(d, s, s + n, int(items[j])) for j in range(a, b)]
-        return out
+            if len(p):
+                add(p, n, lo[p], np.searchsorted(keys, g[p], side="right"), of)
+        return out, items
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -149,14 +162,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col:
     keep = [c for c in keep if c not in ("n_words", "hit_spans", "hit_items")]
     added = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
     none = F.array().cast(SPANS), F.array().cast("array<string>")
-    df = docs.select(*keep, F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("n_words"), none[0].alias("hit_spans"), none[1].alias("hit_items"))
+    df = docs.select(*keep, F.col(text_col).alias(_TEXT), F.lit(0).cast("long").alias("n_words"), none[0].alias("hit_spans"), none[1].alias("hit_items"))
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k)
         rows = part.collect()
         index = spark.sparkContext.broadcast(Index([r[0] for r in rows], [r[1] for r in rows]))
-        carried = [*keep, "_text"] if k < n_blocks - 1 else keep
+        last = k == n_blocks - 1
+        carried = keep if last else [*keep, _TEXT]
         schema = T.StructType([df.schema[c] for c in carried] + added)
         df = df.mapInArrow(_scan_with(index, carried), schema)
+        if not last:
+            df = written(df)
+            index.unpersist()
     return df
 
 
@@ -166,20 +183,16 @@ def _scan_with(index, carried: list[str]):
         for b in batches:
             n_words, spans, items = [], [], []
             old = b.column("hit_spans").to_pylist(), b.column("hit_items").to_pylist()
-            for i, j, data, offs in chunks(b.column("_text")):
+            for i, j, data, offs in chunks(b.column(_TEXT)):
                 w = scan.scan(data, offs)
                 size = np.diff(w.first)
                 n_words += size.tolist()
-                found: dict[int, tuple[list, set]] = {}
-                for d, s, e, item in ix.hits(w.hash, np.repeat(np.arange(j - i), size), w.first):
-                    x = found.setdefault(d, ([], set()))
-                    x[0].append((s, e))
-                    x[1].add(ix.ids[item])
+                hit, named = ix.hits(w.hash, np.repeat(np.arange(j - i), size), w.first)
                 for d in range(j - i):
                     s, t = old[0][i + d], old[1][i + d]
-                    if d in found:
-                        s = [{"start": x, "end": y} for x, y in _merged([(x["start"], x["end"]) for x in s] + found[d][0])]
-                        t = sorted(set(t) | {x for x in found[d][1] if x is not None})
+                    if d in hit:
+                        s = [{"start": x, "end": y} for x, y in _merged([(x["start"], x["end"]) for x in s] + hit[d])]
+                        t = sorted(set(t).union(*(ix.names[x] for x in named[d])))
                     spans.append(s)
                     items.append(t)
             cols = [pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
