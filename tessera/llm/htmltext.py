@@ -3,20 +3,28 @@
 A page is cut into blocks at block-level tags; only a list of open containers is kept,
 no tree. Each block has its number of words and its link density, those of the blocks
 before and after, and what the page says about its place (article or main element,
-menu, footer, comments and the like by tag, class, id or role, heading, end mark,
-legal wording outside articles). A
+surroundings, heading, end mark, legal wording outside articles). A
 decision tree that was grown on a small labelled table (``labelled_table``, pages of a
 few site templates with every kind of surroundings) tells article blocks from others.
 A page is one row's work: no shuffle, and memory is that of one page.
 
+Surroundings are elements like menus, footers and comments by tag, role, class or id.
+Menus, footers and the like that have their end tag, what is hidden, and comments count
+as such in any case. A class name, a form or an element without its end tag is no more
+than a hint: it does not count if most words of the page and its main heading are in it,
+nor inside an article or main element that is no small one of the page.
+
 Defined results: null and empty html give an empty text; broken markup is read as far
-as it goes (unclosed tags, comments and quotes end with the page); script, style and
-similar elements are never text; white space of a block becomes single spaces;
-repeated rows are rows of their own; an empty table gives an empty result.
+as it goes (unclosed tags, comments and quotes end with the page), in time that grows
+with its length; script, style and similar elements are never text; white space of a
+block becomes single spaces; very long pages are read whole; repeated rows are rows of
+their own; an empty table gives an empty result; an input column ``text`` is replaced,
+names that begin with ``_tessera`` are reserved.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import random
 import re
@@ -39,6 +47,8 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
 BREAK = {"br", "img", "wbr", "input"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 AROUND = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "fieldset"}
+#: Marks of an element: a hint, surroundings if it has its end tag, surroundings in any case; and an article or main element.
+HINT, CLOSED, SURE, ARTICLE = 1, 2, 3, 4
 ROLES = {"navigation", "contentinfo", "complementary", "banner", "search", "form", "dialog", "alert", "menu", "menubar"}
 WORDS = set(
     "nav navbar navigation menu menubar sidebar side footer foot masthead banner cookie cookies consent gdpr notice notices alert popup modal overlay ad ads adv advert adverts advertisement "
@@ -52,12 +62,13 @@ END = re.compile(r"[.!?…:;。！？][\"'”’)\]]*$")
 FEATURES = ("words", "link", "words_before", "link_before", "words_after", "link_after", "inside", "around", "heading", "item", "ended", "legal", "page_has_article", "around_before", "around_after")
 
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds surroundings of the article."""
+def _marked(tag: str, attrs: str, inside: bool) -> int:
+    """How an element is marked as surroundings of the article; 0 if it is not."""
+    mark = 0
     if tag in AROUND or (tag == "header" and not inside):
-        return True
+        mark = HINT if tag in ("form", "header", "fieldset") else CLOSED
     if not attrs or tag in ("html", "body", "main") or tag in INLINE:
-        return False
+        return mark
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -65,17 +76,49 @@ def _marked(tag: str, attrs: str, inside: bool) -> bool:
                 parts = {p.lower() for p in PART.findall(one)}
                 if parts & {"has", "with", "no", "without"}:
                     continue
-                if parts & (COMMENT if tag == "article" else WORDS) or ("header" in parts and not inside and not parts & {"article", "post", "entry", "story", "page"}):
-                    return True
+                if parts & COMMENT:
+                    return SURE
+                if tag != "article" and (parts & WORDS or ("header" in parts and not inside and not parts & {"article", "post", "entry", "story", "page"})):
+                    mark = max(mark, HINT)
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                mark = max(mark, CLOSED)
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
+                return SURE
         elif name == "hidden" or value.lower() == "true":
-            return True
-    return False
+            return SURE
+    return mark
+
+
+class _Places:
+    """The marked elements of a page, each with the one around it, and what lies in them."""
+
+    def __init__(self):
+        self.up, self.mark, self.inside = [-1], [0], [False]
+        self.closed, self.words, self.main_heading = [True], [0], [False]
+
+    def add(self, up: int, mark: int, inside: bool) -> int:
+        for x, v in ((self.up, up), (self.mark, mark), (self.inside, inside), (self.closed, False), (self.words, 0), (self.main_heading, False)):
+            x.append(v)
+        return len(self.up) - 1
+
+    def surrounding(self) -> list[bool]:
+        """Whether what lies in each element counts as surroundings."""
+        for i in range(len(self.up) - 1, 0, -1):
+            self.words[self.up[i]] += self.words[i]
+            self.main_heading[self.up[i]] |= self.main_heading[i]
+        large = max((w for w, m in zip(self.words, self.mark, strict=True) if m == ARTICLE), default=0) / 2
+        large = max(large, self.words[0] / 5)
+        sure, hint = [False], [False]
+        for up, mark, closed, words, heading in list(zip(self.up, self.mark, self.closed, self.words, self.main_heading, strict=True))[1:]:
+            sure.append(sure[up] or mark == SURE or (mark == CLOSED and closed))
+            if mark == ARTICLE:
+                hint.append(hint[up] and words < large)
+            else:
+                most = 2 * words > self.words[0] and (heading or not self.main_heading[0])
+                hint.append(hint[up] or (mark != SURE and not most))
+        return [a or b for a, b in zip(sure, hint, strict=True)]
 
 
 def blocks(page: str | None) -> list[tuple]:
@@ -85,10 +128,11 @@ def blocks(page: str | None) -> list[tuple]:
     out: list[tuple] = []
     buf: list[str] = []
     linked: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []
-    links = 0
+    places = _Places()
+    open_: list[tuple[str, int]] = []  # tag and place of the containers that are open
+    count: dict[str, int] = {}  # how many of each tag are open
+    links = place = 0
     kind = ""
-    inside = around = False
 
     def flush():
         if buf:
@@ -96,10 +140,21 @@ def blocks(page: str | None) -> list[tuple]:
             if text:
                 n = text.count(" ") + 1
                 k = len(_html.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((text, n, min(k, n), inside, around, kind[:1] == "h" and kind[1:].isdigit(), kind in ("li", "td", "th", "dt", "dd", "option")))
+                places.words[place] += n
+                if kind == "h1":
+                    places.main_heading[place] = True
+                out.append((text, n, min(k, n), place, kind[:1] == "h" and kind[1:].isdigit(), kind in ("li", "td", "th", "dt", "dd", "option")))
             buf.clear()
             linked.clear()
 
+    def pop(ended: bool) -> int:
+        tag, own = open_.pop()
+        count[tag] -= 1
+        outer = open_[-1][1] if open_ else 0
+        if ended and own != outer:
+            places.closed[own] = True
+        return outer
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
@@ -118,11 +173,10 @@ def blocks(page: str | None) -> list[tuple]:
                 links = max(0, links - 1)
             elif tag not in INLINE:
                 flush()
-                for i in range(len(open_) - 1, -1, -1):
-                    if open_[i][0] == tag:
-                        del open_[i:]
-                        break
-                inside, around = open_[-1][1:] if open_ else (False, False)
+                if count.get(tag):
+                    while open_[-1][0] != tag:
+                        pop(False)
+                    place = pop(True)
                 kind = open_[-1][0] if open_ else ""
                 links = 0
             continue
@@ -130,7 +184,7 @@ def blocks(page: str | None) -> list[tuple]:
             if tag == "title":
                 flush()
             if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                close = _raw_end(tag).search(page, at)
                 at = close.end() if close else end
             continue
         if tag == "a":
@@ -143,14 +197,23 @@ def blocks(page: str | None) -> list[tuple]:
             if tag in VOID:
                 continue
             if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == tag:
-                open_.pop()
-                inside, around = open_[-1][1:] if open_ else (False, False)
-            inside = inside or tag in ("article", "main")
-            around = around or _marked(tag, m[3], inside)
-            open_.append((tag, inside, around))
+                place = pop(True)
+            article = tag in ("article", "main")
+            inside = places.inside[place] or article
+            mark = _marked(tag, m[3], inside) or (ARTICLE if article else 0)
+            if mark:
+                place = places.add(place, mark, inside)
+            open_.append((tag, place))
+            count[tag] = count.get(tag, 0) + 1
             kind = tag
     flush()
-    return out
+    around = places.surrounding()
+    return [(text, n, k, places.inside[at], around[at], heading, item) for text, n, k, at, heading, item in out]
+
+
+@functools.cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>?", re.I)
 
 
 def features(bs: list[tuple]) -> np.ndarray:
@@ -226,6 +289,10 @@ def labelled_table(pages: int = 240, seed: int = 1) -> list[tuple[str, set[str]]
         art = f"<article>{inner}</article>" if style == 0 else (f'<div class="content">{inner}</div>' if style == 1 else f"<div>{inner}</div>")
         parts = [head, box("nav", "menu", menu(rng.randint(4, 9)))] + [x for x in (notice, ad, form) if rng.random() < 0.5] + [art]
         parts += [x for x in (ad, related, form, comments) if rng.random() < 0.5 and x not in inner] + [foot]
+        if i % 8 == 3:  # a form, a misleading class name or a menu without its end around everything
+            parts = [rng.choice(['<form id="aspnetForm">', '<div class="layout-social">', '<div class="news-alert-story">', f"<nav>{menu(3)}"]), *parts]
+        if i % 8 == 5:  # cards of other articles beside this one
+            parts.insert(-1, box("aside", "related", "".join(f"<article><h3>{words(2, 5, False)}</h3></article>" for _ in range(3))) if named else "")
         out.append((f"<html><head><title>{words(2, 5)}</title></head><body>{''.join(parts)}</body></html>", good))
     return out
 
@@ -297,7 +364,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
 
     def run(batches):
         for b in batches:
-            each = [blocks(h.as_py()) for h in b.column("_html")]
+            each = [blocks(h.as_py()) for h in b.column("_tessera_html")]
             x = [features(bs) for bs in each]
             good = predict(tree, np.concatenate(x)) if x else np.zeros(0, bool)
             texts, at = [], 0
@@ -306,7 +373,7 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFr
                 at += len(bs)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html_col).alias("_tessera_html")).mapInArrow(run, schema)
 
 
 def op6_html(spark, sf_dir):
