@@ -13,9 +13,10 @@ deals their rows over several runs, and the runs' minima and counts are combined
 afterwards. There are at most rows / HOT_ROWS such texts; the table of their totals
 is joined by broadcast where it is below ``BROADCAST_ROWS``.
 
-Defined results: null text counts as empty; rows that repeat a doc_id are rows of
-their own; null doc_ids sort last, so they stay only if a group has no other; an
-empty table gives an empty result; other columns are ignored.
+Defined results: null text counts as empty; very long texts are compared whole; rows
+that repeat a doc_id are rows of their own, so all rows with the kept identifier count as
+kept; null doc_ids sort last, so they stay only if a group has no other; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +49,9 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = hot.select("h", F.ceil(F.col("c") / F.lit(hot_rows)).alias("salts"))
     n_hot = hot.count()
 
-    rows = joined_small(keyed.withColumn("h", F.xxhash64("norm")), hot, "h", n_hot, "left")
-    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("salts")))
+    placed = keyed.withColumns({"h": F.xxhash64("norm"), "place": F.monotonically_increasing_id()})  # rows that share an id are dealt too
+    rows = joined_small(placed, hot, "h", n_hot, "left")
+    salt = F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "place"), F.col("salts")))
     rows = rows.select("doc_id", "norm", F.substring("norm", 1, PREFIX).alias("head"), "h", F.col("salts").isNotNull().alias("hot"), salt.cast("int").alias("salt"))
     run = Window.partitionBy("head", "h", "salt", "norm")
     runs = (
