@@ -10,8 +10,9 @@ is very common counts once. Only conversations that stay are rendered.
 
 Defined results: turns are ordered by turn (nulls first), role, text; a repeated turn
 is a turn of its own; null roles and texts equal empty ones; rows with a null conv_id
-are not part of a conversation and are left out; an empty table gives an empty
-result; other columns are ignored.
+are not part of a conversation and are left out; very long texts are kept whole, and a
+conversation that stays is one row; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations

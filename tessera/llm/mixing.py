@@ -15,7 +15,7 @@ Sources are ranked by range partitions and offsets, and targets are found by sum
 all sources, so a table with a source per host needs no task that sees them all.
 
 Defined results: null source is a source of its own and comes last; null text has
-size 0; very long texts count whole; rows that repeat a doc_id, null ids too, are drawn
+size 0, and a source without words is taken whole, once; very long texts count whole; rows that repeat a doc_id, null ids too, are drawn
 one by one; an empty table gives an empty result; input columns of any name are kept,
 but names that begin with ``_tessera`` are reserved.
 """
