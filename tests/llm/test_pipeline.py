@@ -71,3 +71,30 @@ def test_queries_are_registered():
     assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_near_duplicates_keep_one_row_whatever_the_ids(spark, corpus):
+    rng = random.Random(4)
+    w, v, u = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(3))
+    rows = [(1, w, 9), (1, w, 9), (2, v, 9), (2, w + " x", 9), (None, u, 9), (None, u, 9), (3, None, 9), (3, "", 9)]
+    docs = corpus_pipeline.written(spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, corpus[0])
+    corpus_pipeline.end_scope()
+    assert out.columns == docs.columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+    assert [i for i, _ in got] == ["1", "2", "3", "3", "None"] and {t for _, t in got} == {w, v, u, ""}
+
+
+def test_stages_take_nulls_repeats_extra_columns_and_nothing(spark, corpus):
+    path, _ = corpus
+    extra = ["times", "threshold", "good", "kept", "n_words", "hit_spans", "comp", "row", "_c", "copies"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(60)
+    odd = docs.limit(1).withColumn("text", docs["text"].substr(1, 0)).union(docs.limit(1).selectExpr("cast(null as long)", "cast(null as string)", "lang", "cast(null as string)", "n_chars"))
+    docs = docs.union(docs.limit(3)).union(odd)
+    docs = corpus_pipeline.written(docs.selectExpr("*", *[f"'x' AS {c}" for c in extra]))
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, path)
+        assert out.columns == docs.columns + ["shard", "slot"] * (name == "sharding")
+        assert out.where("times <> 'x' OR kept <> 'x'").count() == 0
+        assert f(spark, docs.where("n_chars < 0"), path).count() == 0
+    corpus_pipeline.end_scope()
