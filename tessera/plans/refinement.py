@@ -83,17 +83,19 @@ class MultiTick:
                 out.reason = "waste_exhausted"
                 break
             r = units.rho(state, "state").join(t, "unit").join(done, "unit", "left_anti")
-            best = select.top_k(r.where(F.col("rho") > cfg.roi), "rho", "morton", min(per, left) * 2)
+            best = r.where(F.col("rho") > cfg.roi).checkpoint()
             d = state.join(best.select("unit"), "unit").withColumn("delta", F.col("gt") - F.col("state"))
             two = Window.partitionBy("unit", F.floor(F.col("r") / 2), F.floor(F.col("c") / 2))
             d = d.withColumn("up", F.avg("delta").over(two))
             norms = d.groupBy("unit").agg(scales.norm(F.col("up")).alias("low"), scales.norm(F.col("delta") - F.col("up")).alias("high"), F.count("*").alias("n"))
             x = best.join(norms, "unit").join(strict, "unit", "left").withColumn("strictness", F.coalesce("strictness", F.lit(1.0)))
             x = enforce.decide(x, enforce.adaptive_tau(F.lit(cfg.tau), F.col("n"), F.col("strictness")))
-            w = Window.orderBy(F.desc("rho"), "morton")  # at most twice the tick's budget of units
-            x = x.withColumn("got", F.sum((F.col("action") != "reject").cast("int")).over(w)).withColumn("waste", F.sum(F.when(F.col("action") == "reject", F.col("strictness")).otherwise(0.0)).over(w))
-            x = x.where((F.col("got") - (F.col("action") != "reject").cast("int")) < min(per, left)).withColumn("tick", F.lit(k)).checkpoint()
-            s = x.agg(F.sum((F.col("action") == "pass").cast("int")).alias("passed"), F.sum((F.col("action") == "damped").cast("int")).alias("damped"), F.sum((F.col("action") == "reject").cast("int")).alias("rejected"), F.max("waste").alias("waste"), F.median("rho").alias("rho")).first()
+            x = x.withColumn("kept", (F.col("action") != "reject").cast("double")).withColumn("waste", F.when(F.col("action") == "reject", F.col("strictness")).otherwise(0.0)).checkpoint()
+            # in order, until the tick has its units or the waste is spent
+            x = select.prefix_budget(x, "kept", "rho", "morton", min(per, left)).where("open").drop("spent", "open")
+            x = select.prefix_budget(x, "waste", "rho", "morton", max(limit - spent, 1e-9)).where("open").drop("spent", "open", "kept")
+            x = x.withColumn("tick", F.lit(k)).checkpoint()
+            s = x.agg(F.sum((F.col("action") == "pass").cast("int")).alias("passed"), F.sum((F.col("action") == "damped").cast("int")).alias("damped"), F.sum((F.col("action") == "reject").cast("int")).alias("rejected"), F.sum("waste").alias("waste"), F.median("rho").alias("rho")).first()
             passed, damped, rejected = (s[c] or 0 for c in ("passed", "damped", "rejected"))
             scale = F.when(F.col("action") == "pass", 1.0).otherwise(F.sqrt((F.col("low") * F.pow(F.lit(0.5), F.col("steps"))) ** 2 + F.col("high") ** 2) / F.sqrt(F.col("low") ** 2 + F.col("high") ** 2))
             ok = x.where("action <> 'reject'").select("unit", "r0", "c0", "r1", "c1", scale.alias("scale"))

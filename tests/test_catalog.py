@@ -51,6 +51,22 @@ def test_multi_tick_never_adds_error_and_keeps_its_budget(spark):
     assert 0 < sum(t["accepted"] for t in r.ticks) <= 19
 
 
+def test_multi_tick_goes_on_past_rejected_units(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.plans.refinement import MultiTick, TickConfig
+    from tessera.sources.spaces import sales_grid
+
+    r = MultiTick(TickConfig(ticks=6, tau=1e-6, waste=50.0)).run(sales_grid(spark, SF), 32, 4)
+    seen = {x["tick"]: (x["n"], x["ok"]) for x in r.log.groupBy("tick").agg(F.count("*").alias("n"), F.count_if(F.col("action") != "reject").alias("ok")).collect()}
+    per = max(1, 19 // 6)
+    left = 64
+    for t in r.ticks:
+        n, ok = seen[t["tick"]]
+        assert ok == t["accepted"] <= per and (ok == per or n == left)
+        left -= ok
+
+
 def test_refinement_does_not_depend_on_partitions(spark):
     from tessera.plans.refinement import topk_refine
     from tessera.sources.spaces import sales_grid
