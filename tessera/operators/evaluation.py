@@ -65,18 +65,79 @@ def separability(df: DataFrame, score: str, positive: str, slices: list[str]) ->
     return roc_auc(x, score, positive, by).join(average_precision(x, score, positive, by), by).join(cohens_d(x, score, positive, by), by).join(q, by)
 
 
-def holm(df: DataFrame, p: str, key: str, alpha: float = 0.05, stop: bool = True, by: list[str] | None = None) -> DataFrame:
-    """Step-down test: ``adjusted`` (monotone) and ``reject``; without ``stop`` each p meets its own bound only."""
+def holm(df: DataFrame, p: str, key: str, alpha: float = 0.05, stop: bool = True, by: list[str] | None = None, strict: bool = False, monotone: bool = True) -> DataFrame:
+    """Step-down test: ``bound``, ``adjusted`` and ``reject``.
+
+    Without ``stop`` each p meets its own bound only; ``strict``: it must be below it, not
+    at it; without ``monotone`` the adjusted p may fall from one to the next.
+    """
     part = Window.partitionBy(*(by or []), F.lit(0))
     w = part.orderBy(p, key)
     m, k = F.count("*").over(part), F.row_number().over(w)
-    x = df.withColumn("_a", F.least(F.lit(1.0), F.col(p) * (m - k + 1))).withColumn("_ok", F.col(p) <= alpha / (m - k + 1))
+    x = df.withColumn("_a", F.least(F.lit(1.0), F.col(p) * (m - k + 1))).withColumn("bound", alpha / (m - k + 1))
+    x = x.withColumn("_ok", F.col(p) < F.col("bound") if strict else F.col(p) <= F.col("bound"))
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("adjusted", F.max("_a").over(run)).withColumn("reject", F.min("_ok").over(run) if stop else F.col("_ok")).drop("_a", "_ok")
+    x = x.withColumn("adjusted", F.max("_a").over(run) if monotone else F.col("_a"))
+    return x.withColumn("reject", F.min("_ok").over(run) if stop else F.col("_ok")).drop("_a", "_ok")
+
+
+def two_sided(z: Column) -> Column:
+    """Two-sided p of a standard normal z: Abramowitz and Stegun 7.1.26, absolute error below 2e-7."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)
+
+
+def sign_test(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """(by, n, plus, p): two-sided sign test without ties, normal approximation with continuity correction."""
+    d = F.col(a) - F.col(b)
+    g = df.groupBy(*by).agg(F.count_if(d != 0).alias("n"), F.count_if(d > 0).alias("plus"))
+    z = F.greatest(F.lit(0.0), F.abs(F.col("plus") - F.col("n") / 2) - 0.5) / F.sqrt(F.col("n") / 4)
+    return g.select(*by, "n", "plus", F.when(F.col("n") > 0, F.least(F.lit(1.0), two_sided(z))).otherwise(1.0).alias("p"))
+
+
+def auc_interval(df: DataFrame, score: str, positive: str, key: str, rounds: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """One row lo, hi: percentiles of the AUC over Poisson resamples, whose weights follow from key and round."""
+    from ..sources.deltas import digest_uniform
+
+    u = digest_uniform(seed, key, "round")
+    w = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+    x = df.select(score, positive, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", w).where("w > 0")
+    g = x.groupBy("round", score).agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("w"))).alias("n"))
+    below = Window.partitionBy("round").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    a = g.groupBy("round").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    return a.agg(F.percentile("auc", alpha / 2).alias("lo"), F.percentile("auc", 1 - alpha / 2).alias("hi"))
+
+
+def permutation_auc(df: DataFrame, score: str, positive: str, key: str, rounds: int = 5000, seed: int = 0, bins: int = 1024) -> DataFrame:
+    """One row auc, p: share of random labellings whose AUC is no less, (count + 1) / (rounds + 1).
+
+    A round gives the positives' labels to the rows with the smallest hashes, ties by key.
+    Counts by round and bin of the hash find the bin in which the last of these lies, and
+    only that bin is put in order; no task holds a round.
+    """
+    from ..sources.deltas import digest_uniform
+
+    observed = roc_auc(df, score, positive)
+    n = df.agg(F.count_if(F.col(positive)).alias("_k"))
+    x = df.select(score, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", digest_uniform(seed, key, "round"))
+    x = x.withColumn("b", F.floor(F.col("u") * bins).cast("int"))
+    run = Window.partitionBy("round").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    c = x.groupBy("round", "b").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(run), F.lit(0)))
+    c = c.join(F.broadcast(n)).select("round", "b", (F.col("_k") - F.col("before")).alias("need"), "m")  # one row
+    y = x.join(c, ["round", "b"])
+    whole, part = y.where("need >= m OR need <= 0"), y.where("need > 0 AND need < m")
+    place = F.row_number().over(Window.partitionBy("round", "b").orderBy("u", key))
+    labels = whole.select("round", score, (F.col("need") > 0).alias("t")).unionAll(part.select("round", score, (place <= F.col("need")).alias("t")))
+    a = roc_auc(labels, score, "t", ["round"]).withColumnRenamed("auc", "r")
+    hit = a.join(F.broadcast(observed)).where("r >= auc").agg(F.count("*").alias("h"))  # one row
+    return observed.join(F.broadcast(hit)).select("auc", ((F.col("h") + 1) / (rounds + 1)).alias("p"))  # one row each
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Paired signed-rank test, normal approximation: n, w (smaller rank sum), z."""
+    """Paired signed-rank test, normal approximation: n, w (smaller rank sum), z, p (two-sided)."""
     d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0").withColumn("_m", F.abs("_d"))
     part = Window.partitionBy(*by)
     r = F.rank().over(part.orderBy("_m")) + (F.count("*").over(Window.partitionBy(*by, "_m")) - 1) / 2
@@ -84,7 +145,7 @@ def wilcoxon(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("wm"))
     n = F.col("n")
     low = F.least("wp", "wm")
-    return g.select(*by, "n", low.alias("w"), F.try_divide(low - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
+    return g.select(*by, "n", low.alias("w"), F.try_divide(low - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z")).withColumn("p", F.coalesce(F.least(F.lit(1.0), two_sided(F.col("z"))), F.lit(1.0)))
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -145,28 +145,26 @@ def quantile_gap(df: DataFrame, by: list[str], a: str, b: str, n: int = 20) -> D
     return g.select(*by, (gap / F.col("span")).alias("d_quantile"))
 
 
-def spectral(df: DataFrame, by: list[str]) -> DataFrame:
-    """Low-frequency share of the power of refined and coarse grids: (by, lf_coarse, lf_refined, d_spectral). Needs an FFT: one group of cells per call.
+def spectral(df: DataFrame, by: list[str], side: int) -> DataFrame:
+    """Low-frequency share of the power of refined and coarse grids: (by, lf_coarse, lf_refined, d_spectral). ``df``: by, r, c, coarse, delta."""
+    from .spectra import low_share
 
-    ``df``: by, r, c, coarse, delta; a group is one case's grid.
-    """
-    import numpy as np
-
-    def one(pdf):
-        side = int(pdf["r"].max()) + 1, int(pdf["c"].max()) + 1
-        out = pdf[by].iloc[:1].copy()
-        share = []
-        for v in (pdf["coarse"], pdf["coarse"] + pdf["delta"]):
-            g = np.zeros(side)
-            g[pdf["r"], pdf["c"]] = v
-            power = abs(np.fft.fft2(g)) ** 2
-            fr, fc = np.meshgrid(np.fft.fftfreq(side[0]), np.fft.fftfreq(side[1]), indexing="ij")
-            share.append(float(power[np.hypot(fr, fc) < 0.125].sum() / (power.sum() + 1e-12)))
-        out["lf_coarse"], out["lf_refined"], out["d_spectral"] = share[0], share[1], abs(share[1] - share[0])
-        return out
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
-    return df.groupBy(*by).applyInPandas(one, schema + ", lf_coarse double, lf_refined double, d_spectral double")
+    a = low_share(df, by, "coarse", side).withColumnRenamed("lf", "lf_coarse")
+    b = low_share(df.withColumn("_v", F.col("coarse") + F.col("delta")), by, "_v", side).withColumnRenamed("lf", "lf_refined")
+    return a.join(b, by).withColumn("d_spectral", F.abs(F.col("lf_refined") - F.col("lf_coarse")))
+
+
+def local_variance(df: DataFrame, by: list[str], block: list[str], delta: str) -> DataFrame:
+    """(by, d_local_var): mean variance within a block over the variance of all."""
+    b = df.groupBy(*by, *block).agg(F.avg(F.col(delta) ** 2).alias("q"), F.avg(delta).alias("m"), F.count("*").alias("n"), F.sum(delta).alias("s"), F.sum(F.col(delta) ** 2).alias("s2"))
+    var = F.sum("s2") / F.sum("n") - (F.sum("s") / F.sum("n")) ** 2
+    return b.groupBy(*by).agg((F.avg(F.col("q") - F.col("m") ** 2) / (var + 1e-12)).alias("d_local_var"))
+
+
+def abs_vs_signed(df: DataFrame, by: list[str], block: list[str], delta: str) -> DataFrame:
+    """(by, d_abs): norm of the restricted |delta| over that of the restricted delta; 1 where the latter is 0."""
+    b = df.groupBy(*by, *block).agg(F.avg(F.abs(delta)).alias("a"), F.avg(delta).alias("m"))
+    return b.groupBy(*by).agg(F.when(norm(F.col("m")) < 1e-12, 1.0).otherwise(norm(F.col("a")) / norm(F.col("m"))).alias("d_abs"))
 
 
 def zscored(df: DataFrame, column: str, by: list[str], out: str = "z") -> DataFrame:

@@ -339,3 +339,50 @@ def gap_statistic(df: DataFrame, features: list[str], ks: list[int], refs: int =
 
 def composite(auc: Column, least: Column, effect: Column) -> Column:
     return 0.4 * auc + 0.3 * least + 0.3 * F.least(effect / 2, F.lit(1.0))
+
+
+def edge_amplitude(cells: DataFrame, tile: int, value: str, by: list[str]) -> DataFrame:
+    """(by, amplitude): mean over the inner tile borders of the mean jump across each."""
+    v = cells.select(*by, "r", "c", F.col(value).alias("v"))
+    parts = []
+    for x in ("r", "c"):
+        far = v.withColumn(x, F.col(x) + 1).withColumnRenamed("v", "w")
+        j = v.where(f"{x} > 0 AND {x} % {tile} = 0").join(far, [*by, "r", "c"])
+        parts.append(j.groupBy(*by, F.lit(x).alias("axis"), F.col(x).alias("line")).agg(F.avg(F.abs(F.col("v") - F.col("w"))).alias("a")))
+    return parts[0].unionAll(parts[1]).groupBy(*by).agg(F.avg("a").alias("amplitude"))
+
+
+def knee(curve: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """(by, knee, r80, r95, reduction, has_seam) of a falling curve: where it falls fastest, and where 80 and 95 % of its fall are reached, between points by line.
+
+    Without a fall the three places are 0; a point that is not passed gives the last x.
+    """
+    part = Window.partitionBy(*by)
+    w = part.orderBy(x)
+    c = curve.withColumns({"_x": F.col(x), "_y": F.col(y), "_x2": F.lead(x).over(w), "_y2": F.lead(y).over(w)})
+    c = c.withColumns({"_top": F.min_by(y, x).over(part), "_low": F.max_by(y, x).over(part), "_n": F.count("*").over(part)})
+    fall = F.col("_top") - F.col("_low")
+    at = lambda q: F.col("_top") - q * fall
+    hit = lambda q: F.when((F.col("_y") >= at(q)) & (at(q) >= F.col("_y2")), F.col("_x") + (F.col("_y") - at(q)) / (F.col("_y") - F.col("_y2") + 1e-15) * (F.col("_x2") - F.col("_x")))
+    c = c.withColumns({"_f": fall, "_80": hit(0.80), "_95": hit(0.95), "_s": (F.col("_y2") - F.col("_y")) / (F.col("_x2") - F.col("_x") + 1e-15)})
+    first = lambda k: F.coalesce(F.min_by(k, F.when(F.col(k).isNotNull(), F.col("_x"))), F.max("_x"))
+    g = c.groupBy(*by).agg(F.max("_f").alias("reduction"), F.max("_top").alias("_top"), F.max("_n").alias("_n"), first("_80").alias("_80"), first("_95").alias("_95"), F.min_by("_x", F.when(F.col("_s").isNotNull(), F.struct("_s", "_x"))).alias("_k"))
+    some = F.col("reduction") >= 1e-10
+    pick = lambda k: F.when(some, F.col(k)).otherwise(0.0)
+    return g.select(*by, F.when(F.col("_n") >= 3, pick("_k")).otherwise(0.0).alias("knee"), pick("_80").alias("r80"), pick("_95").alias("r95"), F.when(some, F.col("reduction")).otherwise(0.0).alias("reduction"), (some & (F.col("reduction") > 0.05 * F.col("_top"))).alias("has_seam"))
+
+
+def perturbed(states: DataFrame, step: str, value: str, key: str, seed: int, noise: float = 0.0, drift: float = 0.0, event: int | None = None, jump: float = 0.0, share: float = 0.0) -> DataFrame:
+    """``states`` with ``out``: noise by key and step, a drift that grows with the step, and at the event a jump in a share of the keys."""
+    from ..sources.deltas import digest_normal, digest_uniform
+
+    v = F.col(value) + noise * digest_normal(seed, key, step) + drift * F.col(step)
+    if event is not None:
+        v = v + F.when((F.col(step) == event) & (digest_uniform(seed + 1, key) < share), jump).otherwise(0.0)
+    return states.withColumn("out", v)
+
+
+def spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, mean, cv): mean and population deviation over it; cv is 0 for a mean of 0."""
+    m = F.avg(value)
+    return df.groupBy(*by).agg(m.alias("mean"), F.when(F.abs(m) < 1e-12, 0.0).otherwise(F.stddev_pop(value) / F.abs(m)).alias("cv"))

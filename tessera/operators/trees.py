@@ -86,3 +86,16 @@ def sibling_merges(nodes: DataFrame, value: str) -> DataFrame:
     n = nodes.agg(F.count("*").alias("total"))
     s = g.where("n > 1").agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("merges"))
     return s.join(F.broadcast(n)).select("groups", "merges", (F.col("merges") > 0.05 * F.col("total")).alias("triggered"))  # one row each
+
+
+def basins_tree(units: DataFrame, limit: float = 0.1) -> DataFrame:
+    """(unit, basin): the parent of a heap node whose rho fell below the limit's share, else the node's own name. ``units``: unit, rho0, rho1."""
+    fixed = F.when(F.col("rho0") > 1e-12, F.col("rho1") / F.col("rho0")).otherwise(0.0) < limit
+    up = F.when(F.col("unit") > 0, F.floor((F.col("unit") - 1) / 2)).otherwise(F.col("unit")).cast("string")
+    return units.select("unit", F.when(fixed, F.concat(F.lit("basin_"), up)).otherwise(F.concat(F.lit("singleton_"), F.col("unit").cast("string"))).alias("basin"))
+
+
+def basins_graph(units: DataFrame, community: str, limit: float = 0.1) -> DataFrame:
+    """(unit, basin): community and whether the unit converged. ``units``: unit, rho0, rho1."""
+    fixed = F.when(F.col("rho0") > 1e-12, F.col("rho1") / F.col("rho0")).otherwise(0.0) < limit
+    return units.select("unit", F.concat(F.lit("c"), F.col(community).cast("string"), F.when(fixed, "_converged").otherwise("_active")).alias("basin"))

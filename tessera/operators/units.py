@@ -114,3 +114,48 @@ def fsr_instability(now: DataFrame, before: DataFrame, refined: DataFrame) -> Da
     flip = F.avg((F.signum("rho") != F.signum(F.coalesce("old", "rho"))).cast("double"))
     m = F.avg(F.abs("rho"))
     return free.agg(F.coalesce(flip, F.lit(0.0)).alias("fsr"), F.when(m < 1e-10, 0.0).otherwise(F.try_divide(F.stddev_pop(F.abs("rho")), m)).alias("instability"))
+
+
+def seam_of_sets(members: DataFrame, edges: DataFrame, values: DataFrame, hops: int, eps: float = 1e-8) -> DataFrame:
+    """(unit, jump_out, jump_in, p95_out, seam) of sets of vertices on a graph or tree.
+
+    ``members``: unit, id; ``edges``: src, dst in both directions; ``values``: id, v. Out:
+    edges from the halo of that many hops to the outside; in: edges from the set to its halo.
+    """
+    from .refine import halo_of
+
+    halo = halo_of(members, edges, hops).select("unit", "id")
+    side = members.select("unit", "id", F.lit(0).alias("s")).unionAll(halo.select("unit", "id", F.lit(1).alias("s")))
+    other = side.select("unit", F.col("id").alias("dst"), F.col("s").alias("s2"))
+    e = halo.join(edges.select(F.col("src").alias("id"), "dst"), "id").join(other, ["unit", "dst"], "left")
+    e = e.where("s2 IS NULL OR s2 = 0")
+    e = e.join(values.select("id", F.col("v").alias("a")), "id").join(values.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst")
+    jump = lambda c: F.when(c, F.abs(F.col("a") - F.col("b")))
+    out, into = jump(F.col("s2").isNull()), jump(F.col("s2").isNotNull())
+    g = e.groupBy("unit").agg(F.median(out).alias("o"), F.median(into).alias("i"), F.percentile(out, 0.95).alias("p"))
+    z = lambda c: F.coalesce(c, F.lit(0.0))
+    return g.select("unit", z("o").alias("jump_out"), z("i").alias("jump_in"), z("p").alias("p95_out"), (z("o") / (z("i") + eps)).alias("seam"))
+
+
+def seam_change(cells: DataFrame, units: DataFrame, halo: int, before: str, after: str) -> DataFrame:
+    """(unit, delta): seam score after less the one before."""
+    a, b = (seam(cells, units, halo, s).withColumnRenamed("seam", n) for s, n in ((before, "s0"), (after, "s1")))
+    return a.join(b, "unit").select("unit", (F.col("s1") - F.col("s0")).alias("delta"))
+
+
+def interior_gain(cells: DataFrame, before: str, after: str) -> DataFrame:
+    """(unit, gain): fall of the mean squared error, 0 at least."""
+    return cells.groupBy("unit").agg(F.greatest(F.lit(0.0), F.avg(_resid(before) ** 2) - F.avg(_resid(after) ** 2)).alias("gain"))
+
+
+def state_hash(cells: DataFrame, value: str, digits: int = 6) -> DataFrame:
+    """One row ``hash``: 16 hex digits of the SHA-256 over blocks of 4096 units, of the hashes of the units, of their cells; all in order."""
+    line = F.format_string(f"%d:%d:%.{digits}f", "r", "c", F.round(value, digits) + 0.0)
+
+    def digest(order: list, text) -> Column:
+        rows = F.array_sort(F.collect_list(F.struct(*order, text.alias("_t"))))
+        return F.sha2(F.array_join(F.transform(rows, lambda x: x["_t"]), ";"), 256)
+
+    u = cells.groupBy("unit").agg(digest(["r", "c"], line).alias("h"))
+    b = u.groupBy(F.floor(F.col("unit") / 4096).alias("block")).agg(digest(["unit"], F.col("h")).alias("h"))
+    return b.agg(F.substring(digest(["block"], F.col("h")), 1, 16).alias("hash"))

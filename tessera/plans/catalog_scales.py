@@ -84,10 +84,23 @@ def d_histogram_quantile(spark, d):
     return h.join(q, "unit").select("unit", *_r("d_histogram", "d_quantile", n=5))
 
 
-@query("d_spectral")
+def _dft(name: str, src: str, v: str) -> str:
+    """CTEs of the transform of a 32 x 32 grid ``src`` (r, c): ``name`` with the power by (j, k)."""
+    at = "2*pi()/32*(({}*{})%32)"
+    kc, jr = at.format("k", "c"), at.format("j", "r")
+    f = "sqrt((CASE WHEN {0} < 16 THEN {0} ELSE {0}-32 END/32.0)**2 + (CASE WHEN {1} < 16 THEN {1} ELSE {1}-32 END/32.0)**2)".format("j", "k")
+    return (f"{name}1 AS (SELECT r, k, sum({v}*cos({kc})) AS p, sum(-{v}*sin({kc})) AS q FROM {src}, range(32) g(k) GROUP BY ALL), "
+            f"{name}2 AS (SELECT j, k, sum(p*cos({jr})+q*sin({jr})) AS re, sum(q*cos({jr})-p*sin({jr})) AS im FROM {name}1, range(32) g(j) GROUP BY ALL), "
+            f"{name} AS (SELECT j, k, re, im, re*re+im*im AS p, {f} AS f FROM {name}2)")
+
+
+LOW = "(SELECT sum(p) FILTER (f < 0.125)/(sum(p)+1e-12) FROM {})"
+
+
+@query("d_spectral", DELTA + ", " + _dft("ft", "dl", "coarse") + ", " + _dft("fu", "dl", "(coarse+delta)") + f" SELECT 0 AS \"case\", round({LOW.format('ft')},6) AS lf_coarse, round({LOW.format('fu')},6) AS lf_refined, round(abs({LOW.format('fu')}-{LOW.format('ft')}),6) AS d_spectral")
 def d_spectral(spark, d):
     fine, _ = _delta(_sales(spark, d))
-    return scales.spectral(fine.select(F.lit(0).alias("case"), "r", "c", "coarse", "delta"), ["case"])
+    return scales.spectral(fine.select(F.lit(0).alias("case"), "r", "c", "coarse", "delta"), ["case"], SIDE).select("case", *_r("lf_coarse", "lf_refined", "d_spectral"))
 
 
 ENF = DELTA + """, tau AS (SELECT unit, low, high, n, low/(sqrt(low*low+high*high)+1e-12) AS d, 0.3*(1+2/sqrt(n)) AS t FROM nrm),

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tessera.plans import catalog, catalog_graphs, catalog_scales, catalog_studies  # noqa: F401
+from tessera.plans import catalog, catalog_cases, catalog_graphs, catalog_scales, catalog_studies  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
