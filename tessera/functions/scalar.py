@@ -8,10 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def spread_bits(n: Column, bits: int = 16) -> Column:
-    """Bit i of n at place 2i."""
-    parts = [F.shiftleft(F.shiftright(n.cast("long"), i).bitwiseAND(F.lit(1)), 2 * i) for i in range(bits)]
-    return reduce(lambda a, b: a + b, parts)
+def spread_bits(n: Column) -> Column:
+    """Bit i of n at place 2i, for n from 0 to 2**31 - 1; other numbers are an error."""
+    n = n.cast("long")
+    ok = n.isNull() | ((n >= 0) & (n < 1 << 31))
+    # Halves, quarters and so on move apart; the masks hold the places kept at each width.
+    steps = [(16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)]
+    spread = reduce(lambda x, s: x.bitwiseOR(F.shiftleft(x, s[0])).bitwiseAND(F.lit(s[1])), steps, n)
+    return F.when(ok, spread).otherwise(F.raise_error(F.lit("coordinate outside 0 .. 2**31 - 1")).cast("long"))
 
 
 def morton(row: Column, col: Column) -> Column:

@@ -99,15 +99,7 @@ def sign_test(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
 def auc_interval(df: DataFrame, score: str, positive: str, key: str, rounds: int = 2000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """One row lo, hi: percentiles of the AUC over Poisson resamples, whose weights follow from key and round."""
-    from ..sources.deltas import digest_uniform
-
-    u = digest_uniform(seed, key, "round")
-    w = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    x = df.select(score, positive, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", w).where("w > 0")
-    g = x.groupBy("round", score).agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("w"))).alias("n"))
-    below = Window.partitionBy("round").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    a = g.groupBy("round").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))
+    a = bootstrap_auc(df, score, positive, key, rounds, seed)
     return a.agg(F.percentile("auc", alpha / 2).alias("lo"), F.percentile("auc", 1 - alpha / 2).alias("hi"))
 
 
@@ -167,11 +159,11 @@ def jaccard_masks(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def bootstrap_auc(df: DataFrame, score: str, positive: str, key: str, rounds: int, seed: int = 0) -> DataFrame:
     """(round, auc) of Poisson resamples: each row's weight in a round depends on its key, so nothing is gathered."""
-    from ..sources.fields import uniform
+    from ..sources.deltas import digest_uniform
 
-    u = uniform(seed, key, "round")
+    u = digest_uniform(seed, key, "round")
     w = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    x = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", w).where("w > 0")
+    x = df.select(score, positive, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", w).where("w > 0")
     g = x.groupBy("round", score).agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("w"))).alias("n"))
     below = Window.partitionBy("round").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))

@@ -21,25 +21,29 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(src, dst, tri): triangles on each edge. Wedges are made at their lower-degree end only, so a hub makes few."""
+def with_degrees(edges: DataFrame) -> DataFrame:
+    """(src, dst, ds, dd), the degrees of both ends, kept in the shared folder as several joins read it."""
     deg = degrees(edges)
-    e = edges.join(deg.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(deg.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
+    e = edges.select("src", "dst").join(deg.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src")
+    return e.join(deg.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst").checkpoint()
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(src, dst, ds, dd, tri): degrees of the ends and triangles of each edge. Wedges are made at their lower-degree end only, so a hub makes few."""
+    e = with_degrees(edges)
     flip = F.struct("dd", "dst") < F.struct("ds", "src")
     o = e.select(F.when(flip, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("b"))
     x, y = o.select("a", F.col("b").alias("p")), o.select("a", F.col("b").alias("q"))
     wedge = x.join(y, "a").where("p < q")
-    t = wedge.join(edges.select(F.col("src").alias("p"), F.col("dst").alias("q")), ["p", "q"])
+    t = wedge.join(e.select(F.col("src").alias("p"), F.col("dst").alias("q")), ["p", "q"])
     sides = t.select(F.explode(F.array(*[F.struct(F.least(u, v).alias("src"), F.greatest(u, v).alias("dst")) for u, v in (("a", "p"), ("a", "q"), ("p", "q"))])).alias("s"))
     n = sides.groupBy("s.src", "s.dst").agg(F.count("*").alias("tri"))
-    return edges.join(n, ["src", "dst"], "left").withColumn("tri", F.coalesce("tri", F.lit(0)))
+    return e.join(n, ["src", "dst"], "left").withColumn("tri", F.coalesce("tri", F.lit(0)))
 
 
 def forman(edges: DataFrame) -> DataFrame:
     """(src, dst, curvature): 4 - both degrees + 3 * triangles."""
-    deg = degrees(edges)
-    t = triangles(edges).join(deg.select(F.col("id").alias("src"), F.col("degree").alias("ds")), "src").join(deg.select(F.col("id").alias("dst"), F.col("degree").alias("dd")), "dst")
-    return t.select("src", "dst", (4 - F.col("ds") - F.col("dd") + 3 * F.col("tri")).cast("double").alias("curvature"))
+    return triangles(edges).select("src", "dst", (4 - F.col("ds") - F.col("dd") + 3 * F.col("tri")).cast("double").alias("curvature"))
 
 
 def node_mean(edges: DataFrame, value: str) -> DataFrame:
@@ -50,16 +54,15 @@ def node_mean(edges: DataFrame, value: str) -> DataFrame:
 
 def clustering(edges: DataFrame) -> DataFrame:
     """(id, clustering): triangles over pairs of neighbours; 0 below degree 2."""
-    t = triangles(edges)
-    n = t.select(F.col("src").alias("id"), "tri").unionAll(t.select(F.col("dst").alias("id"), "tri")).groupBy("id").agg((F.sum("tri") / 2).alias("t"))
-    d = degrees(edges).join(n, "id")
+    end = F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("ds").alias("degree")), F.struct(F.col("dst").alias("id"), F.col("dd").alias("degree"))))
+    d = triangles(edges).select("tri", end.alias("e")).groupBy("e.id").agg((F.sum("tri") / 2).alias("t"), F.max("e.degree").alias("degree"))
     return d.select("id", F.when(F.col("degree") < 2, 0.0).otherwise(2 * F.col("t") / (F.col("degree") * (F.col("degree") - 1))).alias("clustering"))
 
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, rank) on an undirected graph after a fixed number of rounds; lineage is cut every few."""
-    e = both_ways(edges)
-    deg = degrees(edges).checkpoint()
+    """(id, rank) on an undirected graph after a fixed number of rounds; edges are dealt by source once, lineage is cut every few rounds."""
+    e = both_ways(edges).repartition("src").checkpoint()
+    deg = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).checkpoint()
     n = deg.count()
     r = deg.select("id", "degree", F.lit(1.0 / max(n, 1)).alias("rank"))
     for k in range(rounds):
@@ -151,10 +154,10 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> D
 
 def topology_boost(units: DataFrame, rho: str = "rho", curvature: float = 0.3, hub: float = 0.2, bridge: float = 0.5) -> DataFrame:
     """rho * (1 + weighted structure signals), each signal over its largest value. Columns curv, hub, bridge."""
-    w = Window.partitionBy(F.lit(0))
-    part = lambda c: F.abs(c) / F.greatest(F.max(F.abs(c)).over(w), F.lit(1e-12))
+    top = units.agg(*[F.greatest(F.max(F.abs(c)), F.lit(1e-12)).alias(f"_{c}") for c in ("curv", "hub", "bridge")])
+    part = lambda c: F.abs(c) / F.col(f"_{c}")
     f = 1 + curvature * part("curv") + hub * part("hub") + bridge * part("bridge")
-    return units.withColumn("boosted", F.col(rho) * f)
+    return units.join(F.broadcast(top)).withColumn("boosted", F.col(rho) * f).drop("_curv", "_hub", "_bridge")  # one row
 
 
 def bfs_levels(seeds: DataFrame, e: DataFrame) -> tuple[DataFrame, int]:
@@ -286,15 +289,12 @@ def hierarchy_of(block: DataFrame, points: DataFrame) -> DataFrame:
 
 def heap_distance(u: Column, v: Column) -> Column:
     """Steps between two heap nodes through their lowest common ancestor: bits of the longer code below the common prefix."""
-    a, b = u + 1, v + 1
+    a, b = (u + 1).cast("long"), (v + 1).cast("long")
     da, db = F.length(F.bin(a)), F.length(F.bin(b))
     d = F.least(da, db)
-    cut = F.substring(F.bin(a), 1, 64)
-    common = F.length(F.bin(a)) * 0
-    for k in range(1, 33):
-        same = F.substring(cut, 1, k) == F.substring(F.bin(b), 1, k)
-        common = F.when((d >= k) & same, k).otherwise(common)
-    return da + db - 2 * common
+    apart = F.call_function("shiftright", a, da - d).bitwiseXOR(F.call_function("shiftright", b, db - d))
+    below = F.when(apart == 0, 0).otherwise(F.length(F.bin(apart)))
+    return da + db - 2 * (d - below)
 
 
 def contracted(edges: DataFrame, block: DataFrame) -> DataFrame:

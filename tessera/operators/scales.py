@@ -212,7 +212,7 @@ def ssim(cells: DataFrame, a: str, b: str, side: int, sigma: float = 1.5, span:
 
 def projected(cells: DataFrame, keys: list[str], channel: str, value: str, k: int, seed: int = 0) -> DataFrame:
     """(keys, p, v): k random unit-scale projections of vector cells; weights follow from the channel and the seed."""
-    from ..sources.fields import normal
+    from ..sources.deltas import digest_normal
 
     p = cells.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    return p.groupBy(*keys, "p").agg(F.sum(F.col(value) * normal(seed, "p", channel)).alias("v"))
+    return p.groupBy(*keys, "p").agg(F.sum(F.col(value) * digest_normal(seed, "p", channel)).alias("v"))

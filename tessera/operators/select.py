@@ -74,9 +74,11 @@ def quadtree_order(tiles: DataFrame, half: int, score: str = "rho") -> DataFrame
     """``rank``: quadrants by their total, tiles by score inside; ties by unit."""
     quad = (F.floor(F.col("ti") / half) * 2 + F.floor(F.col("tj") / half)).cast("int")
     t = tiles.withColumn("quadrant", quad)
-    t = t.withColumn("_total", F.sum(score).over(Window.partitionBy("quadrant")))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("_total"), "quadrant", F.desc(score), "unit")
-    return t.withColumn("rank", F.row_number().over(w)).drop("_total")
+    q = t.groupBy("quadrant").agg(F.sum(score).alias("_total"), F.count("*").alias("_n"))
+    before = Window.orderBy(F.desc("_total"), "quadrant").rowsBetween(Window.unboundedPreceding, -1)  # one row a quadrant
+    q = q.select("quadrant", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    inside = F.row_number().over(Window.partitionBy("quadrant").orderBy(F.desc(score), "unit"))
+    return t.withColumn("_i", inside).join(q, "quadrant").withColumn("rank", (F.col("_at") + F.col("_i")).cast("int")).drop("_at", "_i")
 
 
 def prefix_budget(df: DataFrame, cost: str, score: str, key: str, limit: float) -> DataFrame:
@@ -91,8 +93,8 @@ def prefix_budget(df: DataFrame, cost: str, score: str, key: str, limit: float)
 
 def ucb(df: DataFrame, reward: str, pulls: str, c: float) -> DataFrame:
     """Upper confidence score: mean reward and sqrt(ln of all pulls over own pulls)."""
-    n = F.sum(pulls).over(Window.partitionBy(F.lit(0)))
-    return df.withColumn("ucb", F.col(reward) / F.col(pulls) + c * F.sqrt(F.log(n) / F.col(pulls)))
+    n = F.broadcast(df.agg(F.sum(pulls).alias("_all")))  # one row
+    return df.join(n).withColumn("ucb", F.col(reward) / F.col(pulls) + c * F.sqrt(F.log("_all") / F.col(pulls))).drop("_all")
 
 
 def allocation(clusters: DataFrame, n_total: int, fraction: float) -> DataFrame:
@@ -101,9 +103,10 @@ def allocation(clusters: DataFrame, n_total: int, fraction: float) -> DataFrame:
 
     ``clusters``: cluster, size, survivors, mean_score.
     """
-    t = clusters.withColumn("_all", F.sum("size").over(Window.partitionBy(F.lit(0))))
+    t = clusters.join(F.broadcast(clusters.agg(F.sum("size").alias("_all"))))  # one row
     want = F.greatest(F.lit(1), F.floor(F.lit(fraction * n_total) * F.col("size") / F.col("_all")).cast("long"))
     t = t.withColumn("want", F.least(want, F.col("survivors").cast("long")))
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_score"), "cluster").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.greatest(F.lit(budget(n_total, fraction)) - F.coalesce(F.sum("want").over(w), F.lit(0)), F.lit(0))
-    return t.withColumn("given", F.least("want", left)).drop("_all")
+    most = budget(n_total, fraction)
+    t = prefix_budget(t, "want", "mean_score", "cluster", most)
+    left = F.greatest(F.lit(most) - F.col("spent").cast("long"), F.lit(0))
+    return t.withColumn("given", F.least("want", left)).drop("_all", "spent", "open")

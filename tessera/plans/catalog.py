@@ -23,7 +23,7 @@ CELL = """cell AS (SELECT r, c, r//4 AS ti, c//4 AS tj, (r//4)*8 + c//4 AS unit,
  SELECT CAST(i//32 AS INT) AS r, CAST(i%32 AS INT) AS c, coalesce(x.gt, 0.0) AS gt FROM range(1024) g(i) LEFT JOIN (
  SELECT l_orderkey%32 AS a, l_partkey%32 AS b, avg(l_extendedprice*(1-l_discount))/10000 AS gt FROM lineitem GROUP BY ALL) x ON a = i//32 AND b = i%32))"""
 RHO = CELL + ", rho AS (SELECT unit, ti, tj, avg((gt-coarse)*(gt-coarse)) AS rho FROM cell GROUP BY ALL)"
-BITS = "list_sum(list_transform(range(16), lambda i : (({0} >> i) & 1) << (2*i)))"
+BITS = "list_sum(list_transform(range(31), lambda i : (({0} >> i) & 1) << (2*i)))"
 MORTON = f"CAST({BITS.format('CAST(tj AS BIGINT)')} + 2*{BITS.format('CAST(ti AS BIGINT)')} AS BIGINT)"
 VERT = """vert AS (SELECT *, avg(gt) OVER (PARTITION BY community) AS coarse FROM (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS gt, label AS community FROM embeddings))"""
 KNN = VERT + """, knn AS (SELECT src, dst, dist FROM (SELECT a.id AS src, b.id AS dst, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS dist,
@@ -57,7 +57,7 @@ def _sales(spark, d):
 
 def _und(spark, d):
     v = spaces.vertices(spark, d)
-    return v, graphs.undirected(spaces.knn_edges(v, 6))
+    return v, graphs.undirected(spaces.knn_edges(v, 6)).checkpoint()  # the neighbour join is made once
 
 
 def _sigs(spark, d):

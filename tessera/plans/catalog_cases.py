@@ -12,7 +12,7 @@ from ..sources.tables import table
 from . import refinement
 from .catalog import CELL, RHO, SIDE, TILE, TREE, UND, VERT, _cases, _r, _sales, _und, query
 from .catalog_graphs import STENCIL, TM, _tiles
-from .catalog_scales import PV, _dft, _pv
+from .catalog_scales import PV, WEIGHT, _dft, _pv, digest_sql
 
 SEED = 42
 
@@ -20,12 +20,8 @@ SEED = 42
 # --- labelled deltas ---------------------------------------------------------------------------------------------
 
 
-def _u(seed: int, *keys: str) -> str:
-    return f"((CAST('0x' || substr(md5(concat_ws(',', {', '.join([repr(str(seed)), *keys])})), 1, 12) AS BIGINT) + 0.5)/281474976710656)"
-
-
 def _normal(seed: int, *keys: str) -> str:
-    return f"(sqrt(-2*ln({_u(seed, *keys)}))*cos(2*pi()*{_u(seed + 7919, *keys)}))"
+    return f"(sqrt(-2*ln({digest_sql(seed, *keys)}))*cos(2*pi()*{digest_sql(seed + 7919, *keys)}))"
 
 
 def _blur(name: str, sigma: float, seed: int) -> str:
@@ -41,8 +37,8 @@ _SIGN = "CASE WHEN {} THEN 1.0 ELSE -1.0 END"
 DELTAS = CELL + ", " + _blur("s8", 8.0, SEED + 1) + ", " + _blur("s6", 6.0, SEED + 2) + f""", dl AS (SELECT cell.r, cell.c, unit, gt, coarse, unnest([
  struct_pack(n := 'pos_oracle', d := gt-coarse), struct_pack(n := 'pos_scaled', d := 0.5*(gt-coarse)), struct_pack(n := 'pos_noisy', d := gt-coarse+0.02*{_normal(SEED, 'cell.r', 'cell.c')}),
  struct_pack(n := 'neg_lf_drift', d := gt-coarse+0.3*sin(2*pi()*0.5*cell.c/32+{2 * math.pi * deltas.digest(SEED, 'phase')!r})), struct_pack(n := 'neg_random_lf', d := 0.5*s8.v), struct_pack(n := 'neg_semant_wrong', d := -2*coarse),
- struct_pack(n := 'neg_coarse_shift', d := gt-coarse+0.2*coarse*{_SIGN.format(_u(SEED + 3, 'cell.r', 'cell.c') + ' > 0.5')}), struct_pack(n := 'neg_shift_coherent', d := gt-coarse+0.2*coarse*{_SIGN.format('s6.v > 0')}),
- struct_pack(n := 'neg_shift_block', d := gt-coarse+0.2*coarse*{_SIGN.format(_u(SEED + 4, 'cell.r//8', 'cell.c//8') + ' > 0.5')}),
+ struct_pack(n := 'neg_coarse_shift', d := gt-coarse+0.2*coarse*{_SIGN.format(digest_sql(SEED + 3, 'cell.r', 'cell.c') + ' > 0.5')}), struct_pack(n := 'neg_shift_coherent', d := gt-coarse+0.2*coarse*{_SIGN.format('s6.v > 0')}),
+ struct_pack(n := 'neg_shift_block', d := gt-coarse+0.2*coarse*{_SIGN.format(digest_sql(SEED + 4, 'cell.r//8', 'cell.c//8') + ' > 0.5')}),
  struct_pack(n := 'neg_shift_gradient', d := gt-coarse+0.2*coarse*{_SIGN.format(f'{math.cos(_ANGLE)!r}*(cell.c/32-0.5)+{math.sin(_ANGLE)!r}*(cell.r/32-0.5) > 0')})]) AS s
  FROM cell JOIN s8 ON s8.r = cell.r AND s8.c = cell.c JOIN s6 ON s6.r = cell.r AND s6.c = cell.c), dt AS (SELECT r, c, unit, gt, coarse, s.n AS "case", s.n LIKE 'pos%' AS good, s.d AS delta FROM dl)"""
 
@@ -234,23 +230,20 @@ def sign_test(spark, d):
 
 
 ROWS = "x AS (SELECT o_orderkey AS id, round(o_totalprice/1000) AS s, o_orderstatus = 'F' AS pos FROM orders)"
-AUC = "SELECT {0} round AS round, sum(p*(below+n/2))/(sum(p)*sum(n)) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM {1}) GROUP BY round"
+AUC = "SELECT round, sum(p*(below+n/2))/(sum(p)*sum(n)) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM c) GROUP BY round"
 
 
 def _rows(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 1000).alias("s"), (F.col("o_orderstatus") == "F").alias("pos"))
 
 
-@query("permutation_auc", ROWS + ", u AS (SELECT id, s, rd AS round, " + _u(7, "id", "rd") + " AS u FROM x, range(1,20) g(rd)), t AS (SELECT round, s, row_number() OVER (PARTITION BY round ORDER BY u, id) <= (SELECT count(*) FROM x WHERE pos) AS t FROM u UNION ALL SELECT 0, s, pos FROM x), c AS (SELECT round, s, count(*) FILTER (t) AS p, count(*) FILTER (NOT t) AS n FROM t GROUP BY ALL), a AS (" + AUC.format("", "c")
+@query("permutation_auc", ROWS + ", u AS (SELECT id, s, rd AS round, " + digest_sql(7, "id", "rd") + " AS u FROM x, range(1,20) g(rd)), t AS (SELECT round, s, row_number() OVER (PARTITION BY round ORDER BY u, id) <= (SELECT count(*) FROM x WHERE pos) AS t FROM u UNION ALL SELECT 0, s, pos FROM x), c AS (SELECT round, s, count(*) FILTER (t) AS p, count(*) FILTER (NOT t) AS n FROM t GROUP BY ALL), a AS (" + AUC
        + ") SELECT round((SELECT auc FROM a WHERE round = 0),6) AS auc, round(((SELECT count(*) FROM a WHERE round > 0 AND auc >= (SELECT auc FROM a WHERE round = 0))+1)/20,6) AS p")
 def permutation_auc(spark, d):
     return evaluation.permutation_auc(_rows(spark, d), "s", "pos", "id", 19, 7).select(*_r("auc", "p"))
 
 
-_W = "CASE WHEN u > 0.99940582 THEN 6 WHEN u > 0.99634015 THEN 5 WHEN u > 0.98101184 THEN 4 WHEN u > 0.91969860 THEN 3 WHEN u > 0.73575888 THEN 2 WHEN u > 0.36787944 THEN 1 ELSE 0 END"
-
-
-@query("auc_interval", ROWS + ", u AS (SELECT pos, s, rd AS round, " + _u(3, "id", "rd") + " AS u FROM x, range(1,21) g(rd)), c AS (SELECT round, s, sum(CASE WHEN pos THEN w ELSE 0 END) AS p, sum(CASE WHEN pos THEN 0 ELSE w END) AS n FROM (SELECT *, " + _W + " AS w FROM u) GROUP BY ALL), a AS (" + AUC.format("", "c") + ") SELECT round(quantile_cont(auc,0.025),6) AS lo, round(quantile_cont(auc,0.975),6) AS hi FROM a")
+@query("auc_interval", ROWS + ", u AS (SELECT pos, s, rd AS round, " + digest_sql(3, "id", "rd") + " AS u FROM x, range(1,21) g(rd)), c AS (SELECT round, s, sum(CASE WHEN pos THEN w ELSE 0 END) AS p, sum(CASE WHEN pos THEN 0 ELSE w END) AS n FROM (SELECT *, " + WEIGHT + " AS w FROM u) GROUP BY ALL), a AS (" + AUC + ") SELECT round(quantile_cont(auc,0.025),6) AS lo, round(quantile_cont(auc,0.975),6) AS hi FROM a")
 def auc_interval(spark, d):
     return evaluation.auc_interval(_rows(spark, d), "s", "pos", "id", 20, 0.05, 3).select(*_r("lo", "hi"))
 

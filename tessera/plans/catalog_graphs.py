@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ..operators import graphs, layouts, refine, select, trees, units
@@ -125,7 +127,12 @@ def graph_hierarchy(spark, d):
     return graphs.hierarchy_of(v.select("id", F.col("community").alias("block")), v.select("id", "x", "y"))
 
 
-@query("label_propagation")
+LP = UND + ", adj AS (SELECT src, dst FROM und UNION ALL SELECT dst, src FROM und), l0 AS (SELECT id, id AS block FROM vert)" + "".join(
+    f", l{k} AS (SELECT id, block FROM (SELECT id, block, row_number() OVER (PARTITION BY id ORDER BY n DESC, block) AS k FROM (SELECT id, block, count(*) AS n FROM (SELECT src AS id, block FROM adj JOIN l{k - 1} p ON p.id = dst UNION ALL SELECT id, block FROM l{k - 1}) GROUP BY ALL)) WHERE k = 1)" for k in range(1, 6)
+)
+
+
+@query("label_propagation", "WITH RECURSIVE " + LP + """, inn AS (SELECT src, dst FROM adj JOIN l5 a ON a.id = src JOIN l5 b ON b.id = dst WHERE a.block = b.block), rc(id, o) AS (SELECT id, id FROM vert UNION SELECT rc.id, dst FROM rc JOIN inn ON inn.src = rc.o) SELECT id, min(o) AS block FROM rc GROUP BY id""")
 def label_propagation(spark, d):
     v, e = _und(spark, d)
     return graphs.label_propagation(v.select("id"), e, 5)
@@ -195,7 +202,10 @@ def degree2_chains(spark, d):
     return trees.degree2_chains(fields.chained_tree(spark, 5, 3))
 
 
-@query("chain_segments")
+@query("chain_segments", """WITH RECURSIVE t AS (SELECT CAST(c*13+i AS BIGINT) AS child, CAST(CASE WHEN i = 12 THEN ((c-1)//2)*13 ELSE c*13+i+1 END AS BIGINT) AS parent FROM range(1,15) g(c), range(13) h(i) UNION ALL SELECT 0, NULL),
+ dg AS (SELECT t.child AS node, t.parent, count(k.child) + CAST(any_value(t.parent) IS NOT NULL AS INT) AS degree FROM t LEFT JOIN t k ON k.parent = t.child GROUP BY t.child, t.parent), n AS (SELECT node, parent FROM dg WHERE degree = 2 AND parent IS NOT NULL),
+ z AS (SELECT node, node AS head, 0 AS pos FROM n WHERE parent NOT IN (SELECT node FROM n) UNION ALL SELECT n.node, z.head, pos+1 FROM z JOIN n ON n.parent = z.node), r AS (SELECT *, sum(CASE WHEN node%7 = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY head ORDER BY pos) AS run FROM z),
+ k AS (SELECT *, row_number() OVER (PARTITION BY head, run ORDER BY pos)-1 AS k FROM r WHERE node%7 <> 3), s AS (SELECT node, head, min(node) OVER w AS segment, CAST(k%8 AS INT) AS place, count(*) OVER w AS n FROM k WINDOW w AS (PARTITION BY head, run, k//8)) SELECT node, head, segment, place FROM s WHERE n >= 2""")
 def chain_segments(spark, d):
     c = trees.degree2_chains(fields.chained_tree(spark, 4, 12))
     return trees.segments(c, c.where("node % 7 <> 3").select("node"))
@@ -260,7 +270,10 @@ def morton_blocks(spark, d):
     return layouts.morton_blocks(c, "morton", 64).select("id", "block")
 
 
-@query("active_mask")
+_CENTRE = (lambda g: (g.randrange(64), g.randrange(64)))(random.Random(3))
+
+
+@query("active_mask", f"SELECT CAST(i//64 AS INT) AS r, CAST(i%64 AS INT) AS c, row_number() OVER (ORDER BY (i//64-{_CENTRE[0]})**2 + (i%64-{_CENTRE[1]})**2, i//64, i%64) <= 819 AS active FROM range(4096) g(i)")
 def active_mask(spark, d):
     return fields.active_mask(spark, 64, 0.2, "clustered", 3)
 

@@ -399,7 +399,16 @@ def spearman(spark, d):
     return evaluation.spearman(units.rho(c).join(units.max_abs(c), "unit"), "rho", "max_abs").select(*_r("spearman"))
 
 
-@query("bootstrap_auc")
+WEIGHT = "CASE WHEN u > 0.99940582 THEN 6 WHEN u > 0.99634015 THEN 5 WHEN u > 0.98101184 THEN 4 WHEN u > 0.91969860 THEN 3 WHEN u > 0.73575888 THEN 2 WHEN u > 0.36787944 THEN 1 ELSE 0 END"
+
+
+def digest_sql(seed: int, *keys: str) -> str:
+    """SQL of ``deltas.digest_uniform``."""
+    return f"((CAST('0x' || substr(md5(concat_ws(',', {', '.join([repr(str(seed)), *keys])})), 1, 12) AS BIGINT) + 0.5)/281474976710656)"
+
+
+@query("bootstrap_auc", CASES + ", u AS (SELECT pos, s, CAST(rd AS INT) AS round, " + digest_sql(0, "id", "rd") + " AS u FROM cs, range(1,21) g(rd)), c AS (SELECT round, s, sum(CASE WHEN pos THEN w ELSE 0 END) AS p, sum(CASE WHEN pos THEN 0 ELSE w END) AS n FROM (SELECT *, " + WEIGHT
+       + " AS w FROM u) GROUP BY ALL) SELECT round, round(sum(p*(below+n/2))/(sum(p)*sum(n)),6) AS auc FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS below FROM c) GROUP BY round")
 def bootstrap_auc(spark, d):
     return evaluation.bootstrap_auc(_cases(spark, d), "s", "pos", "id", 20).select("round", *_r("auc"))
 

@@ -10,7 +10,7 @@ from ..sources import fields, spaces
 from ..sources.tables import table
 from . import refinement
 from .catalog import CASES, CELL, RHO, SIDE, SIG, TILE, UND, VERT, _cases, _r, _sales, _sigs, _und, query
-from .catalog_scales import LAGGED, _cnt
+from .catalog_scales import LAGGED, _cnt, digest_sql
 
 GAIN = RHO + ", gn AS (SELECT unit, ti, tj, rho, rho*(1+0.5*cos(unit)) AS gain, rho+0.02*sin(unit*7) AS jit FROM rho)"
 
@@ -194,14 +194,19 @@ def hybrid_curvature(spark, d):
     return studies.hybrid_curvature(_und(spark, d)[1], 20)
 
 
-@query("idempotence")
+GW = """k{0} AS (SELECT i, exp(-0.5*(i/{1})**2) AS k FROM range(-{2},{2}+1) g(i)), w{0} AS (SELECT co, CASE WHEN x < 32 THEN x ELSE 63-x END AS f, sum(k)/(SELECT sum(k) FROM k{0}) AS w FROM (SELECT co, k, ((co*{3}+i)%64+64)%64 AS x FROM range({4}) h(co), k{0}) GROUP BY ALL)"""
+
+
+@query("idempotence", CELL + ", " + GW.format("g", 1.0, 4, 2, 16) + """, p AS (SELECT CAST(i AS INT) AS i, i*15/31 AS x FROM range(32) g(i)), up AS (SELECT i AS f, CAST(floor(x) AS INT) AS co, 1-(x-floor(x)) AS w FROM p UNION ALL SELECT i, CAST(floor(x) AS INT)+1, x-floor(x) FROM p WHERE x > floor(x) AND floor(x)+1 < 16),
+ a1 AS (SELECT co AS r, c, sum(gt*w) AS v FROM cell JOIN wg ON r = f GROUP BY ALL), a AS (SELECT r, co AS c, sum(v*w) AS v FROM a1 JOIN wg ON c = f GROUP BY ALL), b1 AS (SELECT f AS r, c, sum(v*w) AS v FROM a JOIN up ON r = co GROUP BY ALL), b AS (SELECT r, f AS c, sum(v*w) AS v FROM b1 JOIN up ON c = co GROUP BY ALL),
+ d1 AS (SELECT co AS r, c, sum(v*w) AS v FROM b JOIN wg ON r = f GROUP BY ALL), d AS (SELECT r, co AS c, sum(v*w) AS v FROM d1 JOIN wg ON c = f GROUP BY ALL) SELECT round(sqrt(sum((a.v-d.v)**2))/sqrt(sum(a.v**2)),6) AS gap FROM a JOIN d ON a.r = d.r AND a.c = d.c""")
 def idempotence(spark, d):
     """Norm of R(c) - R(Up(R(c))) over the norm of R(c), Gaussian and bilinear."""
     c = _sales(spark, d)
     down, up = scales.gaussian_weights(spark, SIDE, 1.0), scales.bilinear_weights(spark, SIDE, SIDE // 2)
     one = scales.separable(c, down, "gt", True).checkpoint()
     two = scales.separable(scales.separable(one, up, "v", False), down, "v", True).withColumnRenamed("v", "w")
-    return one.join(two, ["r", "c"]).agg((F.sqrt(F.sum((F.col("v") - F.col("w")) ** 2)) / F.sqrt(F.sum(F.col("v") ** 2))).alias("gap"))
+    return one.join(two, ["r", "c"]).agg((F.sqrt(F.sum((F.col("v") - F.col("w")) ** 2)) / F.sqrt(F.sum(F.col("v") ** 2))).alias("gap")).select(*_r("gap"))
 
 
 @query("gradient_shift", CELL + """, g AS (SELECT unit, coalesce(lead(gt) OVER a - gt,0) AS a0, coalesce(lead(gt) OVER b - gt,0) AS a1, coalesce(lead(gt*0.9+r*0.01) OVER a - (gt*0.9+r*0.01),0) AS b0, coalesce(lead(gt*0.9+r*0.01) OVER b - (gt*0.9+r*0.01),0) AS b1 FROM cell WINDOW a AS (PARTITION BY unit, r ORDER BY c), b AS (PARTITION BY unit, c ORDER BY r))
@@ -217,7 +222,8 @@ def sign_cancellation(spark, d):
     return scales.sign_cancellation(c, ["unit"], "x").select("unit", *_r("d_sign"))
 
 
-@query("ssim")
+@query("ssim", CELL + ", " + GW.format("g", 1.5, 6, 1, 32) + """, a AS (SELECT co AS r, c, sum(gt*w) AS ma, sum(coarse*w) AS mb, sum(gt*gt*w) AS qa, sum(coarse*coarse*w) AS qb, sum(gt*coarse*w) AS ab FROM cell JOIN wg ON r = f GROUP BY ALL),
+ b AS (SELECT r, co AS c, sum(ma*w) AS ma, sum(mb*w) AS mb, sum(qa*w) AS qa, sum(qb*w) AS qb, sum(ab*w) AS ab FROM a JOIN wg ON c = f GROUP BY ALL) SELECT round(1-avg((2*ma*mb+0.0025)*(2*(ab-ma*mb)+0.0225)/((ma*ma+mb*mb+0.0025)*(qa-ma*ma+qb-mb*mb+0.0225))),6) AS d_ssim FROM b""")
 def ssim(spark, d):
     return scales.ssim(_sales(spark, d), "gt", "coarse", SIDE, span=5.0).select(*_r("d_ssim"))
 
@@ -240,7 +246,10 @@ def greedy_blocks(spark, d):
     return graphs.greedy_blocks(e, graphs.components(v.select("id"), e), 32)
 
 
-@query("projected_seam")
+@query("projected_seam", """WITH e AS (SELECT CAST(vec_id//20 AS INT) AS r, CAST(vec_id%20 AS INT) AS c, unnest(range(len(embedding))) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), cell AS (SELECT r, c, (r//5)*4 + c//5 AS unit, sum(x*(sqrt(-2*ln(""" + digest_sql(5, "0", "d") + "))*cos(2*pi()*" + digest_sql(7924, "0", "d") + """))) AS gt FROM e GROUP BY ALL),
+ u AS (SELECT unit, min(r) AS r0, min(c) AS c0, max(r)+1 AS r1, max(c)+1 AS c1 FROM cell GROUP BY unit), pr AS (SELECT u.unit, a.r >= r0 AND a.r < r1 AND a.c >= c0 AND a.c < c1 AS core, b.r < r0 OR b.r >= r1 OR b.c < c0 OR b.c >= c1 AS out0, b.r < r0-1 OR b.r >= r1+1 OR b.c < c0-1 OR b.c >= c1+1 AS out1, abs(a.gt-b.gt) AS j
+ FROM u JOIN cell a ON a.r >= r0-1 AND a.r < r1+1 AND a.c >= c0-1 AND a.c < c1+1 JOIN cell b ON abs(a.r-b.r)+abs(a.c-b.c) = 1)
+ SELECT unit, round(coalesce(median(j) FILTER (out1 AND NOT (core AND out0)),0)/(coalesce(median(j) FILTER (core AND out0),0)+1e-8),5) AS seam FROM pr WHERE out1 OR (core AND out0) GROUP BY unit""")
 def projected_seam(spark, d):
     p = scales.projected(spaces.vector_cells(spark, d), ["r", "c"], "d", "gt", 1, 5)
     box = spaces.vector_cells(spark, d).groupBy("unit").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), (F.max("r") + 1).alias("r1"), (F.max("c") + 1).alias("c1"))

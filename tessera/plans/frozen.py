@@ -7,7 +7,7 @@ best. L0 and L1 are written as a table; a query reads only it and the cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import refine, select, units
@@ -28,15 +28,17 @@ def tree_structure(nodes: DataFrame, total: int, unit_depth: int) -> DataFrame:
     """L0 of trees: (unit, l0, cluster): share of nodes below, 0.3 more if the parent is above depth 3, over the largest."""
     u = nodes.where("unit IS NOT NULL").groupBy("unit").agg(F.count("*").alias("n"))
     s = F.col("n") / total + F.lit(0.3 if unit_depth - 1 < 3 else 0.0)
-    return u.select("unit", (s / F.max(s).over(Window.partitionBy(F.lit(0)))).alias("l0"), F.lit(unit_depth).alias("cluster"))
+    u = u.select("unit", s.alias("_s"))
+    top = F.broadcast(u.agg(F.max("_s").alias("_top")))  # one row
+    return u.join(top).select("unit", (F.col("_s") / F.col("_top")).alias("l0"), F.lit(unit_depth).alias("cluster"))
 
 
 def graph_structure(units_: DataFrame) -> DataFrame:
     """L0 of graphs: 0.3 curvature spread, 0.2 hub, 0.5 bridge, each over its largest. Columns unit, spread, hub, boundary."""
-    w = Window.partitionBy(F.lit(0))
-    top = lambda c: c / F.greatest(F.max(c).over(w), F.lit(1e-12))
-    bridge = F.greatest(-F.col("boundary"), F.lit(0.0))
-    return units_.select("unit", (0.3 * top(F.col("spread")) + 0.2 * top(F.col("hub")) + 0.5 * top(bridge)).alias("l0"), F.col("unit").alias("cluster"))
+    u = units_.select("unit", F.col("spread").alias("_a"), F.col("hub").alias("_b"), F.greatest(-F.col("boundary"), F.lit(0.0)).alias("_c"))
+    most = F.broadcast(u.agg(*[F.greatest(F.max(c), F.lit(1e-12)).alias(f"{c}_top") for c in ("_a", "_b", "_c")]))  # one row
+    part = lambda c: F.col(c) / F.col(f"{c}_top")
+    return u.join(most).select("unit", (0.3 * part("_a") + 0.2 * part("_b") + 0.5 * part("_c")).alias("l0"), F.col("unit").alias("cluster"))
 
 
 def freeze(cells: DataFrame, l0: DataFrame, ratio: float, least: float = 0.1) -> DataFrame:
