@@ -1,8 +1,10 @@
 """Keyed state on streams: debounced triggers and multi-stage dedup.
 
 Both give for a stream what ``operators.states`` gives for a table, as long as a key's
-rows arrive in order of their steps. State is one small row a key and leaves after a
-time without rows.
+rows arrive in order of their steps. State is one small row a key. With ``idle_ms`` it
+leaves after that time without rows: for queries that go on, as Spark makes batches
+without data for such timeouts, so that a query with an ``availableNow`` trigger would
+not end.
 """
 
 from __future__ import annotations
@@ -18,11 +20,15 @@ DEBOUNCED = "node long, step long, crossing boolean, run long, trigger boolean"
 DEDUPED = "uri string, step long, stage string"
 
 
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 def _dirty(a: int, b: int, bits: int, diff: int) -> bool:
     return ((a ^ b) & 0xFFF).bit_count() >= bits or max(abs((a >> s & 15) - (b >> s & 15)) for s in (0, 4, 8)) >= diff
 
 
-def debounce(stream: DataFrame, bits: int = 3, diff: int = 4, need: int = 2, idle_ms: int = 3_600_000) -> DataFrame:
+def debounce(stream: DataFrame, bits: int = 3, diff: int = 4, need: int = 2, idle_ms: int | None = None) -> DataFrame:
     """(node, step, crossing, run, trigger) of a stream (node, step, sig); the first signature of a node is its baseline."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,14 +44,15 @@ def debounce(stream: DataFrame, bits: int = 3, diff: int = 4, need: int = 2, idl
             run = run + 1 if hit else 0
             out.append((key[0], int(step), hit, run, run >= need))
         state.update((base, run))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["node", "step", "crossing", "run", "trigger"])
 
     g = stream.select(F.col("node").cast("long"), F.col("step").cast("long"), F.col("sig").cast("long")).groupBy("node")
-    return g.applyInPandasWithState(update, DEBOUNCED, "base long, run long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return g.applyInPandasWithState(update, DEBOUNCED, "base long, run long", "append", _timeout(idle_ms))
 
 
-def dedup(stream: DataFrame, eps: float, idle_ms: int = 3_600_000) -> DataFrame:
+def dedup(stream: DataFrame, eps: float, idle_ms: int | None = None) -> DataFrame:
     """(uri, step, stage) of a stream (uri, step, digest, rho, skip): policy, exact, similar or process, against the visit before."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -59,11 +66,12 @@ def dedup(stream: DataFrame, eps: float, idle_ms: int = 3_600_000) -> DataFrame:
             last = (r.digest, float(r.rho))
             out.append((key[0], int(r.step), stage))
         state.update(last)
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["uri", "step", "stage"])
 
     g = stream.select("uri", F.col("step").cast("long"), "digest", F.col("rho").cast("double"), "skip").groupBy("uri")
-    return g.applyInPandasWithState(update, DEDUPED, "digest string, rho double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return g.applyInPandasWithState(update, DEDUPED, "digest string, rho double", "append", _timeout(idle_ms))
 
 
 def windowed_cost(events: DataFrame, late: str = "1 hour", window: str = "1 day") -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from tessera.operators import evaluation, gating, layouts, spectra, studies, units
-from tessera.sources import deltas
+from tessera.sources import deltas, spaces
 
 
 def _gate(run, alpha, cfg):
@@ -118,3 +118,40 @@ def test_perturbed_states(spark):
     assert all(r["out"] == 1 + 0.5 * r["step"] for r in still)
     hit = studies.perturbed(df, "step", "v", "k", 1, event=1, jump=9.0, share=0.5).where("out > 1").collect()
     assert {r["step"] for r in hit} == {1} and 8 < len(hit) < 32
+
+
+def test_neighbours_of_clustered_points(spark):
+    rng = np.random.default_rng(6)
+    xy = np.vstack([rng.normal(0, 1e-2, (300, 2)), rng.random((40, 2)) * 10, np.full((5, 2), 5.0)])
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double")
+    got = {(r["src"], r["dst"]) for r in spaces.knn_edges(p, 4).collect()}
+    want = set()
+    for i, a in enumerate(xy):
+        d = [(math.sqrt((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2), j) for j, b in enumerate(xy) if j != i]
+        want |= {(i, j) for _, j in sorted(d)[:4]}
+    assert got == want
+
+
+def test_deep_heap_nodes_and_large_coordinates(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tessera.functions.scalar import morton
+    from tessera.operators import graphs
+
+    def steps(u, v):
+        n = 0
+        while u != v:
+            u, v = ((u - 1) // 2, v) if u > v else (u, (v - 1) // 2)
+            n += 1
+        return n
+
+    pairs = [(0, 0), (0, 2**40), (2**45 + 7, 2**45 + 8), (2**50, 2**50 + 1), (5, 12), (2**33 + 1, 2**34 + 3)]
+    df = spark.createDataFrame(pairs, "u long, v long").withColumn("d", graphs.heap_distance(F.col("u"), F.col("v")))
+    assert all(r["d"] == steps(r["u"], r["v"]) for r in df.collect())
+    big = spark.createDataFrame([(2**31 - 1, 0), (0, 2**31 - 1), (70000, 3)], "r long, c long")
+    for x in big.withColumn("m", morton(F.col("r"), F.col("c"))).collect():
+        assert x["m"] == sum(((x["c"] >> i) & 1) << 2 * i | ((x["r"] >> i) & 1) << 2 * i + 1 for i in range(31))
+    for bad in (-1, 2**31):
+        with pytest.raises(Exception, match="coordinate"):
+            spark.range(1).select(morton(F.lit(bad), F.col("id"))).collect()
