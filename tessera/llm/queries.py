@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exactdedup, htmltext, licenses, mixing, ngramjoin, quality, sharding, tokenout
+from . import audit, chat, decontaminate, exactdedup, htmltext, licenses, mixing, ngramjoin, quality, sharding, tokenout
 
 QUERIES = {
     "op1_token_ids": tokenout.op1_token_ids,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
+    "op11_divergence": audit.op11_divergence,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op7_chat": chat.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
     "op10_exact_dedup": exactdedup.OP10_SQL,
+    "op11_divergence": audit.OP11_SQL,
 }
