@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, decontaminate, exactdedup, htmltext, licenses, mixing, ngramjoin, quality, search, sharding, tokenout
+from . import audit, chat, decontaminate, exactdedup, htmltext, licenses, minhash, mixing, ngramjoin, quality, search, sharding, tokenout
 
 QUERIES = {
     "op1_token_ids": tokenout.op1_token_ids,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
     "op11_divergence": audit.op11_divergence,
+    "op12_near_dedup": minhash.op12_near_dedup,
     "op13_search": search.op13_search,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op9_decontamination": decontaminate.OP9_SQL,
     "op10_exact_dedup": exactdedup.OP10_SQL,
     "op11_divergence": audit.OP11_SQL,
+    "op12_near_dedup": minhash.OP12_SQL,
     "op13_search": search.OP13_SQL,
 }
