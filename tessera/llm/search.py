@@ -9,18 +9,18 @@ equal words. Blocks end after ``DOCS`` documents or ``TOKENS`` terms; all rows w
 term are indexed, whole.
 
 A query's bound in a block is the sum of its weights times the largest impacts: no
-document of the block scores more. Search goes in four reads of the index:
-frequencies of the queries' terms; bounds, of which the ``SEEDS`` best blocks of each
-query stay; scores of these blocks, whose k-th best is a threshold that the answer
-reaches; last, each task takes its blocks batch by batch, sorts a batch by a query's
-bound and scores it until the bound drops below the threshold or the task's own k-th
-score. Only scores that reach the threshold leave a task, at most k a query. A bound
-equal to the threshold is still scored, so ties come out by document id.
+document of the block scores more. Search goes in three reads of the index. The first
+counts the documents that hold the queries' terms. In the second each task scores the
+block of the highest bound in each batch of its blocks and sends its ``LEADS`` best
+scores a query; the k-th best of all is a threshold that the answer reaches. In the
+last each task takes its blocks batch by batch, sorts a batch by a query's bound and
+scores it until the bound drops below the threshold or the task's own k-th score. Only
+scores that reach the threshold leave a task, at most k a query. A bound equal to the
+threshold is still scored, so ties come out by document id.
 
 Queries are held by the driver and broadcast in parts of at most ``QUERY_BYTES`` of
 text, each of which reads the index (not the texts) once more. Nothing of the corpus
-goes to the driver but one count for each query term and ``SEEDS`` block numbers and
-one threshold for each query. Scores are exact: integers of 64 bits.
+goes to the driver but one count for each query term and one threshold for each query. Scores are exact: integers of 64 bits.
 
 Defined results: null, empty and blank texts hold no term, count neither in N nor in L
 and are never found; very long texts and terms are read whole (one is a block by
@@ -44,8 +44,8 @@ from .common import small_batches, written
 from .terms import coded, term_class
 from .textscan import Scanner, chunks
 
-#: Documents and terms of a block, blocks scored for the first threshold, and bytes of the queries that are searched at once.
-DOCS, TOKENS, SEEDS, QUERY_BYTES = 64, 1 << 16, 4, 4 << 20
+#: Documents and terms of a block, scores that a task sends for the threshold, and bytes of the queries that are searched at once.
+DOCS, TOKENS, LEADS, QUERY_BYTES = 64, 1 << 16, 5, 4 << 20
 INDEX = "doc_id array<long>, terms array<string>, held binary, most binary, ends binary, term binary, impact binary"
 _NAMES = ["doc_id", "terms", "held", "most", "ends", "term", "impact"]
 
@@ -132,7 +132,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     n, total = lengths(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_index(n, total), INDEX)
-    return Index(written(rows.withColumn("block", F.monotonically_increasing_id())), n, total)
+    return Index(written(rows), n, total)
 
 
 class Queries:
@@ -209,46 +209,6 @@ def _frequencies(queries):
     return run
 
 
-def _best_blocks(queries, seeds: int):
-    """(q, block, bound) of the task's best blocks for each query; columns block, terms, most."""
-
-    def run(batches):
-        qs = queries.value
-        best = np.zeros((len(qs), 0), np.int64)
-        ids = np.zeros((len(qs), 0), np.int64)
-        for b in batches:
-            number, first = _numbered(qs, b.column(1))
-            most, block = b.column(2).to_pylist(), b.column(0).to_numpy()
-            got = [qs.bounds(number[x:y], np.frombuffer(m, "<i4")) for x, y, m in zip(first[:-1].tolist(), first[1:].tolist(), most, strict=True)]
-            if got:
-                best = np.concatenate([best, np.stack(got, 1)], 1)
-                ids = np.concatenate([ids, np.tile(block, (len(qs), 1))], 1)
-                o = np.argsort(-best, axis=1, kind="stable")[:, :seeds]
-                best, ids = np.take_along_axis(best, o, 1), np.take_along_axis(ids, o, 1)
-        q, k = np.nonzero(best > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[q, k]), pa.array(best[q, k])], names=["q", "block", "bound"])
-
-    return run
-
-
-def _seed_scores(queries, k: int):
-    """(q, score) of the best k documents of a block for each query that asks for it; columns qs, terms, ends, term, impact."""
-
-    def run(batches):
-        qs = queries.value
-        for b in batches:
-            number, first = _numbered(qs, b.column(1))
-            asked, parts, out = b.column(0).to_pylist(), [b.column(i).to_pylist() for i in (2, 3, 4)], [(np.zeros(0, np.int64),) * 2]
-            for r, which in enumerate(asked):
-                block = Block(qs, number[first[r] : first[r + 1]], *(p[r] for p in parts))
-                for q in which:
-                    s = np.sort(block.scores(q))[::-1][:k]
-                    out.append((np.full(len(s), q, np.int64), s))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["q", "score"])
-
-    return run
-
-
 class Best:
     """The best k of each query so far (score descending, ids ascending, null ids last) and the score that the next must reach."""
 
@@ -268,8 +228,8 @@ class Best:
         if len(o) == self.k:
             self.least[q] = max(self.least[q], score[o[-1]])
 
-    def take(self, qs: Queries, columns) -> None:
-        """Blocks of a batch, for each query from its highest bound down; columns doc_id, terms, most, ends, term, impact."""
+    def take(self, qs: Queries, columns, most_blocks: int | None = None) -> None:
+        """Blocks of a batch, for each query from its highest bound down, at most so many; columns doc_id, terms, most, ends, term, impact."""
         number, first = _numbered(qs, columns[1])
         parts = [c.to_pylist() for c in columns[2:]]
         at = [slice(x, y) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
@@ -279,7 +239,7 @@ class Best:
         ids = [(np.asarray(x.values.fill_null(0)), np.asarray(x.values.is_null())) for x in columns[0]]
         blocks: dict[int, Block] = {}
         for q in np.flatnonzero((bounds >= self.least[:, None]).any(axis=1)).tolist():
-            for r in np.argsort(-bounds[q], kind="stable").tolist():
+            for r in np.argsort(-bounds[q], kind="stable")[:most_blocks].tolist():
                 if bounds[q, r] < self.least[q]:
                     break
                 if r not in blocks:
@@ -288,14 +248,14 @@ class Best:
                 self.scored += 1
 
 
-def _answers(queries, k: int, least):
-    """(q, doc_id, score) of a task's best k for each query; columns as Best.take's."""
+def _answers(queries, k: int, least=None):
+    """(q, doc_id, score) of a task's best k for each query; without ``least`` of the best block of each batch only. Columns as Best.take's."""
 
     def run(batches):
         qs = queries.value
-        best = Best(len(qs), k, least.value)
+        best = Best(len(qs), k, np.zeros(len(qs), np.int64) if least is None else least.value)
         for b in batches:
-            best.take(qs, b.columns)
+            best.take(qs, b.columns, 1 if least is None else None)
         for q, (score, ids, null) in enumerate(best.rows):
             if len(score):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), q, np.int64)), pa.array(ids, mask=null), pa.array(score)], names=["q", "doc_id", "score"])
@@ -314,15 +274,12 @@ def _search_part(index: Index, ids: DataFrame, texts: list, k: int) -> DataFrame
     qs.weigh(df, index.docs)
     queries = share(qs)
     place = lambda *by: F.row_number().over(Window.partitionBy("q").orderBy(*by))
-    seeds = blocks.select("block", "terms", "most").mapInArrow(_best_blocks(queries, SEEDS), "q long, block long, bound long")
-    seeds = seeds.withColumn("r", place(F.desc("bound"), "block")).where(F.col("r") <= SEEDS)
-    seeds = written(seeds.groupBy("block").agg(F.collect_list("q").alias("qs")))
-    asked = blocks.join(F.broadcast(seeds), "block").select("qs", "terms", "ends", "term", "impact")  # at most SEEDS blocks a query
-    got = asked.mapInArrow(_seed_scores(queries, k), "q long, score long")
+    rows = blocks.select("doc_id", "terms", "most", "ends", "term", "impact")
+    got = rows.mapInArrow(_answers(queries, LEADS), "q long, doc_id long, score long").select("q", "score")
     least = np.zeros(len(qs), np.int64)
     for q, score in got.withColumn("r", place(F.desc("score"))).where(F.col("r") == k).select("q", "score").collect():
         least[q] = score  # one row a query
-    out = blocks.select("doc_id", "terms", "most", "ends", "term", "impact").mapInArrow(_answers(queries, k, share(least)), "q long, doc_id long, score long")
+    out = rows.mapInArrow(_answers(queries, k, share(least)), "q long, doc_id long, score long")
     return out.withColumn("rank", place(F.desc("score"), F.asc_nulls_last("doc_id"))).where(F.col("rank") <= k).join(F.broadcast(ids), "q").drop("q")
 
 
