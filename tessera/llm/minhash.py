@@ -12,7 +12,12 @@ are taken of it: the smallest value under as many multiplicative hashes. Two use
   of the similarity asked for exceed with probability below ``MISS``, from the exact
   distribution. Candidates beyond it are dropped without a look at their sets.
 
-What passes is confirmed on the full shingle sets, so no false link is made; the two
+A second, fine sketch of ``FINE_BITS`` bits folds the ``FINE`` smallest hashes of the set
+(a MinHash sample without replacement) and is used where buckets hold many near misses.
+Up to ``FINE`` shingles it folds the whole set, and the count cannot exceed the symmetric
+difference; beyond, ``fine_limit`` adds Bernstein's bound for sampling.
+
+What passes is confirmed on the full shingle sets, so no false link is made; the
 chances to miss one are below 10**-9 each for a pair.
 
 Equal sets are one class throughout. In a bucket each member meets the first member
@@ -50,6 +55,8 @@ from .textscan import Scanner, chunks, mix64
 ROWS, BITS, MISS = 5, 512, 1e-9
 #: Cross pairs of a bucket that are listed without comparing sketches first, and members compared at once.
 PLAIN, TILE = 64, 256
+#: Hashes and bits of a fine sketch.
+FINE, FINE_BITS = 1024, 4096
 _U, _U4 = np.uint64, np.uint32
 
 
@@ -109,6 +116,26 @@ def odd_sketches(got: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(m, BITS), axis=1, bitorder="little").view("<i8")
 
 
+def fine_sketches(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of the ``FINE`` smallest hashes of each set (``x`` is sorted in each): ``FINE_BITS`` / 64 numbers a set."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    w = np.arange(len(x)) - bounds[:-1][row] < FINE
+    out = np.zeros((len(bounds) - 1, FINE_BITS // 64), _U)
+    bit = x[w] & _U(FINE_BITS - 1)
+    np.bitwise_xor.at(out, (row[w], (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
+    return out.view(np.int64)
+
+
+def fine_limit(num: int, den: int, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The population count that the XOR of the fine sketches of two linked sets of n and m shingles exceeds never, or beyond ``FINE`` shingles with probability below ``MISS``."""
+    small, large = np.minimum(n, m), np.maximum(n, m)
+    differ = (n + m) * (den - num) // (den + num)
+    share = np.clip(1 - num * (n + m) / ((den + num) * np.maximum(large, 1)), 0, 1)  # of the larger set, that the other lacks
+    log = -math.log(MISS)
+    drawn = FINE * share + log / 3 + np.sqrt(log * log / 9 + 2 * log * FINE * share * (1 - share))
+    return np.where(large <= FINE, differ, np.where(small <= FINE, differ + large - FINE, 2 * np.ceil(drawn).astype(np.int64)))
+
+
 def _digests(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that name a set."""
     full = np.flatnonzero(np.diff(bounds))
@@ -119,7 +146,7 @@ def _digests(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h1.view(np.int64), h2.view(np.int64)
 
 
-_PROFILE = "doc_id long, row long, n long, h1 long, h2 long, keys array<long>, sketch array<long>"
+_PROFILE = "doc_id long, row long, n long, h1 long, h2 long, keys array<long>, sketch array<long>, fine array<long>"
 
 
 def _lists(values: np.ndarray) -> pa.Array:
@@ -142,8 +169,8 @@ def _profile(n_bands: int, k: int):
                     got = samples(x, np.append(bounds[:-1][full], bounds[-1]), factors)
                     keys[full], sketch[full] = band_keys(got), odd_sketches(got)
                 h1, h2 = _digests(x, bounds)
-                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), _lists(keys), _lists(sketch)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n", "h1", "h2", "keys", "sketch"])
+                cols = [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), _lists(keys), _lists(sketch), _lists(fine_sketches(x, bounds))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n", "h1", "h2", "keys", "sketch", "fine"])
 
     return run
 
@@ -165,15 +192,38 @@ def _sets(k: int):
     return run
 
 
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1).view(_U)
+
+
+def _far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(p ^ q).sum(axis=-1, dtype=np.int64)
+
+
+def _close(num: int, den: int, limit: int):
+    """(x, y) of the pairs whose sizes and both sketches allow a link; columns x, y and n, sketch, fine of either side."""
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            n, m = b.column(2).to_numpy(), b.column(5).to_numpy()
+            ok = (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (_far(_matrix(b.column(3)), _matrix(b.column(6))) <= limit)
+            ok &= _far(_matrix(b.column(4)), _matrix(b.column(7))) <= fine_limit(num, den, n, m)
+            yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["x", "y"])
+
+    return run
+
+
 def _near_in_groups(num: int, den: int, limit: int, forest: bool):
-    """Cross pairs (x, y) of groups whose sizes and sketches are near enough; columns key, grp, rid, comp, n, sketch, other, sorted by key and grp.
+    """Cross pairs (x, y) of groups whose sizes and sketches are near enough; columns key, grp, rid, comp, n, sketch, fine, other, sorted by key and grp.
 
     Rows with ``other`` meet rows without it only, if a group has both. ``forest``: only
     pairs that join parts of the group, fewer than it has members; else all.
     """
 
     def pairs(parts):
-        rid, comp, n, sketch, other = (np.concatenate(c) for c in zip(*parts, strict=True))
+        rid, comp, n, sketch, fine, other = (np.concatenate(c) for c in zip(*parts, strict=True))
         up: dict[int, int] = {}
 
         def find(x):
@@ -187,13 +237,16 @@ def _near_in_groups(num: int, den: int, limit: int, forest: bool):
         for a in range(0, len(left), TILE):
             for b in range(0 if split else a, len(right), TILE):
                 i, j = left[a : a + TILE], right[b : b + TILE]
-                near = np.bitwise_count(sketch[i][:, None] ^ sketch[j][None]).sum(axis=2, dtype=np.int64) <= limit
+                near = _far(sketch[i][:, None], sketch[j][None]) <= limit
                 small, large = np.minimum(n[i][:, None], n[j][None]), np.maximum(n[i][:, None], n[j][None])
                 near &= (num * large <= den * small) & (comp[i][:, None] != comp[j][None])
                 p, q = np.nonzero(near)
                 p, q = i[p], j[q]
                 if not split and a == b:
                     p, q = p[p < q], q[p < q]
+                w = np.concatenate([_far(fine[p[k : k + 4096]], fine[q[k : k + 4096]]) for k in range(0, len(p) + 1, 4096)])
+                w = w <= fine_limit(num, den, n[p], n[q])
+                p, q = p[w], q[w]
                 if forest:
                     keep = []
                     for k, (x, y) in enumerate(zip(comp[p].tolist(), comp[q].tolist(), strict=True)):
@@ -213,15 +266,14 @@ def _near_in_groups(num: int, den: int, limit: int, forest: bool):
             key, grp, rid, comp, n = (b.column(i).to_numpy() for i in range(5))
             if not len(key):
                 continue
-            sketch = b.column(5).flatten().to_numpy().reshape(len(key), -1).view(_U)
-            other = np.asarray(b.column(6))
+            sketch, fine, other = _matrix(b.column(5)), _matrix(b.column(6)), np.asarray(b.column(7))
             cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (grp[1:] != grp[:-1])))
             for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
                 if held and last != (key[a], grp[a]):
                     yield from pairs(held)
                     held = []
                 last = key[a], grp[a]
-                held.append((rid[a:e], comp[a:e], n[a:e], sketch[a:e], other[a:e]))
+                held.append((rid[a:e], comp[a:e], n[a:e], sketch[a:e], fine[a:e], other[a:e]))
         if held:
             yield from pairs(held)
 
@@ -293,11 +345,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     rows = _labelled(rows, comps).select("key", "rid", "comp", F.coalesce("hot", F.lit(False)).alias("hot"))
     out = written(_by_key(rows, F.col("hot")).mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
     release(spark)
-    listed = near(out.where("kind = 0").select("x", "y").distinct()).select("x", "y")
-    many = out.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("rid"))
+    listed, many = out.where("kind = 0").select("x", "y").distinct(), out.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("rid"))
+    ids = listed.select(F.col("x").alias("rid")).union(listed.select("y")).union(many.select("rid")).distinct()
+    both = written(profile.select("rid", "n", "sketch", "fine").join(ids, "rid", "left_semi"))
+    one, two = (both.select(F.col("rid").alias(r), F.col("n").alias("n" + r), F.col("sketch").alias("s" + r), F.col("fine").alias("f" + r)) for r in ("x", "y"))
+    listed = listed.join(one, "x").join(two, "y").select("x", "y", "nx", "sx", "fx", "ny", "sy", "fy").mapInArrow(_close(num, den, limit), "x long, y long")
     for forest in (True, True, False):
         lab, load = _blocks(many, comps)
-        groups = _groups(lab, load).join(sketches, "rid").select("key", "grp", "rid", "comp", "n", "sketch", "other")
+        groups = _groups(lab, load).join(both, "rid").select("key", "grp", "rid", "comp", "n", "sketch", "fine", "other")
         groups = groups.repartition("key", "grp").sortWithinPartitions("key", "grp")
         pairs = groups.mapInArrow(_near_in_groups(num, den, limit, forest), "x long, y long")
         links = links.union(verified(pairs.union(listed).distinct()))
