@@ -99,29 +99,32 @@ def joined_small(df: DataFrame, small: DataFrame, on, rows: int, how: str = "inn
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows_a_task: int | None = None) -> DataFrame:
     """Connected components of edges (a, b): rows (id, comp), comp the smallest id reached.
 
     Large-star and small-star steps on an edge table that is written to the shared
     folder in each round, until nothing changes; each step groups edges by a node
     but keeps no group in memory (window minimum joined by aggregation).
+    ``rows_a_task``: steps on few edges take fewer tasks than there are shuffle partitions.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = written(e)
+    tasks = e.count() // rows_a_task + 1 if rows_a_task else None
+    few = (lambda df: df.coalesce(tasks)) if tasks else (lambda df: df)
     before = None
     while True:
         # large star: each node links its larger neighbours to its smallest neighbour (or itself)
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = few(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
+        large = few(both.where("v > u").join(low, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: each node links its smaller neighbours and itself to its smallest neighbour
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        down = written(down)
-        mins = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(mins, "u").select(F.col("v").alias("x"), F.col("m").alias("v")).where("x <> v").select(F.col("x").alias("u"), "v")
-        e = written(small.union(mins.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        down = written(few(down))
+        mins = few(down.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(down.join(mins, "u")).select(F.col("v").alias("x"), F.col("m").alias("v")).where("x <> v").select(F.col("x").alias("u"), "v")
+        e = written(few(small.union(mins.select("u", F.col("m").alias("v"))).where("u <> v").distinct()))
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
+    return few(e.groupBy("u").agg(F.min("v").alias("comp"))).select(F.col("u").alias("id"), "comp")

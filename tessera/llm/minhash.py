@@ -24,8 +24,8 @@ Equal sets are one class throughout. In a bucket each member meets the first mem
 only; each class verifies the one of these partners whose sketch is nearest, and
 verified pairs are connected. Pairs of one component need no look. What is left are
 buckets whose members lie in several components: few cross pairs are listed, many are
-compared by sketch in blocks of two times ``BLOCK`` members, first for pairs that join
-parts, then, after these are verified and connected, for all that remain. Hot keys get
+compared by both sketches in blocks of two times ``BLOCK`` members, first for pairs that
+join parts, then, after these are verified and connected, for all that remain. Hot keys get
 their first member by broadcast and are dealt over many tasks, as in the n-gram join,
 whose bucket plumbing this module uses. Nothing of the corpus goes to the driver.
 
@@ -57,6 +57,8 @@ ROWS, BITS, MISS = 5, 512, 1e-9
 PLAIN, TILE = 64, 256
 #: Hashes and bits of a fine sketch.
 FINE, FINE_BITS = 1024, 4096
+#: Edges that a task takes when components are found; links are few beside the texts.
+EDGES = 100_000
 _U, _U4 = np.uint64, np.uint32
 
 
@@ -333,7 +335,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     release(spark)
     best = near(stars.select(F.col("rid").alias("x"), F.col("lead").alias("y"))).groupBy("x").agg(F.min(F.struct("far", "y")).alias("b"))
     links = verified(best.select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y")).distinct())
-    comps = written(components(links))
+    comps = written(components(links, EDGES))
     release(spark)
 
     # buckets whose members lie in several components
@@ -350,13 +352,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     both = written(profile.select("rid", "n", "sketch", "fine").join(ids, "rid", "left_semi"))
     one, two = (both.select(F.col("rid").alias(r), F.col("n").alias("n" + r), F.col("sketch").alias("s" + r), F.col("fine").alias("f" + r)) for r in ("x", "y"))
     listed = listed.join(one, "x").join(two, "y").select("x", "y", "nx", "sx", "fx", "ny", "sy", "fy").mapInArrow(_close(num, den, limit), "x long, y long")
-    for forest in (True, True, False):
+    for forest in (True, False):
         lab, load = _blocks(many, comps)
         groups = _groups(lab, load).join(both, "rid").select("key", "grp", "rid", "comp", "n", "sketch", "fine", "other")
         groups = groups.repartition("key", "grp").sortWithinPartitions("key", "grp")
         pairs = groups.mapInArrow(_near_in_groups(num, den, limit, forest), "x long, y long")
-        links = links.union(verified(pairs.union(listed).distinct()))
-        comps = written(components(links))
+        links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(verified(pairs.union(listed).distinct()))
+        comps = written(components(links, EDGES))
         listed = listed.limit(0)
         if load.isEmpty():
             break
