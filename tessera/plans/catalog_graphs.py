@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, layouts, refine, select, trees, units
+from ..operators import communities, graphs, layouts, refine, select, trees, units
 from ..sources import fields, spaces
 from ..sources.tables import table
 from . import refinement
@@ -283,3 +283,28 @@ def hash_keys(spark, d):
     from ..functions.scalar import hash_keys as h
 
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", h(F.col("l_orderkey"), 20).alias("h"))
+
+
+MERGED = """tm AS (SELECT CAST(sum(degree) AS HUGEINT) AS m2 FROM deg), mg AS (WITH RECURSIVE z AS (SELECT id, id AS block, 0 AS it FROM vert UNION ALL (
+  WITH vol AS (SELECT block, CAST(sum(degree) AS HUGEINT) AS v FROM z JOIN deg USING (id) GROUP BY block),
+  be AS (SELECT least(a.block,b.block) AS p, greatest(a.block,b.block) AS q, CAST(count(*) AS HUGEINT) AS w FROM und JOIN z a ON a.id = src JOIN z b ON b.id = dst WHERE a.block <> b.block GROUP BY ALL),
+  gn AS (SELECT p, q, m2*w - x.v*y.v AS gain FROM be JOIN vol x ON x.block = p JOIN vol y ON y.block = q, tm WHERE m2*w - x.v*y.v > 0),
+  bs AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY gain DESC, p, q) AS k FROM (SELECT p AS block, * FROM gn UNION ALL SELECT q AS block, * FROM gn)),
+  mt AS (SELECT p, q FROM bs WHERE k = 1 GROUP BY p, q HAVING count(*) = 2)
+  SELECT z.id, coalesce(mt.p, z.block) AS block, z.it + 1 AS it FROM z LEFT JOIN mt ON mt.q = z.block WHERE EXISTS (SELECT 1 FROM mt))) SELECT id, block FROM z WHERE it = (SELECT max(it) FROM z))"""
+SCORED = "SELECT (SELECT m2 FROM tm) * (SELECT count(*) FROM ew JOIN {0} a ON a.id = ew.id JOIN {0} b ON b.id = ew.dst WHERE a.block = b.block) - (SELECT sum(v*v) FROM (SELECT CAST(sum(degree) AS HUGEINT) AS v FROM {0} JOIN deg USING (id) GROUP BY block)) AS score"
+MOVED = """ew AS (SELECT src AS id, dst FROM und UNION ALL SELECT dst, src FROM und), mv AS (WITH RECURSIVE z AS (SELECT id, block, 0 AS it FROM mg UNION ALL (
+  WITH vol AS (SELECT block, CAST(sum(degree) AS HUGEINT) AS v FROM z JOIN deg USING (id) GROUP BY block),
+  lk AS (SELECT ew.id, b.block AS too, CAST(count(*) AS HUGEINT) AS l FROM ew JOIN z b ON b.id = ew.dst GROUP BY ALL),
+  gn AS (SELECT lk.id, lk.too, m2*(lk.l - coalesce(o.l, 0)) - d.degree*(vb.v - va.v + d.degree) AS gain FROM lk JOIN z ON z.id = lk.id AND z.block <> lk.too JOIN deg d ON d.id = lk.id LEFT JOIN lk o ON o.id = lk.id AND o.too = z.block JOIN vol va ON va.block = z.block JOIN vol vb ON vb.block = lk.too, tm),
+  wt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gain DESC, too) AS k FROM gn WHERE gain > 0) WHERE k = 1),
+  bt AS (SELECT DISTINCT a.id FROM ew JOIN wt a ON a.id = ew.id JOIN wt b ON b.id = ew.dst WHERE b.gain > a.gain OR (b.gain = a.gain AND b.id < a.id)),
+  nw AS (SELECT z.id, CASE WHEN bt.id IS NULL THEN coalesce(wt.too, z.block) ELSE z.block END AS block, z.it + 1 AS it FROM z LEFT JOIN wt ON wt.id = z.id LEFT JOIN bt ON bt.id = z.id)
+  SELECT * FROM nw WHERE (""" + SCORED.format("nw") + ") > (" + SCORED.format("z") + """))) SELECT id, block FROM z WHERE it = (SELECT max(it) FROM z)),
+ rc AS (WITH RECURSIVE z AS (SELECT id, id AS root FROM mv UNION SELECT ew.dst, z.root FROM z JOIN ew ON ew.id = z.id JOIN mv a ON a.id = ew.id JOIN mv b ON b.id = ew.dst WHERE a.block = b.block) SELECT id, min(root) AS block FROM z GROUP BY id)"""
+
+
+@query("modularity_blocks", UND + ", " + MERGED + ", " + MOVED + " SELECT id, block FROM rc")
+def modularity_blocks(spark, d):
+    v, e = _und(spark, d)
+    return communities.modularity_blocks(v.select("id"), e)

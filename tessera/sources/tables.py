@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,18 @@ def append_chunk(df: DataFrame, path: str, chunk: int) -> None:
 
 def merged_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written to the checkpoint folder, which driver and executors share, and read again.
+
+    Unlike ``checkpoint()`` it computes the rows once and starts anew with the size of
+    its files, so that loops of joins don't multiply size estimates round by round.
+    """
+    spark = df.sparkSession
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
