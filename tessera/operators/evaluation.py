@@ -179,3 +179,25 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
     x = average_rank(average_rank(df, a, "_ra"), b, "_rb")
     return x.agg(F.corr("_ra", "_rb").alias("spearman"))
+
+
+def cluster_scores(points: DataFrame, features: list[str], cluster: str = "cluster") -> DataFrame:
+    """One row: n, clusters, calinski_harabasz (between over within variance, by their freedoms) and davies_bouldin (mean over clusters of the worst ratio of spreads to distance).
+
+    Null where there are fewer than two clusters, and for the first also where nothing
+    varies within them. Clusters whose centres coincide have no ratio. Only centres
+    meet in pairs, one row a cluster.
+    """
+    p = points.select(F.col(cluster).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    xs = [f"x{i}" for i in range(len(features))]
+    square = lambda a, b: sum(((F.col(a + x) - F.col(b + x)) ** 2 for x in xs), F.lit(0.0))
+    centres = p.groupBy("k").agg(F.count("*").alias("n"), *[F.avg(x).alias("m" + x) for x in xs])
+    own = p.join(centres, "k").withColumn("d", square("", "m"))
+    spread = own.groupBy("k").agg(F.max("n").alias("n"), *[F.max("m" + x).alias("m" + x) for x in xs], F.sum("d").alias("w"), F.avg(F.sqrt("d")).alias("s"))
+    mean = p.agg(*[F.avg(x).alias("a" + x) for x in xs])
+    one = spread.join(F.broadcast(mean)).agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), F.sum("w").alias("w"), F.sum(F.col("n") * square("m", "a")).alias("b"))  # one row
+    other = spread.select(F.col("k").alias("j"), F.col("s").alias("t"), *[F.col("m" + x).alias("o" + x) for x in xs])
+    worst = spread.join(other, F.col("k") != F.col("j")).select("k", F.try_divide(F.col("s") + F.col("t"), F.sqrt(square("m", "o"))).alias("r")).groupBy("k").agg(F.max("r").alias("r"))
+    out = one.join(F.broadcast(worst.agg(F.avg("r").alias("davies_bouldin"))))  # one row
+    ch = F.when(F.col("clusters") > 1, F.try_divide(F.col("b") * (F.col("n") - F.col("clusters")), F.col("w") * (F.col("clusters") - 1)))
+    return out.select("n", "clusters", ch.alias("calinski_harabasz"), "davies_bouldin")

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ..operators import communities, graphs, layouts, refine, select, trees, units
+from ..operators import communities, evaluation, graphs, layouts, refine, select, trees, units
 from ..sources import fields, spaces
 from ..sources.tables import table
 from . import refinement
@@ -308,3 +308,13 @@ MOVED = """ew AS (SELECT src AS id, dst FROM und UNION ALL SELECT dst, src FROM
 def modularity_blocks(spark, d):
     v, e = _und(spark, d)
     return communities.modularity_blocks(v.select("id"), e)
+
+
+@query("cluster_scores", """t AS (SELECT c_mktsegment AS k, c_acctbal/1000 AS x, CAST(c_nationkey AS DOUBLE) AS y FROM customer), m AS (SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM t GROUP BY k),
+ s AS (SELECT m.k, any_value(n) AS n, any_value(mx) AS mx, any_value(my) AS my, sum((x-mx)*(x-mx)+(y-my)*(y-my)) AS w, avg(sqrt((x-mx)*(x-mx)+(y-my)*(y-my))) AS s FROM t JOIN m ON m.k = t.k GROUP BY m.k),
+ a AS (SELECT avg(x) AS ax, avg(y) AS ay FROM t), o AS (SELECT CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters, sum(w) AS w, sum(n*((mx-ax)*(mx-ax)+(my-ay)*(my-ay))) AS b FROM s, a),
+ r AS (SELECT p.k, max((p.s+q.s)/sqrt((p.mx-q.mx)*(p.mx-q.mx)+(p.my-q.my)*(p.my-q.my))) AS r FROM s p JOIN s q ON p.k <> q.k GROUP BY p.k)
+ SELECT n, clusters, round(b*(n-clusters)/(w*(clusters-1)),6) AS calinski_harabasz, round((SELECT avg(r) FROM r),4) AS davies_bouldin FROM o""")
+def cluster_scores(spark, d):
+    c = table(spark, d, "customer").withColumns({"x": F.col("c_acctbal") / 1000, "y": F.col("c_nationkey").cast("double")})
+    return evaluation.cluster_scores(c, ["x", "y"], "c_mktsegment").select("n", "clusters", *_r("calinski_harabasz", n=6), *_r("davies_bouldin", n=4))
