@@ -6,29 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import probe_seed
+from ..sources.tables import stored
 
 
-BUCKETS = 64
+def _runs(df: DataFrame, score: str, key: str) -> DataFrame:
+    """``_run``: number of a row's run in the order of score descending, then key.
 
-
-def _bucketed(df: DataFrame, score: str) -> DataFrame:
-    """``_b``: bucket of the score, 0 for the highest, cut at approximate quantiles, so that orders need no single task."""
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    q = df.agg(F.percentile_approx(F.col(score).cast("double"), cuts, 1000).alias("_q"))
-    b = F.size(F.filter(F.coalesce("_q", F.array().cast("array<double>")), lambda x: x > F.col(score))).cast("int")
-    return df.join(F.broadcast(q)).withColumn("_b", b).drop("_q")  # one row
+    Runs are cut by Spark's sampled splitters of both columns, so rows with one score spread over
+    several runs; they are written once, as a second sample might cut elsewhere. Null scores come last.
+    """
+    return stored(df.repartitionByRange(F.desc(score), F.asc(key)).withColumn("_run", F.spark_partition_id()))
 
 
 def ranked(df: DataFrame, score: str, key: str, by: list[str] | None = None) -> DataFrame:
-    """``rank`` from 1: score descending, then key ascending. Over all rows, a bucket's rank starts where higher ones end."""
+    """``rank`` from 1: score descending, then key ascending. Over all rows, a run's ranks start where those before it end."""
     order = [F.desc(score), F.asc(key)]
     if by:
         return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    x = _bucketed(df, score)
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    at = x.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
-    x = x.join(F.broadcast(at), "_b").withColumn("rank", (F.row_number().over(Window.partitionBy("_b").orderBy(*order)) + F.col("_at")).cast("int"))
-    return x.drop("_b", "_at")
+    x = _runs(df, score, key)
+    before = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run
+    at = x.groupBy("_run").agg(F.count("*").alias("_n")).select("_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_at"))
+    x = x.join(F.broadcast(at), "_run").withColumn("rank", (F.row_number().over(Window.partitionBy("_run").orderBy(*order)) + F.col("_at")).cast("int"))
+    return x.drop("_run", "_at")
 
 
 def top_k(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
@@ -83,12 +82,12 @@ def quadtree_order(tiles: DataFrame, half: int, score: str = "rho") -> DataFrame
 
 def prefix_budget(df: DataFrame, cost: str, score: str, key: str, limit: float) -> DataFrame:
     """``spent`` before each row, in order of the score descending, and ``open``: whether that had not reached the limit yet."""
-    x = _bucketed(df, score)
-    back = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    at = x.groupBy("_b").agg(F.sum(cost).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(back), F.lit(0.0)).alias("_at"))
-    w = Window.partitionBy("_b").orderBy(F.desc(score), F.asc(key)).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.join(F.broadcast(at), "_b").withColumn("spent", F.col("_at") + F.coalesce(F.sum(cost).over(w), F.lit(0.0)))
-    return x.withColumn("open", F.col("spent") < limit).drop("_b", "_at")
+    x = _runs(df, score, key)
+    back = Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)  # one row a run
+    at = x.groupBy("_run").agg(F.sum(cost).alias("_s")).select("_run", F.coalesce(F.sum("_s").over(back), F.lit(0.0)).alias("_at"))
+    w = Window.partitionBy("_run").orderBy(F.desc(score), F.asc(key)).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(F.broadcast(at), "_run").withColumn("spent", F.col("_at") + F.coalesce(F.sum(cost).over(w), F.lit(0.0)))
+    return x.withColumn("open", F.col("spent") < limit).drop("_run", "_at")
 
 
 def ucb(df: DataFrame, reward: str, pulls: str, c: float) -> DataFrame:
