@@ -1,15 +1,18 @@
 """License scans: MinHash bands over overlapping windows, then exact shingle containment.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z folded; shingles
-have five words (a template of fewer words is one shingle of its own length). A
-template of m shingles belongs to the class c, the power of two at or above m; each
-text is covered from its own start by windows of 2c shingles that start every c, so an
-occurrence lies whole in one of them. With at least c / 2 shingles, of which 0.8 occur,
-its Jaccard similarity to the window is at least 0.4 / 2.1 = 0.19; ``BANDS`` bands of
-one MinHash row collide with probability 1 - (1 - 0.19) ** 36 > 0.999 there, and equal
-minima mean an equal shingle, so there are few false windows. Each is verified by the
-exact share of the template's shingles in it. Where licenses overlap, those that are
-contained to a smaller part than another are left out.
+have five words (a template of fewer words is one shingle of its own length). The
+containment of a template of m shingles is the largest share of its shingles that any
+2m consecutive shingles of the text hold, so words may be inserted, and it does not
+depend on where the license stands. A template belongs to the class c, the power of two
+at or above m; each text is covered from its own start by windows of 3c shingles that
+start every c, so every such span lies whole in one of them. With at least c / 2
+shingles, of which 0.8 occur, its Jaccard similarity to the window is at least
+0.4 / 3.1 = 0.129; ``BANDS`` bands of one MinHash row collide with probability
+1 - (1 - 0.129) ** 52 > 0.999 there, and equal minima mean an equal shingle, so there are
+few false windows. Spans are counted exactly in each colliding window and its
+neighbours. Where licenses overlap, those that are contained to a smaller part than
+another are left out.
 
 Templates are notices by default; whole license texts come as a table, of at most
 ``TEMPLATE_BYTES``. They are at hand in every task; texts are scanned where they lie,
@@ -35,7 +38,7 @@ from pyspark.sql import types as T
 from .common import small_batches
 from .textscan import Scanner, chunks, mix64, ngrams
 
-K, BANDS, LEAST = 5, 36, 0.8
+K, BANDS, LEAST = 5, 52, 0.8
 #: Bytes of all templates of a table.
 TEMPLATE_BYTES = 64 << 20
 _MAX = 2**64 - 1
@@ -103,7 +106,7 @@ class Templates:
                 self.tables[c, j] = (mark, keys, [t for _, t in low])
 
     def windows(self, g: np.ndarray, n: np.ndarray) -> set[tuple[int, int, int, int]]:
-        """(class, text, window, template) of all bands that collide; window w of class c covers shingles w*c to (w+2)*c of its text.
+        """(class, text, window, template) of all bands that collide; window w of class c covers shingles w*c to (w+3)*c of its text.
 
         ``g``: shingles of consecutive texts, ``n``: how many each has.
         """
@@ -131,6 +134,9 @@ class Templates:
                 rows = levels[depth][2]
                 low = level.copy()
                 low[:-1] = np.minimum(level[:-1], level[1:])
+                low[:-2] = np.minimum(low[:-2], level[2:])
+                near = rows[1:][np.diff(rows) > 1] - 2
+                low[near] = np.minimum(level[near], level[near + 1])
                 last = rows[1:][np.diff(rows) > 0] - 1
                 low[last] = level[last]
                 mark, keys, ts = self.tables[c, j]
@@ -159,13 +165,12 @@ class Templates:
             starts = np.concatenate([[0], np.cumsum(n)])
             inside = np.arange(int(starts[-1])) + np.repeat(first[:-1] - starts[:-1], n)
             g = ngrams(h, K)[inside]
-            for c, d, w, t in self.windows(g, n):
-                a, b = int(starts[d]) + w * c, min(int(starts[d]) + (w + 2) * c, int(starts[d + 1]))
+            for c, d, t, low, high in _regions(self.windows(g, n)):
+                a, b = int(starts[d]) + low * c, min(int(starts[d]) + high * c, int(starts[d + 1]))
                 at = np.flatnonzero(np.isin(g[a:b], self.sets[t]))
-                if len(at):
-                    share = len(np.unique(g[a + at])) / len(self.sets[t])
-                    if share >= LEAST:
-                        add(d, t, share, w * c + int(at[0]), w * c + int(at[-1]) + K)
+                share, i, j = _densest(at, g[a + at], len(self.sets[t]))
+                if share >= LEAST:
+                    add(d, t, share, low * c + i, low * c + j + K)
         for n, table in self.short.items():
             if len(h) < n:
                 continue
@@ -178,6 +183,43 @@ class Templates:
         return {d: _best(x) for d, x in out.items()}
 
 
+def _regions(found: set[tuple[int, int, int, int]]):
+    """(class, text, template, first block, last block + 1) of runs of colliding windows, with a block before and after."""
+    run = None
+    for c, d, t, w in sorted((c, d, t, w) for c, d, w, t in found):
+        low, high = max(w - 1, 0), w + 4
+        if run and run[:3] == (c, d, t) and low <= run[4]:
+            run = (*run[:4], high)
+            continue
+        if run:
+            yield run
+        run = (c, d, t, low, high)
+    if run:
+        yield run
+
+
+def _densest(at: np.ndarray, shingles: np.ndarray, m: int) -> tuple[float, int, int]:
+    """Largest share of m shingles within 2m places, and the first and last place of the first such span; 0 if all of ``at`` hold too few."""
+    whole = len(np.unique(shingles))
+    if whole < LEAST * m:
+        return 0.0, 0, 0
+    if at[-1] - at[0] < 2 * m:
+        return whole / m, int(at[0]), int(at[-1])
+    place, key = at.tolist(), shingles.tolist()
+    held: dict[int, int] = {}
+    best, end = (0, 0, 0), 0
+    for i, p in enumerate(place):
+        while end < len(place) and place[end] - p < 2 * m:
+            held[key[end]] = held.get(key[end], 0) + 1
+            end += 1
+        if len(held) > best[0]:
+            best = (len(held), p, place[end - 1])
+        held[key[i]] -= 1
+        if not held[key[i]]:
+            del held[key[i]]
+    return best[0] / m, best[1], best[2]
+
+
 def _best(found: dict[str, tuple[float, int, int]]) -> dict[str, tuple[float, int, int]]:
     """Without licenses whose words overlap those of one that is contained to a larger part."""
     return {n: (s, a, b) for n, (s, a, b) in found.items() if not any(t > s and c < b and a < d for t, c, d in found.values())}

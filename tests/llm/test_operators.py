@@ -326,7 +326,7 @@ def test_license_result_does_not_depend_on_neighbours(spark):
         w = list(mit)
         for _ in range(rng.randint(2, 4)):
             w[rng.randrange(len(w))] = "changed"
-        w[rng.randrange(len(w)) :][:0] = ["inserted"]
+        w.insert(rng.randrange(len(w)), "inserted")
         texts.append(" ".join(rng.choice(v) for _ in range(rng.randrange(50))) + " " + " ".join(w))
     want = None
     for k in (1, 7, 60):
@@ -339,6 +339,55 @@ def test_license_result_does_not_depend_on_neighbours(spark):
     assert len(rows) == 4 and licenses.scan_licenses(docs_of(spark, ["x"]).where("doc_id < 0"), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("m", [64, 100, 128, 1024])
+def test_license_containment_is_exact_wherever_the_copy_stands(spark, m):
+    rng, v = random.Random(m), vocabulary(6, 4000)
+    body = [rng.choice(v) for _ in range(m + 4)]
+    template = {tuple(body[i : i + 5]) for i in range(m)}
+    filler = [f"filler{k}" for k in range(3 * m)]
+    texts, want = [], []
+    for k in range(24):
+        w = list(body)
+        at = rng.randrange(len(w))
+        w[at:at] = [f"inserted{x}" for x in range(m // 8)]
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = "changed"
+        words = filler[: k * m // 8] + w + filler[: rng.randrange(m)]
+        if k % 6 == 5:  # the two halves too far apart
+            words = body[: m // 2] + filler[: 2 * m] + body[m // 2 :]
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        held = max(len(template & set(grams[i : i + 2 * m])) for i in range(max(1, len(grams) - 2 * m + 1)))
+        texts.append(" ".join(words))
+        want.append(held / len(template) if held / len(template) >= 0.8 else None)
+    found = licenses.scan_licenses(docs_of(spark, texts), ["doc_id"], templates=[("one", " ".join(body))])
+    got = {r["doc_id"]: [x["containment"] for x in r["licenses"]] for r in found.collect()}
+    assert [got[i][0] if got[i] else None for i in range(24)] == want
+    assert sum(x is not None for x in want) > 12 and None in want
+
+
+def test_densest_span_equals_all_spans():
+    rng = random.Random(3)
+    for _ in range(300):
+        m = rng.randrange(1, 12)
+        n = rng.randrange(1, 60)
+        at = sorted(rng.sample(range(80), n))
+        key = [rng.randrange(m) for _ in at]
+        share, a, b = licenses._densest(np.array(at), np.array(key, dtype=np.uint64), m)
+        held = {p: {k for q, k in zip(at, key, strict=True) if p <= q < p + 2 * m} for p in at}
+        most = max(len(x) for x in held.values())
+        if len(set(key)) >= 0.8 * m:
+            assert share == most / m and a == min(p for p in at if len(held[p]) == most) and b == max(q for q in at if q < a + 2 * m)
+        else:
+            assert share == 0
+
+
+def test_license_column_of_the_input_is_replaced_and_ties_go_to_the_first(spark):
+    body = " ".join(f"word{k}" for k in range(40))
+    df = docs_of(spark, [f"{body} between them {' '.join(f'gap{k}' for k in range(100))} {body}", None]).withColumn("licenses", F.lit("own"))
+    r = licenses.scan_licenses(df, df.columns, templates=[("a", body), ("b", body)]).orderBy("doc_id").collect()
+    assert [(x["license"], x["containment"], x["start"], x["end"]) for x in r[0]["licenses"]] == [("a", 1.0, 0, 40), ("b", 1.0, 0, 40)] and r[1]["licenses"] == []
+
+
 def test_license_templates_of_a_table(spark):
     v = vocabulary(4, 300)
     rng = random.Random(2)
