@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
@@ -124,29 +126,39 @@ def cluster_sizes(block: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component), the smallest id reached: hooking to smaller neighbours and pointer jumping, lineage cut in each round."""
-    label = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    e = both_ways(edges).checkpoint()
+    """(id, component), the smallest id reached: parts hook to their smallest neighbour, chains of hooks are halved until flat, edges shrink to those between parts.
+
+    Tables of a round are written and read again, as estimates of sizes would double their digits round by round.
+    """
+    label = stored(nodes.select("id", F.col("id").alias("component")))
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"))
+    for c in ("p", "q"):  # edges to what is no node lead nowhere
+        e = e.join(label.select(F.col("id").alias(c)), c, "left_semi")
+    e = stored(e.select("p", "q").distinct())
     while True:
-        low = e.join(label.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("m"))
-        hooked = label.join(low, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jumped = hooked.join(hooked.select(F.col("id").alias("component"), F.col("component").alias("up")), "component", "left")
-        new = jumped.select("id", F.least("component", F.coalesce("up", "component")).alias("component")).checkpoint()
-        if new.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").isEmpty():
-            return new
-        label = new
+        up = stored(e.groupBy(F.col("q").alias("part")).agg(F.min("p").alias("up")))
+        if up.isEmpty():
+            return label
+        while True:
+            above = up.select(F.col("part").alias("up"), F.col("up").alias("top"))
+            up = stored(up.join(above, "up", "left").select("part", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+            if up.where("moved").isEmpty():
+                break
+        to = lambda df, c: df.join(up.select(F.col("part").alias(c), F.col("up").alias("_up")), c, "left").withColumn(c, F.coalesce("_up", c)).drop("_up")
+        label = stored(to(label, "component").select("id", "component"))
+        e = stored(to(to(e, "p"), "q").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, block): the most common label of the neighbours (smallest on ties, own label counts once), then split into connected parts."""
-    e = both_ways(edges).checkpoint()
+    e = stored(both_ways(edges))
     label = nodes.select("id", F.col("id").alias("block"))
     for k in range(rounds):
         votes = e.join(label.select(F.col("id").alias("dst"), "block"), "dst").select(F.col("src").alias("id"), "block").unionAll(label)
         c = votes.groupBy("id", "block").agg(F.count("*").alias("n"))
         label = c.groupBy("id").agg(F.max_by("block", F.struct("n", -F.col("block"))).alias("block"))
         if k % 3 == 2:
-            label = label.checkpoint()
+            label = stored(label)
     a, b = label.select(F.col("id").alias("src"), F.col("block").alias("p")), label.select(F.col("id").alias("dst"), F.col("block").alias("q"))
     inner = edges.join(a, "src").join(b, "dst").where("p = q").select("src", "dst")
     return components(nodes, inner).withColumnRenamed("component", "block")
@@ -308,13 +320,13 @@ def community_tree(nodes: DataFrame, edges: DataFrame, levels: int = 5, rounds:
     """(id, level, parent): communities by label propagation, contracted and grouped again until one block or no edge is left."""
     out, at, e = None, nodes.select("id"), edges
     for k in range(levels):
-        b = label_propagation(at, e, rounds).checkpoint()
+        b = label_propagation(at, e, rounds)
         step = b.select("id", F.lit(k).alias("level"), F.col("block").alias("parent"))
         out = step if out is None else out.unionByName(step)
-        nxt = b.select(F.col("block").alias("id")).distinct().checkpoint()
+        nxt = stored(b.select(F.col("block").alias("id")).distinct())
         if nxt.count() in (1, at.count()):
             break
-        e, at = contracted(e, b).checkpoint(), nxt
+        e, at = stored(contracted(e, b)), nxt
     return out
 
 
