@@ -61,11 +61,18 @@ def _und(spark, d):
 
 
 def _sigs(spark, d):
-    ev = table(spark, d, "events")
+    """Signature, cost, rho and mean (rho from a decimal sum) of each user's days. The signature's sums are decimals too, so neither the order nor copies of rows move it across a bin's border."""
+    ev = table(spark, d, "events").select(F.col("user_id").alias("node"), F.dayofmonth("ts").alias("step"), "value")
     nib = lambda c: F.least(F.lit(15), F.floor(c)).cast("int")
-    g = ev.groupBy(F.col("user_id").alias("node"), F.dayofmonth("ts").alias("step"))
-    sig = scalar.pack(nib(F.avg("value") / 20), F.least(F.lit(15), F.count("*")).cast("int"), nib(F.stddev_pop("value") / 15))
-    return g.agg(sig.alias("sig"), F.sum("value").alias("cost"), F.avg("value").alias("rho"))
+    total = lambda c: F.sum(c.cast("decimal(38,18)"))
+    mean = F.try_divide(total(F.col("value")), F.count("value")).cast("double")
+    g = ev.groupBy("node", "step").agg(mean.alias("mean"), F.count("*").alias("rows"), F.sum("value").alias("cost"), F.avg("value").alias("rho"))
+    kept = ["rows", "cost", "rho", "mean"]
+    x = ev.join(g.select(F.col("node").alias("_n"), F.col("step").alias("_s"), *kept), F.col("node").eqNullSafe(F.col("_n")) & F.col("step").eqNullSafe(F.col("_s")))
+    off = F.col("value") - F.col("mean")
+    v = x.groupBy("node", "step").agg(F.sqrt(F.try_divide(total(off * off), F.count("value")).cast("double")).alias("sd"), *[F.first(c).alias(c) for c in kept])
+    sig = scalar.pack(nib(F.col("mean") / 20), F.least(F.lit(15), F.col("rows")).cast("int"), nib(F.coalesce("sd", F.lit(0.0)) / 15))
+    return v.select("node", "step", sig.alias("sig"), "cost", "rho", "mean")
 
 
 def _cases(spark, d):

@@ -231,7 +231,7 @@ def burstiness(spark, d):
 @query("dedup_multistage", SIG + """, p AS (SELECT node, step, sig, rho, lag(sig) OVER w AS h, lag(rho) OVER w AS q FROM sig WINDOW w AS (PARTITION BY node ORDER BY step))
  SELECT node, CAST(step AS INT) AS step, CASE WHEN node%7 = 0 THEN 'policy' WHEN h = sig THEN 'exact' WHEN abs(rho-q) <= 2 THEN 'similar' ELSE 'process' END AS stage FROM p""")
 def dedup_multistage(spark, d):
-    return states.dedup_stages(_sigs(spark, d), "node", "step", "sig", "rho", F.col("node") % 7 == 0, 2.0)
+    return states.dedup_stages(_sigs(spark, d), "node", "step", "sig", "mean", F.col("node") % 7 == 0, 2.0)
 
 
 @query("convergence", SIG + """, t AS (SELECT step AS tick, count(*) FILTER (cost > 400) AS accepted FROM sig GROUP BY step)
