@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def roc_auc(df: DataFrame, score: str, positive: str, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney AUC with half credit for ties. Scores are counted first, so windows run over distinct scores."""
@@ -107,35 +109,38 @@ def permutation_auc(df: DataFrame, score: str, positive: str, key: str, rounds:
     """One row auc, p: share of random labellings whose AUC is no less, (count + 1) / (rounds + 1).
 
     A round gives the positives' labels to the rows with the smallest hashes, ties by key.
-    Counts by round and bin of the hash find the bin in which the last of these lies, and
-    only that bin is put in order; no task holds a round.
+    Counts by round and bin of the hash (its first hex digits, ``bins`` at least) find the bin in which the last of these lies, one row a
+    round, which is broadcast; only the rows of that bin are shuffled and put in order.
     """
-    from ..sources.deltas import digest_uniform
+    from ..sources.deltas import digest_hex
 
     observed = roc_auc(df, score, positive)
     n = df.agg(F.count_if(F.col(positive)).alias("_k"))
-    x = df.select(score, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", digest_uniform(seed, key, "round"))
-    x = x.withColumn("b", F.floor(F.col("u") * bins).cast("int"))
+    x = df.select(score, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", digest_hex(seed, key, "round"))
+    digits = next(i for i in range(13) if 16**i >= bins)
+    x = x.withColumn("b", F.substring("u", 1, digits))
     run = Window.partitionBy("round").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     c = x.groupBy("round", "b").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(run), F.lit(0)))
-    c = c.join(F.broadcast(n)).select("round", "b", (F.col("_k") - F.col("before")).alias("need"), "m")  # one row
-    y = x.join(c, ["round", "b"])
-    whole, part = y.where("need >= m OR need <= 0"), y.where("need > 0 AND need < m")
-    place = F.row_number().over(Window.partitionBy("round", "b").orderBy("u", key))
-    labels = whole.select("round", score, (F.col("need") > 0).alias("t")).unionAll(part.select("round", score, (place <= F.col("need")).alias("t")))
+    c = c.join(F.broadcast(n)).where("before < _k AND _k <= before + m")  # one row
+    cut = F.broadcast(stored(c.select("round", F.col("b").alias("at"), (F.col("_k") - F.col("before")).alias("need"))))  # one row a round
+    y = x.join(cut, "round", "left")  # no cut: there is no positive
+    part = y.where("b = at")
+    place = F.row_number().over(Window.partitionBy("round").orderBy("u", key))
+    whole = y.where("at IS NULL OR b <> at").select("round", score, F.coalesce(F.col("b") < F.col("at"), F.lit(False)).alias("t"))
+    labels = whole.unionAll(part.select("round", score, (place <= F.col("need")).alias("t")))
     a = roc_auc(labels, score, "t", ["round"]).withColumnRenamed("auc", "r")
     hit = a.join(F.broadcast(observed)).where("r >= auc").agg(F.count("*").alias("h"))  # one row
     return observed.join(F.broadcast(hit)).select("auc", ((F.col("h") + 1) / (rounds + 1)).alias("p"))  # one row each
 
 
 def wilcoxon(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Paired signed-rank test, normal approximation: n, w (smaller rank sum), z, p (two-sided)."""
-    d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0").withColumn("_m", F.abs("_d"))
-    part = Window.partitionBy(*by)
-    r = F.rank().over(part.orderBy("_m")) + (F.count("*").over(Window.partitionBy(*by, "_m")) - 1) / 2
-    d = d.withColumn("_r", r)
-    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("wp"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("wm"))
-    n = F.col("n")
+    """Paired signed-rank test, normal approximation: n, w (smaller rank sum), z, p (two-sided). Differences are counted first, so windows run over distinct sizes."""
+    d = df.withColumn("_d", F.col(a) - F.col(b)).where("_d <> 0")
+    g = d.groupBy(*by, F.abs("_d").alias("_m")).agg(F.count_if(F.col("_d") > 0).alias("plus"), F.count("*").alias("m"))
+    below = Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("m").over(below), F.lit(0)) + (F.col("m") + 1) / 2
+    g = g.withColumn("_r", rank).groupBy(*by).agg(F.sum("m").alias("n"), F.sum(F.col("plus") * F.col("_r")).alias("wp"), F.sum((F.col("m") - F.col("plus")) * F.col("_r")).alias("wm"))
+    n = F.col("n").cast("double")  # its third power does not fit a long from 1.7 million rows on
     low = F.least("wp", "wm")
     return g.select(*by, "n", low.alias("w"), F.try_divide(low - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z")).withColumn("p", F.coalesce(F.least(F.lit(1.0), two_sided(F.col("z"))), F.lit(1.0)))
 
@@ -157,14 +162,25 @@ def jaccard_masks(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.try_divide(F.sum((F.col(a) & F.col(b)).cast("long")), F.sum((F.col(a) | F.col(b)).cast("long"))).alias("iou"))
 
 
+#: thresholds of a uniform number above which a Poisson weight of mean 1 reaches 1, 2, ... 6
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+#: rounds whose weights a row gets side by side
+SIDE_BY_SIDE = 10
+
+
 def bootstrap_auc(df: DataFrame, score: str, positive: str, key: str, rounds: int, seed: int = 0) -> DataFrame:
-    """(round, auc) of Poisson resamples: each row's weight in a round depends on its key, so nothing is gathered."""
-    from ..sources.deltas import digest_uniform
+    """(round, auc) of Poisson resamples: each row's weight in a round depends on its key, so nothing is gathered.
 
-    u = digest_uniform(seed, key, "round")
-    w = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    x = df.select(score, positive, key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", w).where("w > 0")
-    g = x.groupBy("round", score).agg(F.sum(F.when(F.col(positive), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col("w"))).alias("n"))
+    Weights are sums of comparisons of digests, made in columns and added up by score before rounds become rows.
+    """
+    from ..sources.deltas import digest_above
+
+    first = F.explode(F.sequence(F.lit(1), F.lit(rounds), F.lit(SIDE_BY_SIDE))).alias("_first")
+    x = df.select(score, F.coalesce(positive, F.lit(False)).alias("_pos"), key, first)
+    weight = lambda i: digest_above(POISSON, seed, key, F.col("_first") + i)
+    g = x.groupBy("_first", score, "_pos").agg(*[F.sum(weight(i)).alias(f"w{i}") for i in range(SIDE_BY_SIDE)])
+    g = g.select(score, "_pos", F.posexplode(F.array(*[f"w{i}" for i in range(SIDE_BY_SIDE)])).alias("_i", "w"), "_first").withColumn("round", F.col("_first") + F.col("_i")).where(F.col("round") <= rounds)
+    g = g.groupBy("round", score).agg(F.sum(F.when(F.col("_pos"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("_pos"), 0).otherwise(F.col("w"))).alias("n"))
     below = Window.partitionBy("round").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     g = g.withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
     return g.groupBy("round").agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auc"))

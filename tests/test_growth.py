@@ -2,7 +2,9 @@
 
 import pytest
 
-from tessera.operators import graphs
+from tessera.operators import evaluation, graphs, trees
+from tessera.plans import catalog, catalog_studies
+from tessera.sources import deltas
 
 
 def estimate(df) -> int:
@@ -20,3 +22,74 @@ def test_rounds_do_not_multiply_size_estimates(spark):
     assert {r["id"]: r["component"] for r in graphs.components(spark.range(4), far).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
     tree = graphs.community_tree(spark.range(n), graphs.undirected(e), 3, 3)
     assert estimate(tree) < 10**7
+
+
+def test_paths_are_not_broadcast(spark):
+    nodes = spark.range(63).selectExpr("id", "CAST(length(bin(id + 1)) - 1 AS INT) AS depth", "CAST(id AS DOUBLE) AS v")
+    got = trees.parent_added(nodes, "v")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["total"] for r in got.collect()}[62] == 62 + 30 + 14 + 6 + 2
+
+
+def test_permutation_labels_are_not_broadcast(spark):
+    df = spark.range(300).selectExpr("id AS k", "CAST(id * 7 % 50 AS DOUBLE) AS s", "id % 3 = 0 AS pos")
+    got = evaluation.permutation_auc(df, "s", "pos", "k", 9, 7, 4)
+    rows = [(int(r["k"]), r["s"], r["pos"]) for r in df.collect()]
+
+    def auc(labels):
+        p, n = [s for (_, s, _), t in zip(rows, labels) if t], [s for (_, s, _), t in zip(rows, labels) if not t]
+        return sum((a > b) + (a == b) / 2 for a in p for b in n) / (len(p) * len(n))
+
+    seen, hits = auc([r[2] for r in rows]), 0
+    for rd in range(1, 10):
+        order = sorted(range(300), key=lambda i: (deltas.digest(7, rows[i][0], rd), rows[i][0]))
+        hits += auc([i in set(order[:100]) for i in range(300)]) >= seen - 1e-12
+    r = got.first()
+    assert r["auc"] == pytest.approx(seen) and r["p"] == pytest.approx((hits + 1) / 10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.split("\n") if "Join" in x and "round" in x and "b#" in x and "= b#" in x] == []
+
+
+def test_signed_ranks_of_millions(spark):
+    df = spark.range(3_000_000).selectExpr("CAST(id % 7 - 3 AS DOUBLE) AS a", "0.0 AS b", "1 AS g")
+    r = evaluation.wilcoxon(df, "a", "b", ["g"]).first()
+    x = [i % 7 - 3 for i in range(7)]
+    n = 3_000_000 - sum(1 for i in range(3_000_000 % 7) if x[i] == 0) - 3_000_000 // 7
+    assert r["n"] == n and r["z"] is not None and abs(r["z"]) < 5
+
+
+def test_digests_above_cuts(spark):
+    cuts = (0.25, 0.5, 0.9)
+    got = spark.range(200).select("id", deltas.digest_uniform(3, "id").alias("u"), deltas.digest_above(cuts, 3, "id").alias("w")).collect()
+    assert all(r["w"] == sum(r["u"] > c for c in cuts) for r in got)
+
+
+def test_resamples_weigh_by_digest(spark):
+    df = spark.range(120).selectExpr("id AS k", "CAST(id * 7 % 11 AS DOUBLE) AS s", "id % 3 = 0 AS pos")
+    got = {r["round"]: r["auc"] for r in evaluation.bootstrap_auc(df, "s", "pos", "k", 13, 2).collect()}
+    rows = df.collect()
+    assert sorted(got) == list(range(1, 14))
+    for rd, value in got.items():
+        w = [sum(deltas.digest(2, r["k"], rd) > c for c in evaluation.POISSON) for r in rows]
+        p, n = ([(r["s"], x) for r, x in zip(rows, w) if r["pos"] == t] for t in (True, False))
+        assert value == pytest.approx(sum(x * y * ((a > b) + (a == b) / 2) for a, x in p for b, y in n) / (sum(x for _, x in p) * sum(y for _, y in n)))
+
+
+def test_signatures_do_not_hang_on_copies(spark, tmp_path):
+    # the deviation of 17.41 and 47.41 is 15 but for the last digits of both
+    sig = []
+    for k in (1, 6, 7, 60):
+        d = str(tmp_path / f"c{k}")
+        rows = spark.range(k).selectExpr("1 AS user_id", "timestamp'2024-01-09 00:00:00' AS ts", "explode(array(17.41D, 47.41D)) AS value")
+        rows.repartition(3).write.parquet(f"{d}/events.parquet")
+        sig.append(catalog._sigs(spark, d).first())
+    assert {r["sig"] & 15 for r in sig} == {0} and {r["sig"] >> 8 for r in sig} == {1} and {r["mean"] for r in sig} == {32.41}
+
+
+def test_equality_reads_one_table(spark, tmp_path, monkeypatch):
+    # a scale that differs in each run stands for sums that do
+    monkeypatch.setattr(catalog_studies, "_sales", lambda spark, d: spark.range(64).selectExpr("CAST(id AS INT) AS unit", "CAST(id / 8 AS INT) AS ti", "CAST(id % 8 AS INT) AS tj", "rand() AS gt", "0.0 AS coarse"))
+    r = catalog.QUERIES["equality_report"](spark, "")
+    monkeypatch.undo()
+    r = r.first()
+    assert (r["only"], r["differ"], r["most"]) == (8, 19, 0.5)
