@@ -97,6 +97,16 @@ def tree_distance(pairs: DataFrame, tree: DataFrame) -> DataFrame:
     return x.select(*pairs.columns, "lca", "distance")
 
 
+def heap_distance(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) of a binary heap with ``lca`` and ``distance`` as in ``tree_distance``, from the numbers of the nodes alone, so nothing is joined."""
+    a, b = F.col("u") + 1, F.col("v") + 1
+    da, db = F.length(F.bin(a)), F.length(F.bin(b))
+    shift = lambda x, n: F.call_function("shiftright", x, n)
+    x, y = shift(a, F.greatest(F.lit(0), da - db)), shift(b, F.greatest(F.lit(0), db - da))
+    up = F.when(x == y, 0).otherwise(F.length(F.bin(x.bitwiseXOR(y))))
+    return pairs.withColumns({"lca": shift(x, up) - 1, "distance": (F.abs(da - db) + 2 * up).cast("long")})
+
+
 def quadtree_distance(a: Column, b: Column) -> Column:
     """Levels up to the common square of two Z-order keys: pairs of bits up to the highest one that differs."""
     x = a.bitwiseXOR(b)

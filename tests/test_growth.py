@@ -2,7 +2,9 @@
 
 import pytest
 
-from tessera.operators import evaluation, graphs, trees
+from pyspark.sql import functions as F
+
+from tessera.operators import evaluation, graphs, pairs, trees
 from tessera.plans import catalog, catalog_studies
 from tessera.sources import deltas
 
@@ -93,3 +95,13 @@ def test_equality_reads_one_table(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     r = r.first()
     assert (r["only"], r["differ"], r["most"]) == (8, 19, 0.5)
+
+
+def test_heap_pairs_need_no_climbing(spark):
+    tree = spark.range(45).selectExpr("id AS child", "CASE WHEN id > 0 THEN CAST((id - 1) DIV 2 AS BIGINT) END AS parent")
+    drawn = pairs.sampled_pairs(spark.range(45).select(F.col("id").alias("unit")), 120)
+    want = {r["pair"]: (r["lca"], r["distance"]) for r in pairs.tree_distance(drawn, tree).collect()}
+    got = pairs.heap_distance(drawn)
+    assert {r["pair"]: (r["lca"], r["distance"]) for r in got.collect()} == want and len(want) == 120
+    far = spark.createDataFrame([(2**40, 2**40 + 1), (5, 5), (0, 2**40)], "u long, v long")
+    assert [r["lca"] for r in pairs.heap_distance(far).collect()] == [2**38 - 1, 5, 0]
