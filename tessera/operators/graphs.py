@@ -213,7 +213,7 @@ def bfs_blocks(nodes: DataFrame, edges: DataFrame, start: int, size: int) -> Dat
 def ollivier(edges: DataFrame, most: int | None = None, alpha: float = 0.5) -> DataFrame:
     """(src, dst, kappa): 1 - W1 of lazy walks at both ends, exact, for all edges, or the ``most`` of largest |Forman| (ties by ends).
 
-    The transport problem of an edge has a few dozen nodes; each is solved in one row of a grouped map over its ball of two hops.
+    The transport problem of an edge has a few dozen nodes; its ball of two hops is one row, and tasks solve batches of rows.
     """
     pick = edges.select("src", "dst")
     if most is not None:
@@ -223,19 +223,23 @@ def ollivier(edges: DataFrame, most: int | None = None, alpha: float = 0.5) -> D
     hop2 = near.select("src", "dst", F.col("b").alias("a")).distinct().join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a")
     ball = near.select("src", "dst", "a", "b").unionByName(hop2.select("src", "dst", "a", "b")).distinct()
 
-    def solve(pdf):
+    rows = ball.groupBy("src", "dst").agg(F.collect_list(F.array("a", "b")).alias("ball"))
+
+    def solve(batches):
         import pandas as pd
 
-        s, t = int(pdf["src"].iloc[0]), int(pdf["dst"].iloc[0])
-        return pd.DataFrame({"src": [s], "dst": [t], "kappa": [1 - walk_distance(pdf[["a", "b"]].to_numpy().tolist(), s, t, alpha)]})
+        for x in batches:
+            k = [1 - walk_distance(ball, s, t, alpha) for s, t, ball in zip(x["src"].tolist(), x["dst"].tolist(), x["ball"], strict=True)]
+            yield pd.DataFrame({"src": x["src"], "dst": x["dst"], "kappa": pd.Series(k, dtype=float)})
 
-    return ball.groupBy("src", "dst").applyInPandas(solve, "src long, dst long, kappa double")
+    return rows.mapInPandas(solve, "src long, dst long, kappa double")
 
 
 def walk_distance(pairs: list, s: int, t: int, alpha: float) -> float:
     """W1 between the lazy walks from s and t: successive shortest augmenting paths on the transport graph."""
     adj: dict[int, set[int]] = {}
     for a, b in pairs:
+        a, b = int(a), int(b)
         adj.setdefault(a, set()).add(b)
         adj.setdefault(b, set()).add(a)
     mass: dict[int, float] = {}
