@@ -4,7 +4,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, graphs, pairs, trees
+from tessera.operators import evaluation, graphs, pairs, spectral, trees
 from tessera.plans import catalog, catalog_studies
 from tessera.sources import deltas
 
@@ -105,3 +105,17 @@ def test_heap_pairs_need_no_climbing(spark):
     assert {r["pair"]: (r["lca"], r["distance"]) for r in got.collect()} == want and len(want) == 120
     far = spark.createDataFrame([(2**40, 2**40 + 1), (5, 5), (0, 2**40)], "u long, v long")
     assert [r["lca"] for r in pairs.heap_distance(far).collect()] == [2**38 - 1, 5, 0]
+
+
+def test_curvature_solves_batches(spark):
+    ring = spark.range(8).selectExpr("least(id, (id + 1) % 8) AS src", "greatest(id, (id + 1) % 8) AS dst")
+    got = graphs.ollivier(ring)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [round(r["kappa"], 9) for r in got.collect()] == [0.0] * 8
+
+
+def test_blocks_of_vectors_are_not_broadcast(spark):
+    e = spark.range(8).selectExpr("id AS src", "(id + 1) % 8 AS dst", "0.5D AS w")
+    got = spectral._step(spark.range(8).selectExpr("id", "CAST(id AS DOUBLE) AS x0", "0.0D AS y0"), e, 1, 1.0, 0.0, 0.0)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["x0"] for r in got.collect()} == {(i + 1) % 8: i / 2 for i in range(8)}
