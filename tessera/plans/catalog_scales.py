@@ -218,7 +218,8 @@ def ema_step(spark, d):
 
 @query("trajectory_features", SIG + " SELECT node, round(avg(rho),5) AS mean, round(stddev_pop(rho),5) AS sd, round(regr_slope(rho, CAST(step AS DOUBLE)),5) AS slope, count(*) AS steps FROM sig GROUP BY node")
 def trajectory_features(spark, d):
-    return states.trajectories(_sigs(spark, d), "node", "step", "rho").select("node", *_r("mean", "sd", "slope", n=5), "steps")
+    rho = table(spark, d, "events").groupBy(F.col("user_id").alias("node"), F.dayofmonth("ts").alias("step")).agg(F.avg("value").alias("rho"))
+    return states.trajectories(rho, "node", "step", "rho").select("node", *_r("mean", "sd", "slope", n=5), "steps")
 
 
 @query("burstiness", SIG + """, t AS (SELECT DISTINCT step FROM (SELECT step, sum(cost) AS c FROM sig GROUP BY step) WHERE c > (SELECT avg(c) FROM (SELECT sum(cost) AS c FROM sig GROUP BY step)))
