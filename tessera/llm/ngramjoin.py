@@ -16,8 +16,8 @@ partners that it shares most segments with; these pairs are verified and connect
 Dense sketches, folded to one size, turn most false pairs away before the sets meet.
 What is left are buckets whose members lie in several components. Their cross pairs
 are listed exactly: few at once as pairs, many after a Hamming filter on folded dense
-sketches (twice a spanning forest of what passes, verified and connected, then all
-that still passes), and buckets with very many are keyed anew by another hash.
+sketches (all that passes, or where that is more than the members, twice a spanning
+forest of it, verified and connected, then all that still passes), and buckets with very many are keyed anew by another hash.
 Pairs of one component need no look. Every listed pair is verified on the sets.
 
 Hot buckets are split. Keys that a sample of the sets holds most often get their
@@ -26,7 +26,8 @@ their members need not meet. A large bucket is compared by blocks: its largest
 component in blocks of ``BLOCK`` members, and what lies outside it in blocks too; each
 block of the one meets each of the other in a task of its own, and a member of the
 largest component never meets another. Tasks hold at most ``HELD`` numbers of members,
-or the sketches of two blocks; nothing is collected to the driver.
+or the sketches of two blocks; nothing is collected to the driver. Sketches go to their
+blocks in rounds of about ``ROOM`` times the bytes of all sketches and segments, whose shuffle files go before the next one.
 
 Defined results: A-Z count as a-z; words are runs without ASCII white space; with
 fewer words than a shingle has, the whole sequence is one shingle; null, empty and
@@ -52,6 +53,8 @@ BAND = 1.4
 PLAIN, FILTERED, HELD = 64, 4_000_000, 100_000
 #: Members of a block, bytes of the sketches compared in it, and bytes of the products of one step.
 BLOCK, FOLD, STEP = 2000, 1 << 14, 8 << 20
+#: Bits of the folded sketches by whose products most pairs are turned away; bytes of a round's sketches by those of all sketches and segments, and at least.
+COARSE, ROOM, LEAST = 8192, 2, 1 << 28
 #: One of so many sets tells which keys are hot, if it meets a key in so many of these.
 SAMPLE, HOT = 16, 8
 #: Partners of a set that are verified before buckets are listed: at most one of each 64th of the partners, the best of these.
@@ -341,22 +344,29 @@ def _filtered(num: int, den: int, forest: bool):
     """Cross pairs of large buckets that pass the size and Hamming filters; columns key, grp, rid, comp, n, dense, other, sorted by key and grp.
 
     Rows with ``other`` meet rows without it only, if a group has both.
-    ``forest``: only pairs that join parts of the group which no pair so far has joined,
-    fewer than it has members; else all.
+    ``forest``: of a group with more such pairs than members only those that join parts
+    which no pair so far has joined, and a row (key, null) that tells so; else all.
     """
 
+    def coarse(dense, size):
+        """Bits of the sketches folded to ``size`` bytes: they differ in no more places than the sketches do."""
+        folded = np.bitwise_xor.reduce(dense.view(np.uint8).reshape(len(dense), -1, size), axis=1)
+        return np.unpackbits(folded, axis=1).astype(np.float32)
+
     def near(a, b):
-        (ca, na, da), (cb, nb, db) = a, b
+        (ca, na, da, fa), (cb, nb, db, fb) = a, b
         step = max(64, STEP // (8 * da.shape[1]))
         small, large = np.minimum(na[:, None], nb[None]), np.maximum(na[:, None], nb[None])
-        i, j = np.nonzero((ca[:, None] != cb[None]) & (num * large <= den * small))
+        ham = fa.sum(axis=1)[:, None] + fb.sum(axis=1)[None] - 2 * (fa @ fb.T)
+        w = (ca[:, None] != cb[None]) & (num * large <= den * small)
+        i, j = np.nonzero(w & (ham <= (small + large) * (den - num) // (den + num)))
         for s in range(0, len(i), step):
             p, q = i[s : s + step], j[s : s + step]
             ham = np.bitwise_count(da[p] ^ db[q]).sum(axis=1, dtype=np.int64)
             w = ham * (den + num) <= (na[p] + nb[q]) * (den - num)
             yield p[w], q[w]
 
-    def group(parts):
+    def group(key, parts):
         rid, comp, n, other = (np.concatenate([x[i] for x in parts]) for i in range(4))
         blobs = [d for x in parts for d in x[4]]
         size = min(map(len, blobs))
@@ -369,14 +379,24 @@ def _filtered(num: int, den: int, forest: bool):
                 x = y
             return x
 
+        whole, kept = forest, []
         split = other.any() and not other.all()
         rows = np.arange(len(rid))
+        width = min(size, COARSE // 8, max(8, (1 << int(n.max() - 1).bit_length()) // 8))  # about as many bits as the sets have shingles
         sides = (rows[~other], rows[other]) if split else (rows, rows)
         for a in range(0, len(sides[0]), 1000):
             for b in range(0 if split else a, len(sides[1]), 1000):
                 one, two = sides[0][a : a + 1000], sides[1][b : b + 1000]
-                for p, q in near((comp[one], n[one], dense[one]), (comp[two], n[two], dense[two])):
+                for p, q in near(*((comp[x], n[x], dense[x], coarse(dense[x], width)) for x in (one, two))):
                     p, q = one[p], two[q]
+                    if not split:  # a block meets itself both ways
+                        p, q = p[p < q], q[p < q]
+                    if whole:
+                        kept.append((p, q))
+                        if sum(len(x) for x, _ in kept) <= len(rid):
+                            continue
+                        whole = False
+                        p, q = (np.concatenate(x) for x in zip(*kept, strict=True))
                     if forest:
                         keep = []
                         for k, (x, y) in enumerate(zip(comp[p].tolist(), comp[q].tolist(), strict=True)):
@@ -390,6 +410,11 @@ def _filtered(num: int, den: int, forest: bool):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
                 if forest and up:
                     comp = np.array([find(c) for c in comp.tolist()])
+        if forest:
+            p, q = (np.concatenate(x) for x in zip(*kept, strict=True)) if whole and kept else (rows[:0], rows[:0])
+            x, y = pa.array(np.minimum(rid[p], rid[q])), pa.array(np.maximum(rid[p], rid[q]))
+            if len(p) or not whole:
+                yield pa.RecordBatch.from_arrays([x, y] if whole else [pa.array([key]), pa.array([None], pa.int64())], names=["x", "y"])
 
     def run(batches):
         last, held = None, []
@@ -402,12 +427,12 @@ def _filtered(num: int, den: int, forest: bool):
             cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (grp[1:] != grp[:-1])))
             for a, e in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
                 if held and last != (key[a], grp[a]):
-                    yield from group(held)
+                    yield from group(last[0], held)
                     held = []
                 last = key[a], grp[a]
                 held.append((rid[a:e], comp[a:e], n[a:e], other[a:e], dense[a:e]))
         if held:
-            yield from group(held)
+            yield from group(last[0], held)
 
     return run
 
@@ -514,6 +539,15 @@ def _groups(lab: DataFrame, load: DataFrame) -> DataFrame:
     return rows.select("key", "grp", "rid", "comp", (F.col("out") & (F.col("grp") >= 0)).alias("other"))
 
 
+def _rounds(groups: DataFrame, dense: DataFrame, room: int) -> list[DataFrame]:
+    """The rows of ``groups`` (written) with n and the sketch, in rounds of about ``room`` bytes of sketches; a group lies in one round."""
+    sent = groups.join(dense.select("rid", F.octet_length("dense").alias("o")), "rid").agg(F.sum("o")).first()[0] or 0
+    k = max(1, -(-sent // max(room, 1)))
+    turn = F.pmod(F.xxhash64("key", "grp"), F.lit(k))
+    cols = ["key", "grp", "rid", "comp", "n", "dense", "other"]
+    return [groups.where(turn == i).join(dense, "rid").select(*cols) for i in range(k)]
+
+
 def _component_ids(named: DataFrame) -> DataFrame:
     """h1, h2, comp and component_id of classes (written: rid, comp, doc_id, h1, h2); large components by broadcast, the others by a join on comp."""
     least = written(named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")))
@@ -541,6 +575,7 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = profile.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), first)
     classes = written(classes.select("h1", "h2", "doc_id", "n", "x.rid", "x.row"))
     dense = profile.select("rid", "n", "dense")
+    room = max(LEAST, ROOM * (profile.agg(F.sum(F.octet_length("parts") + F.octet_length("dense"))).first()[0] or 0))
 
     def keys_of(which: DataFrame, part=lambda rows: rows) -> DataFrame:
         rows = part(profile.select("rid", "n", "parts")).join(which.select("rid"), "rid", "left_semi")
@@ -585,6 +620,7 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             rows = rows.withColumn("hot", F.lit(None).cast("boolean"))
         rows = _labelled(rows, comps).select("key", "rid", "comp", F.coalesce("hot", F.lit(False)).alias("hot"))
         out = written(_by_key(rows, F.col("hot")).mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
+        release(spark)
         pairs = out.where("kind = 0").select("x", "y")
         many = out.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("rid"))
         lab, load = _blocks(many, comps)
@@ -592,13 +628,18 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         load = load.where(F.col("p") <= FILTERED) if level < 3 else load
         here = lab.select("key", "rid").join(load.select("key"), "key", "left_semi")
         for forest in (True, True, False):
-            rows = _groups(lab, load).join(dense, "rid").select("key", "grp", "rid", "comp", "n", "dense", "other")
-            rows = rows.repartition("key", "grp").sortWithinPartitions("key", "grp")
-            near = rows.mapInArrow(_filtered(num, den, forest), "x long, y long")
-            links = links.union(verified(written(pairs.union(near).distinct())))
+            near = pairs
+            for rows in _rounds(written(_groups(lab, load)), dense, room):
+                rows = rows.repartition("key", "grp").sortWithinPartitions("key", "grp")
+                near = near.union(written(rows.mapInArrow(_filtered(num, den, forest), "x long, y long")))
+                release(spark)
+            links = links.union(verified(written(near.where("y IS NOT NULL").distinct())))
             if forest:
                 comps = written(components(links))
-                pairs = pairs.limit(0)
+                cut = written(near.where("y IS NULL").select(F.col("x").alias("key")).distinct())
+                if cut.isEmpty():
+                    break
+                pairs, here = pairs.limit(0), here.join(cut, "key", "left_semi")
                 lab, load = _blocks(here, comps)
                 if load.isEmpty():
                     break
