@@ -167,8 +167,7 @@ def feature_matmul(spark, d):
  rc AS (WITH RECURSIVE z AS (SELECT id, id AS root FROM core UNION SELECT pr.b, z.root FROM z JOIN pr ON pr.a = z.id WHERE pr.b IN (SELECT id FROM core)) SELECT * FROM z), cc AS (SELECT id, min(root) AS cluster FROM rc GROUP BY id), nr AS (SELECT a AS id, min(cluster) AS cluster FROM pr JOIN cc ON cc.id = pr.b GROUP BY a)
  SELECT vert.id, coalesce(cc.cluster, nr.cluster, -1) AS cluster FROM vert LEFT JOIN cc ON cc.id = vert.id LEFT JOIN nr ON nr.id = vert.id""")
 def dbscan(spark, d):
-    v = spaces.vertices(spark, d)
-    return studies.dbscan(v, spaces.radius_pairs(v, 0.03).select("a", "b"), 8)
+    return studies.dbscan(spaces.vertices(spark, d).select("id", "x", "y"), 0.03, 8)
 
 
 @query("chain_statistics", "SELECT CAST(30 AS BIGINT) AS chains, CAST(3 AS BIGINT) AS longest, CAST(3.0 AS DOUBLE) AS mean")
