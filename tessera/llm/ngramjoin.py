@@ -26,8 +26,8 @@ their members need not meet. A large bucket is compared by blocks: its largest
 component in blocks of ``BLOCK`` members, and what lies outside it in blocks too; each
 block of the one meets each of the other in a task of its own, and a member of the
 largest component never meets another. Tasks hold at most ``HELD`` numbers of members,
-or the sketches of two blocks; nothing is collected to the driver. Sketches go to their
-blocks in rounds of about ``ROOM`` times the bytes of all sketches and segments, whose shuffle files go before the next one.
+or the sketches of two blocks; nothing is collected to the driver. Sketches, folded
+once, go to their blocks in rounds of about ``ROOM`` times the bytes of all sketches and segments, whose shuffle files go before the next one.
 
 Defined results: A-Z count as a-z; words are runs without ASCII white space; with
 fewer words than a shingle has, the whole sequence is one shingle; null, empty and
@@ -209,12 +209,12 @@ def _sets(k: int):
 
 
 def _keys_of_parts(num: int, den: int):
-    """(key, rid) of all segments; columns rid, n, parts."""
+    """(key, rid, and comp if given) of all segments; columns rid, n, parts and perhaps comp."""
 
     def run(batches):
         sk = Sketcher(num, den)
         for b in batches:
-            rid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            n = b.column(1).to_numpy()
             band, lower = sk.bands(n)
             data, offs = utf8(b.column(2))
             v = np.frombuffer(np.ascontiguousarray(data), dtype="<u4")
@@ -224,25 +224,27 @@ def _keys_of_parts(num: int, den: int):
                 u = v[_runs(start, size)]
                 key = sk.keys(u, np.concatenate([[0], np.cumsum(size)]), at)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[u > 0]), pa.array(np.repeat(rid[rows], size)[u > 0])], names=["key", "rid"])
+                    own_cols = [pa.array(np.repeat(b.column(c).to_numpy()[rows], size)[u > 0]) for c in (0, 3)[: b.num_columns - 2]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[u > 0]), *own_cols], names=["key", "rid", "comp"][: 1 + len(own_cols)])
 
     return run
 
 
 def _keys_of_sets(num: int, den: int, level: int):
-    """(key, rid) of all segments of another hash, within a bucket; columns rid, set, bucket."""
+    """(key, rid, comp) of all segments of another hash, within a bucket; columns rid, set, bucket, comp."""
 
     def run(batches):
         sk = Sketcher(num, den)
         for b in batches:
             for i, j, data, offs in chunks(b.column(1)):
-                rid, bucket = b.column(0).to_numpy()[i:j], b.column(2).to_numpy()[i:j]
+                rid, bucket, comp = (b.column(c).to_numpy()[i:j] for c in (0, 2, 3))
                 x, bounds = np.frombuffer(np.ascontiguousarray(data), dtype=_U), offs // 8
                 rows, idx, sizes, band = sk.emitted(np.diff(bounds), bounds)
                 v, base = sk.segments(x[idx], sizes, band, level)
                 per = np.diff(base)
                 key = mix64(sk.keys(v, base, band).view(_U) + np.repeat(bucket[rows], per).view(_U) * _U(0x9FB21C651E98DF25))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[v > 0]), pa.array(np.repeat(rid[rows], per)[v > 0])], names=["key", "rid"])
+                told = v > 0
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[told]), *(pa.array(np.repeat(x[rows], per)[told]) for x in (rid, comp))], names=["key", "rid", "comp"])
 
     return run
 
@@ -340,6 +342,13 @@ def _fold(blob: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(a, axis=0)
 
 
+def _thin(batches):
+    """rid, n and the sketch folded once, down to 256 bits: about as many bits as shingles. Folded ones differ in no more places, so no link is lost, and ``_near`` looks again at the whole ones."""
+    for b in batches:
+        dense = [_fold(d, max(32, len(d) // 2)).tobytes() for d in b.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dense, pa.binary())], names=["rid", "n", "dense"])
+
+
 def _filtered(num: int, den: int, forest: bool):
     """Cross pairs of large buckets that pass the size and Hamming filters; columns key, grp, rid, comp, n, dense, other, sorted by key and grp.
 
@@ -438,22 +447,22 @@ def _filtered(num: int, den: int, forest: bool):
 
 
 def _verify(num: int, den: int):
-    """(a, b) of the pairs that link; rows come sorted by pair, two a pair: x, y, set."""
+    """(a, b) of the pairs that link; rows come sorted by pair and rid: x, y, rid, set; both of a pair, and any of them again."""
 
     def run(batches):
         last = None
         for b in batches:
-            xs, ys, sets = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            xs, ys, rids, sets = *(b.column(i).to_pylist() for i in range(3)), b.column(3)
             got = []
-            for x, y, s in zip(xs, ys, sets, strict=True):
-                if last is not None and last[:2] == (x, y):
-                    p, q = np.frombuffer(last[2], _U), np.frombuffer(s.as_py(), _U)
+            for x, y, rid, s in zip(xs, ys, rids, sets, strict=True):
+                if last is None or last[:2] != (x, y):
+                    last = (x, y, rid, s.as_py())
+                elif last[2] != rid:
+                    p, q = np.frombuffer(last[3], _U), np.frombuffer(s.as_py(), _U)
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if den * both >= num * (len(p) + len(q) - both):
                         got.append((x, y))
-                    last = None
-                else:
-                    last = (x, y, s.as_py())
+                    last = (x, y, rid, b"")
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
@@ -461,13 +470,17 @@ def _verify(num: int, den: int):
 
 
 def _close(num: int, den: int):
-    """(x, y) of the pairs whose dense sketches are near enough; columns x, y, n, dense, m, other."""
+    """(x, y) of the pairs whose dense sketches are near enough; rows come sorted by pair, two a pair: x, y, n, dense."""
 
     def run(batches):
+        last = None
         for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(6)), strict=True)
             got = []
-            for x, y, n, p, m, q in rows:
+            for x, y, n, p in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if last is None:
+                    last = (n, p)
+                    continue
+                (m, q), last = last, None
                 size = min(len(p), len(q))
                 if num * max(n, m) <= den * min(n, m) and int(np.bitwise_count(_fold(p, size) ^ _fold(q, size)).sum()) * (den + num) <= (n + m) * (den - num):
                     got.append((x, y))
@@ -477,16 +490,21 @@ def _close(num: int, den: int):
     return run
 
 
+def _sides(pairs: DataFrame, values: DataFrame, cols: list[str]) -> DataFrame:
+    """x, y, rid and ``cols`` of ``values`` (by rid) for both of each pair, the rows of a pair in one task and in order; few pairs go to the values."""
+    sides = written(pairs.select("x", "y", F.explode(F.array("x", "y")).alias("rid")))
+    both = joined_small(values, sides, "rid", sides.count()).select("x", "y", "rid", *cols)
+    return both.repartition("x", "y").sortWithinPartitions("x", "y", "rid")
+
+
 def _near(pairs: DataFrame, dense: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose sketches are near enough, written."""
-    both = pairs.join(dense.select(F.col("rid").alias("x"), "n", "dense"), "x").join(dense.select(F.col("rid").alias("y"), F.col("n").alias("m"), F.col("dense").alias("other")), "y")
-    return written(both.select("x", "y", "n", "dense", "m", "other").mapInArrow(_close(num, den), "x long, y long"))
+    return written(_sides(pairs, dense, ["n", "dense"]).drop("rid").mapInArrow(_close(num, den), "x long, y long"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (x, y) whose sets link, as (a, b)."""
-    sides = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("rid")).join(sets, "rid").select("x", "y", "set")
-    return sides.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(_verify(num, den), "a long, b long")
+    return _sides(pairs, sets, ["set"]).mapInArrow(_verify(num, den), "a long, b long")
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -582,7 +600,9 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return rows.mapInArrow(_keys_of_parts(num, den), "key long, rid long")
 
     def sets_of(which: DataFrame) -> DataFrame:
-        hit = docs.select("text", "row").join(which.select("n", "h1", "h2", "rid", "row"), "row")
+        """rid, set; a row number that stands for two rows may give a set twice. Texts stay where they are if few are wanted."""
+        which = written(which.select("n", "h1", "h2", "rid", "row"))
+        hit = joined_small(docs.select("text", "row"), which, "row", which.count())
         return hit.select("text", "n", "h1", "h2", "rid").mapInArrow(_sets(shingle), "rid long, set binary")
 
     hot = _hot_keys(keys_of(classes, _sampled))
@@ -595,7 +615,7 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = _near(pairs, dense, num, den)
         ids = pairs.select(F.col("x").alias("rid")).union(pairs.select("y")).distinct()
-        sets = written(sets_of(classes.join(ids, "rid", "left_semi")).dropDuplicates(["rid"]))
+        sets = written(sets_of(classes.join(ids, "rid", "left_semi")))
         release(spark)
         found = written(_linked(pairs, sets, num, den))
         release(spark)
@@ -608,17 +628,21 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     comps = written(components(links))
     release(spark)
 
-    rows = keys_of(involved)
+    # members get their component before their keys are made
+    inside = written(_labelled(involved, comps).select("rid", "comp"))
+    rows = joined_small(profile.select("rid", "n", "parts", "dense"), inside, "rid", inside.count())
+    thin = written(rows.select("rid", "n", "dense").mapInArrow(_thin, "rid long, n long, dense binary"))
+    rows = rows.select("rid", "n", "parts", "comp").mapInArrow(_keys_of_parts(num, den), "key long, rid long, comp long")
     for level in range(4):
         if level:
             hot = _hot_keys(_sampled(rows))
         if not hot.isEmpty():  # hot keys of one component have no cross pairs; the others go to the blocks
-            ends = _labelled(rows.join(F.broadcast(hot.select("key")), "key"), comps).groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+            ends = rows.join(F.broadcast(hot.select("key")), "key").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
             flags = hot.select("key").join(ends, "key").select("key", (F.col("a") < F.col("b")).alias("hot"))
             rows = rows.join(F.broadcast(written(flags)), "key", "left").where("hot IS NULL OR hot")
         else:
             rows = rows.withColumn("hot", F.lit(None).cast("boolean"))
-        rows = _labelled(rows, comps).select("key", "rid", "comp", F.coalesce("hot", F.lit(False)).alias("hot"))
+        rows = rows.select("key", "rid", "comp", F.coalesce("hot", F.lit(False)).alias("hot"))
         out = written(_by_key(rows, F.col("hot")).mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
         release(spark)
         pairs = out.where("kind = 0").select("x", "y")
@@ -629,7 +653,7 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         here = lab.select("key", "rid").join(load.select("key"), "key", "left_semi")
         for forest in (True, True, False):
             near = pairs
-            for rows in _rounds(written(_groups(lab, load)), dense, room):
+            for rows in _rounds(written(_groups(lab, load)), thin, room):
                 rows = rows.repartition("key", "grp").sortWithinPartitions("key", "grp")
                 near = near.union(written(rows.mapInArrow(_filtered(num, den, forest), "x long, y long")))
                 release(spark)
@@ -645,9 +669,9 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
                     break
         if huge.isEmpty():
             break
-        more = many.join(huge.select("key"), "key")
-        sets = sets_of(classes.join(more.select("rid").distinct(), "rid", "left_semi")).dropDuplicates(["rid"])
-        rows = written(more.join(sets, "rid").select("rid", "set", "key").mapInArrow(_keys_of_sets(num, den, level + 1), "key long, rid long"))
+        more = written(_labelled(many.join(huge.select("key"), "key"), comps).select("key", "rid", "comp"))
+        sets = sets_of(classes.join(more.select("rid").distinct(), "rid", "left_semi"))
+        rows = written(more.join(sets, "rid").select("rid", "set", "key", "comp").mapInArrow(_keys_of_sets(num, den, level + 1), "key long, rid long, comp long"))
 
     comps = written(components(links))
     named = written(_labelled(classes, comps).select("rid", "comp", "doc_id", "h1", "h2"))

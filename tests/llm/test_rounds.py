@@ -55,3 +55,33 @@ def test_sketches_go_in_rounds(spark):
     assert len(rounds) == 4 and sum(x.count() for x in rounds) == 400
     assert sum(map(len, seen)) == len(set().union(*seen)) == 40
     assert len(ngramjoin._rounds(groups, dense, 10**9)) == len(ngramjoin._rounds(groups.limit(0), dense, 0)) == 1
+
+
+def test_members_get_their_component_before_their_keys(spark, monkeypatch):
+    seen, labelled = [], ngramjoin._labelled
+    monkeypatch.setattr(ngramjoin, "_labelled", lambda rows, comps: seen.append(rows.columns) or labelled(rows, comps))
+    texts = [" ".join(f"w{i % 97 + j}" for j in range(40)) for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts + [t + " x" for t in texts])), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngramjoin.link_components(docs, 4, 85, 100).collect()}
+    assert all(got[i] == got[i + 20] for i in range(20))
+    assert ["rid"] in seen and ["key", "rid"] not in seen[: seen.index(["rid"]) + 1]
+
+
+def test_sent_sketches_are_half_as_long_and_lose_no_link():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3, 100, 400, 401)]
+    sets[3][:400] = sets[2][:400]
+    whole = members(sets, range(4))
+    (thin,) = ngramjoin._thin([pa.RecordBatch.from_arrays([whole.column(i) for i in (2, 4, 5)], names=["rid", "n", "dense"])])
+    old, new = whole.column(5).to_pylist(), thin.column(2).to_pylist()
+    assert [len(d) for d in new] == [max(32, len(d) // 2) for d in old]
+    far = [int(np.bitwise_count(np.frombuffer(d[2], np.uint8) ^ np.frombuffer(d[3], np.uint8)).sum()) for d in (old, new)]
+    assert far[1] <= far[0] <= len(np.setxor1d(sets[2], sets[3]))
+
+
+def test_sets_given_twice_are_compared_once():
+    a, b = np.arange(1, 101, dtype=np.uint64), np.arange(1, 100, dtype=np.uint64)
+    rows = [(1, 2, 1, a), (1, 2, 1, a), (1, 2, 2, b), (1, 2, 2, b), (1, 3, 1, a), (1, 3, 3, a[:10]), (2, 4, 2, b), (2, 4, 2, b)]
+    cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+    batch = pa.RecordBatch.from_arrays([*cols, pa.array([r[3].tobytes() for r in rows], pa.binary())], names=["x", "y", "rid", "set"])
+    assert [p for out in ngramjoin._verify(85, 100)([batch]) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)] == [(1, 2)]
