@@ -98,3 +98,17 @@ def test_stages_take_nulls_repeats_extra_columns_and_nothing(spark, corpus):
         assert out.where("times <> 'x' OR kept <> 'x'").count() == 0
         assert f(spark, docs.where("n_chars < 0"), path).count() == 0
     corpus_pipeline.end_scope()
+
+
+def test_near_duplicates_leave_rows_where_few_stay(spark, corpus, monkeypatch):
+    """Rows whose numbers are few are not shuffled for the last join."""
+    monkeypatch.setattr(corpus_pipeline.ngramjoin, "link_components", lambda named, **_: named.selectExpr("doc_id", "_tessera_row AS row", "1L AS n_shingles", "doc_id % 3 AS comp"))
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "a", 6) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_duplicates(spark, docs, corpus[0])
+        assert sorted(r["doc_id"] for r in out.collect()) == [0, 1, 2]
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
