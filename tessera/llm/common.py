@@ -99,16 +99,17 @@ def joined_small(df: DataFrame, small: DataFrame, on, rows: int, how: str = "inn
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)
 
 
-def components(edges: DataFrame, rows_a_task: int | None = None) -> DataFrame:
+def components(edges: DataFrame, rows_a_task: int | None = None, rows: int | None = None) -> DataFrame:
     """Connected components of edges (a, b): rows (id, comp), comp the smallest id reached.
 
     Large-star and small-star steps on an edge table that is written to the shared
     folder in each round, until nothing changes; each step groups edges by a node
     but keeps no group in memory (window minimum joined by aggregation).
-    ``rows_a_task``: steps on few edges take fewer tasks than there are shuffle partitions.
+    ``rows_a_task``: steps on few edges take fewer tasks than there are shuffle partitions,
+    the first one too if ``rows``, the number of ``edges``, is given.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = written(e)
+    e = written(e.coalesce(rows // rows_a_task + 1) if rows_a_task and rows is not None else e)
     tasks = e.count() // rows_a_task + 1 if rows_a_task else None
     few = (lambda df: df.coalesce(tasks)) if tasks else (lambda df: df)
     before = None

@@ -59,6 +59,8 @@ COARSE, ROOM, LEAST = 8192, 2, 1 << 28
 SAMPLE, HOT = 16, 8
 #: Partners of a set that are verified before buckets are listed: at most one of each 64th of the partners, the best of these.
 LEADS = 3
+#: Edges of a task in the steps of the components, rows of a task where pairs meet their values; at least, so that few don't take all shuffle partitions.
+EDGES, SIDES = 50_000, 10_000
 _U = np.uint64
 
 
@@ -493,8 +495,9 @@ def _close(num: int, den: int):
 def _sides(pairs: DataFrame, values: DataFrame, cols: list[str]) -> DataFrame:
     """x, y, rid and ``cols`` of ``values`` (by rid) for both of each pair, the rows of a pair in one task and in order; few pairs go to the values."""
     sides = written(pairs.select("x", "y", F.explode(F.array("x", "y")).alias("rid")))
-    both = joined_small(values, sides, "rid", sides.count()).select("x", "y", "rid", *cols)
-    return both.repartition("x", "y").sortWithinPartitions("x", "y", "rid")
+    n = sides.count()
+    both = joined_small(values, sides, "rid", n).select("x", "y", "rid", *cols)
+    return both.repartition("x", "y").sortWithinPartitions("x", "y", "rid").coalesce(n // SIDES + 1)
 
 
 def _near(pairs: DataFrame, dense: DataFrame, num: int, den: int) -> DataFrame:
@@ -507,6 +510,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _sides(pairs, sets, ["set"]).mapInArrow(_verify(num, den), "a long, b long")
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, that has at most ``rows`` narrow rows, in no more tasks than they need."""
+    return df.coalesce(rows // EDGES + 1)
+
+
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, rows["rid"] == comps["id"], "left").select(*rows.columns, F.coalesce("comp", "rid").alias("comp"))
 
@@ -541,12 +549,12 @@ def _blocks(many: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     m = F.col("m").cast("double")
     n = lambda size: F.when(F.col("m") <= BLOCK, F.lit(0)).otherwise(F.ceil(size / F.lit(BLOCK))).cast("long")
     load = load.select("key", F.col("x.comp").alias("main"), ((m * m - F.col("q")) / 2).alias("p"), n(F.col("x.c")).alias("na"), n(F.col("m") - F.col("x.c")).alias("nb"))
-    return lab, written(load.where("p > 0"))
+    return lab, written(_few(load.where("p > 0"), lab.count()))
 
 
 def _groups(lab: DataFrame, load: DataFrame) -> DataFrame:
     """key, grp, rid, comp, other: every cross pair of a key meets in a group, each of at most two blocks."""
-    rows = lab.join(load, "key")
+    rows = joined_small(lab, load, "key", load.count())
     out, na, nb = F.col("comp") != F.col("main"), F.greatest("na", F.lit(1)), F.greatest("nb", F.lit(1))
     a, b = F.pmod(F.xxhash64("rid"), na), F.pmod(F.xxhash64("rid", F.lit(1)), nb)
     of_main = F.transform(F.sequence(F.lit(0).cast("long"), nb - 1), lambda y: a * nb + y)
@@ -625,7 +633,7 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     best = stars.groupBy("rid", F.pmod(F.xxhash64("lead"), F.lit(64))).agg(F.max(F.struct("m", "lead")).alias("b"))
     best = best.groupBy("rid").agg(F.slice(F.reverse(F.array_sort(F.collect_list("b"))), 1, LEADS).alias("b")).select("rid", F.explode("b.lead").alias("lead"))
     links = verified(best.select(F.least("rid", "lead").alias("x"), F.greatest("rid", "lead").alias("y")).distinct())
-    comps = written(components(links))
+    comps = written(components(links, EDGES, links.count()))
     release(spark)
 
     # members get their component before their keys are made
@@ -650,20 +658,22 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         lab, load = _blocks(many, comps)
         huge = load.where(F.col("p") > FILTERED) if level < 3 else load.limit(0)
         load = load.where(F.col("p") <= FILTERED) if level < 3 else load
-        here = lab.select("key", "rid").join(load.select("key"), "key", "left_semi")
         for forest in (True, True, False):
             near = pairs
             for rows in _rounds(written(_groups(lab, load)), thin, room):
                 rows = rows.repartition("key", "grp").sortWithinPartitions("key", "grp")
                 near = near.union(written(rows.mapInArrow(_filtered(num, den, forest), "x long, y long")))
                 release(spark)
-            links = links.union(verified(written(near.where("y IS NOT NULL").distinct())))
+            listed = near.count()
+            found = verified(written(_few(near.where("y IS NOT NULL").distinct(), listed)))
+            links = links.union(found)
             if forest:
-                comps = written(components(links))
-                cut = written(near.where("y IS NULL").select(F.col("x").alias("key")).distinct())
+                comps = written(components(links, EDGES, links.count()))
+                links = comps.select(F.col("id").alias("a"), F.col("comp").alias("b"))  # the same parts
+                cut = written(_few(near.where("y IS NULL").select(F.col("x").alias("key")).distinct(), listed))
                 if cut.isEmpty():
                     break
-                pairs, here = pairs.limit(0), here.join(cut, "key", "left_semi")
+                pairs, here = pairs.limit(0), joined_small(lab.select("key", "rid"), cut, "key", cut.count(), "left_semi")
                 lab, load = _blocks(here, comps)
                 if load.isEmpty():
                     break
@@ -673,7 +683,7 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         sets = sets_of(classes.join(more.select("rid").distinct(), "rid", "left_semi"))
         rows = written(more.join(sets, "rid").select("rid", "set", "key", "comp").mapInArrow(_keys_of_sets(num, den, level + 1), "key long, rid long, comp long"))
 
-    comps = written(components(links))
+    comps = written(components(links, EDGES, links.count()))
     named = written(_labelled(classes, comps).select("rid", "comp", "doc_id", "h1", "h2"))
     out = profile.select("doc_id", "row", "n", "h1", "h2").join(_component_ids(named), ["h1", "h2"], "left")
     comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

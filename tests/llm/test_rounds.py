@@ -85,3 +85,25 @@ def test_sets_given_twice_are_compared_once():
     cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
     batch = pa.RecordBatch.from_arrays([*cols, pa.array([r[3].tobytes() for r in rows], pa.binary())], names=["x", "y", "rid", "set"])
     assert [p for out in ngramjoin._verify(85, 100)([batch]) for p in zip(*(c.to_pylist() for c in out.columns), strict=True)] == [(1, 2)]
+
+
+def test_small_tables_of_the_join_take_few_tasks(spark):
+    from tessera.llm import common
+
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 9)], "x long, y long")
+        values = spark.createDataFrame([(i, [i]) for i in (1, 2, 3, 5, 9)], "rid long, v array<long>")
+        sides = ngramjoin._sides(pairs, values, ["v"])
+        assert [tuple(r)[:3] for r in sides.collect()].count((2, 3, 3)) == 1 and sides.count() == 6
+        assert sides.rdd.getNumPartitions() == 1
+        many = spark.createDataFrame([(7, 1), (7, 3), (7, 5), (8, 5), (8, 9)], "key long, rid long")
+        comps = common.components(pairs.select(pairs.x.alias("a"), pairs.y.alias("b")), ngramjoin.EDGES, 3)
+        lab, load = ngramjoin._blocks(many, comps)
+        assert [(r["key"], r["main"], r["p"]) for r in load.collect()] == [(7, 1, 2.0)] and len(load.inputFiles()) == 1
+        assert {tuple(r) for r in ngramjoin._groups(lab, load).select("key", "rid", "comp").collect()} == {(7, 1, 1), (7, 3, 1), (7, 5, 5)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.adaptive.enabled", kept[1])
