@@ -5,6 +5,8 @@ Undirected graphs are tables (src, dst) with src < dst, each edge once.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,16 +151,24 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         e = stored(to(to(e, "p"), "q").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct())
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, block): the most common label of the neighbours (smallest on ties, own label counts once), then split into connected parts."""
+def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int | None = 10) -> DataFrame:
+    """(id, block): the most common label of the neighbours (smallest on ties, own label counts once), then split into connected parts.
+
+    ``rounds`` None: until the labels have come before, which ends nodes that change places too.
+    """
     e = stored(both_ways(edges))
-    label = nodes.select("id", F.col("id").alias("block"))
-    for k in range(rounds):
+    label, seen = nodes.select("id", F.col("id").alias("block")), set()
+    for k in itertools.count() if rounds is None else range(rounds):
         votes = e.join(label.select(F.col("id").alias("dst"), "block"), "dst").select(F.col("src").alias("id"), "block").unionAll(label)
         c = votes.groupBy("id", "block").agg(F.count("*").alias("n"))
         label = c.groupBy("id").agg(F.max_by("block", F.struct("n", -F.col("block"))).alias("block"))
         if k % 3 == 2:
             label = stored(label)
+            if rounds is None:
+                state = label.agg(*[F.sum(F.xxhash64("id", "block", F.lit(i)).cast("decimal(38,0)")) for i in range(2)]).first()
+                if state in seen:
+                    break
+                seen.add(state)
     a, b = label.select(F.col("id").alias("src"), F.col("block").alias("p")), label.select(F.col("id").alias("dst"), F.col("block").alias("q"))
     inner = edges.join(a, "src").join(b, "dst").where("p = q").select("src", "dst")
     return components(nodes, inner).withColumnRenamed("component", "block")
@@ -320,10 +330,13 @@ def contracted(edges: DataFrame, block: DataFrame) -> DataFrame:
     return e.select(F.least("p", "q").alias("src"), F.greatest("p", "q").alias("dst")).distinct()
 
 
-def community_tree(nodes: DataFrame, edges: DataFrame, levels: int = 5, rounds: int = 5) -> DataFrame:
-    """(id, level, parent): communities by label propagation, contracted and grouped again until one block or no edge is left."""
+def community_tree(nodes: DataFrame, edges: DataFrame, levels: int | None = None, rounds: int | None = None) -> DataFrame:
+    """(id, level, parent): communities by label propagation, contracted and grouped again until one block or no edge is left.
+
+    Without ``levels`` and ``rounds`` both go on to their ends.
+    """
     out, at, e = None, nodes.select("id"), edges
-    for k in range(levels):
+    for k in itertools.count() if levels is None else range(levels):
         b = label_propagation(at, e, rounds)
         step = b.select("id", F.lit(k).alias("level"), F.col("block").alias("parent"))
         out = step if out is None else out.unionByName(step)

@@ -236,7 +236,7 @@ def community_contract(spark, d):
 @query("community_tree")
 def community_tree(spark, d):
     v, e = _und(spark, d)
-    return graphs.community_tree(v.select("id"), e, 3, 3)
+    return graphs.community_tree(v.select("id"), e)
 
 
 @query("greedy_blocks")

@@ -64,3 +64,11 @@ def test_parts_are_connected_and_no_worse_than_label_propagation(spark, seed):
                 seen.add(x)
                 todo.append(x)
         assert seen == {i for i in own if own[i] == b}
+
+
+def test_the_tree_of_communities_goes_on_to_its_end(spark):
+    # on a path the smallest label moves one node a round, so each level takes as many rounds as the path is long
+    n, e = graph(spark, 16, [(i, i + 1) for i in range(15) if i != 7])
+    tree = graphs.community_tree(n, e).collect()
+    assert {r["id"]: r["parent"] for r in tree if r["level"] == 0} == {i: i // 8 * 8 for i in range(16)}
+    assert {r["parent"] for r in tree if r["level"] == max(x["level"] for x in tree)} == {0, 8}
