@@ -53,10 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, order: list | None = None) -> DataFrame:
-    """The table written to the shared folder and read again: lineage ends there and lost executors lose nothing."""
+def written(df: DataFrame, order: list | None = None, group_rows: int | None = None) -> DataFrame:
+    """The table written to the shared folder and read again: lineage ends there and lost executors lose nothing.
+
+    ``group_rows``: for tables of wide rows. The reader decodes up to 4096 rows at once, but
+    none beyond a row group, so row groups of so few rows bound its memory.
+    """
     path = shared_dir(df.sparkSession) + "/t"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    if group_rows is not None:
+        out = out.option("parquet.block.row.count.limit", group_rows)
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -46,6 +46,8 @@ from .textscan import Scanner, chunks
 
 #: Documents and terms of a block, scores that a task sends for the threshold, and bytes of the queries that are searched at once.
 DOCS, TOKENS, LEADS, QUERY_BYTES = 64, 1 << 16, 5, 4 << 20
+#: Rows of the index's row groups: a row has some hundred KB, and a task decodes a row group at once.
+GROUP_ROWS = 32
 INDEX = "doc_id array<long>, terms array<string>, held binary, most binary, ends binary, term binary, impact binary"
 _NAMES = ["doc_id", "terms", "held", "most", "ends", "term", "impact"]
 
@@ -132,7 +134,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     n, total = lengths(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_index(n, total), INDEX)
-    return Index(written(rows), n, total)
+    return Index(written(rows, group_rows=GROUP_ROWS), n, total)
 
 
 class Queries:

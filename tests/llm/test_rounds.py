@@ -107,3 +107,17 @@ def test_small_tables_of_the_join_take_few_tasks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept[0])
         spark.conf.set("spark.sql.adaptive.enabled", kept[1])
+
+
+def test_the_search_index_is_read_few_rows_at_once(spark):
+    import pyarrow.parquet as pq
+
+    from tessera.llm import search
+
+    docs = spark.range(6400).selectExpr("id AS doc_id", "concat('w', id % 50, ' x', id) AS text").coalesce(1)
+    index = search.build_index(docs)
+    sizes = []
+    for f in index.blocks.inputFiles():
+        m = pq.ParquetFile(f.removeprefix("file://")).metadata
+        sizes += [m.row_group(i).num_rows for i in range(m.num_row_groups)]
+    assert sum(sizes) == 100 and max(sizes) <= search.GROUP_ROWS < 100
