@@ -27,7 +27,8 @@ component in blocks of ``BLOCK`` members, and what lies outside it in blocks too
 block of the one meets each of the other in a task of its own, and a member of the
 largest component never meets another. Tasks hold at most ``HELD`` numbers of members,
 or the sketches of two blocks; nothing is collected to the driver. Sketches, folded
-once, go to their blocks in rounds of about ``ROOM`` times the bytes of all sketches and segments, whose shuffle files go before the next one.
+once, go to their blocks in rounds of about the bytes of all sketches and segments, whose shuffle files go before the next one.
+Keys go to their buckets in rounds of about that size too, each of which makes them anew.
 
 Defined results: A-Z count as a-z; words are runs without ASCII white space; with
 fewer words than a shingle has, the whole sequence is one shingle; null, empty and
@@ -53,8 +54,8 @@ BAND = 1.4
 PLAIN, FILTERED, HELD = 64, 4_000_000, 100_000
 #: Members of a block, bytes of the sketches compared in it, and bytes of the products of one step.
 BLOCK, FOLD, STEP = 2000, 1 << 14, 8 << 20
-#: Bits of the folded sketches by whose products most pairs are turned away; bytes of a round's sketches by those of all sketches and segments, and at least.
-COARSE, ROOM, LEAST = 8192, 2, 1 << 28
+#: Bits of the folded sketches by whose products most pairs are turned away; bytes of a round by those of all sketches and segments, and at least; bytes of a member that goes to its bucket.
+COARSE, ROOM, LEAST, ROW = 8192, 1, 1 << 28, 20
 #: One of so many sets tells which keys are hot, if it meets a key in so many of these.
 SAMPLE, HOT = 16, 8
 #: Partners of a set that are verified before buckets are listed: at most one of each 64th of the partners, the best of these.
@@ -210,8 +211,8 @@ def _sets(k: int):
     return run
 
 
-def _keys_of_parts(num: int, den: int):
-    """(key, rid, and comp if given) of all segments; columns rid, n, parts and perhaps comp."""
+def _keys_of_parts(num: int, den: int, turns: int = 1, turn: int = 0):
+    """(key, rid, and comp if given) of all segments, or of those whose keys have this of several turns; columns rid, n, parts and perhaps comp."""
 
     def run(batches):
         sk = Sketcher(num, den)
@@ -225,9 +226,10 @@ def _keys_of_parts(num: int, den: int):
                 size = sk.parts[at]
                 u = v[_runs(start, size)]
                 key = sk.keys(u, np.concatenate([[0], np.cumsum(size)]), at)
+                told = (u > 0) & (key.view(_U) % _U(turns) == turn)
                 if len(key):
-                    own_cols = [pa.array(np.repeat(b.column(c).to_numpy()[rows], size)[u > 0]) for c in (0, 3)[: b.num_columns - 2]]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[u > 0]), *own_cols], names=["key", "rid", "comp"][: 1 + len(own_cols)])
+                    own_cols = [pa.array(np.repeat(b.column(c).to_numpy()[rows], size)[told]) for c in (0, 3)[: b.num_columns - 2]]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[told]), *own_cols], names=["key", "rid", "comp"][: 1 + len(own_cols)])
 
     return run
 
@@ -601,11 +603,13 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     classes = profile.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), first)
     classes = written(classes.select("h1", "h2", "doc_id", "n", "x.rid", "x.row"))
     dense = profile.select("rid", "n", "dense")
-    room = max(LEAST, ROOM * (profile.agg(F.sum(F.octet_length("parts") + F.octet_length("dense"))).first()[0] or 0))
+    held = profile.agg(*[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in ("parts", "dense")]).first()
+    room = max(LEAST, ROOM * sum(held))
+    turns = -(-held[0] // 4 * ROW // room) or 1
 
-    def keys_of(which: DataFrame, part=lambda rows: rows) -> DataFrame:
+    def keys_of(which: DataFrame, part=lambda rows: rows, *turn: int) -> DataFrame:
         rows = part(profile.select("rid", "n", "parts")).join(which.select("rid"), "rid", "left_semi")
-        return rows.mapInArrow(_keys_of_parts(num, den), "key long, rid long")
+        return rows.mapInArrow(_keys_of_parts(num, den, *turn), "key long, rid long")
 
     def sets_of(which: DataFrame) -> DataFrame:
         """rid, set; a row number that stands for two rows may give a set twice. Texts stay where they are if few are wanted."""
@@ -614,10 +618,16 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         return hit.select("text", "n", "h1", "h2", "rid").mapInArrow(_sets(shingle), "rid long, set binary")
 
     hot = _hot_keys(keys_of(classes, _sampled))
-    rows = keys_of(classes).join(F.broadcast(hot), "key", "left").select("key", "rid", "lead")  # at most four rows a partition
-    stars = _by_key(rows, F.col("lead").isNotNull()).mapInArrow(_stars, "rid long, lead long")
-    stars = written(stars.groupBy("rid", "lead").agg(F.count("*").alias("m")))
-    release(spark)
+    stars = None
+    for turn in range(turns):
+        rows = keys_of(classes, lambda rows: rows, turns, turn).join(F.broadcast(hot), "key", "left").select("key", "rid", "lead")  # at most four rows a partition
+        found = _by_key(rows, F.col("lead").isNotNull()).mapInArrow(_stars, "rid long, lead long")
+        found = written(found.groupBy("rid", "lead").agg(F.count("*").alias("m")))
+        stars = found if stars is None else stars.union(found)
+        release(spark)
+    if turns > 1:
+        stars = written(stars.groupBy("rid", "lead").agg(F.sum("m").alias("m")))
+        release(spark)
     involved = stars.select("rid").union(stars.select("lead")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -640,19 +650,24 @@ def link_components(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     inside = written(_labelled(involved, comps).select("rid", "comp"))
     rows = joined_small(profile.select("rid", "n", "parts", "dense"), inside, "rid", inside.count())
     thin = written(rows.select("rid", "n", "dense").mapInArrow(_thin, "rid long, n long, dense binary"))
-    rows = rows.select("rid", "n", "parts", "comp").mapInArrow(_keys_of_parts(num, den), "key long, rid long, comp long")
+    makes = rows.select("rid", "n", "parts", "comp")
+    made = [makes.mapInArrow(_keys_of_parts(num, den, turns, turn), "key long, rid long, comp long") for turn in range(turns)]
+    rows = makes.mapInArrow(_keys_of_parts(num, den), "key long, rid long, comp long")
     for level in range(4):
         if level:
             hot = _hot_keys(_sampled(rows))
         if not hot.isEmpty():  # hot keys of one component have no cross pairs; the others go to the blocks
             ends = rows.join(F.broadcast(hot.select("key")), "key").groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-            flags = hot.select("key").join(ends, "key").select("key", (F.col("a") < F.col("b")).alias("hot"))
-            rows = rows.join(F.broadcast(written(flags)), "key", "left").where("hot IS NULL OR hot")
+            flags = F.broadcast(written(hot.select("key").join(ends, "key").select("key", (F.col("a") < F.col("b")).alias("hot"))))
+            told = lambda rows: rows.join(flags, "key", "left").where("hot IS NULL OR hot")  # noqa: B023, E731
         else:
-            rows = rows.withColumn("hot", F.lit(None).cast("boolean"))
-        rows = rows.select("key", "rid", "comp", F.coalesce("hot", F.lit(False)).alias("hot"))
-        out = written(_by_key(rows, F.col("hot")).mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
-        release(spark)
+            told = lambda rows: rows.withColumn("hot", F.lit(None).cast("boolean"))
+        out = None
+        for rows in [rows] if level else made:
+            rows = told(rows).select("key", "rid", "comp", F.coalesce("hot", F.lit(False)).alias("hot"))
+            found = written(_by_key(rows, F.col("hot")).mapInArrow(_cross(PLAIN), "kind byte, x long, y long"))
+            out = found if out is None else out.union(found)
+            release(spark)
         pairs = out.where("kind = 0").select("x", "y")
         many = out.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("rid"))
         lab, load = _blocks(many, comps)

@@ -112,3 +112,15 @@ def test_near_duplicates_leave_rows_where_few_stay(spark, corpus, monkeypatch):
         assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_near_duplicates_do_not_write_the_texts_again(spark, corpus, monkeypatch):
+    docs = corpus_pipeline.written(spark.createDataFrame([(i // 2, f"one two three four five six {i // 2}") for i in range(40)], "doc_id long, text string").repartition(3))
+    wrote, keep = [], corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df: wrote.append(df.columns) or keep(df))
+    rows = corpus_pipeline.numbered(docs)
+    assert rows.columns == [*docs.columns, "_tessera_row"] and rows.select("_tessera_row").distinct().count() == 40
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, corpus[0])
+    assert out.count() == 20 and not any("_tessera_own_text" in c for c in wrote)
+    assert corpus_pipeline.numbered(docs.union(docs)).select("_tessera_row").distinct().count() == 80  # not just a table in files
+    corpus_pipeline.end_scope()

@@ -121,3 +121,21 @@ def test_the_search_index_is_read_few_rows_at_once(spark):
         m = pq.ParquetFile(f.removeprefix("file://")).metadata
         sizes += [m.row_group(i).num_rows for i in range(m.num_row_groups)]
     assert sum(sizes) == 100 and max(sizes) <= search.GROUP_ROWS < 100
+
+
+def test_keys_go_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 900, 60)) for _ in range(12)]
+    docs = [(i, base[i % 12].replace(" w1", " v", i % 2) + f" x{i}") for i in range(36)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+
+    def run():
+        out = ngramjoin.link_components(docs, shingle=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+        return sorted(map(tuple, out.collect()))
+
+    whole, turns, keys = run(), [], ngramjoin._keys_of_parts
+    monkeypatch.setattr(ngramjoin, "LEAST", 8000)
+    monkeypatch.setattr(ngramjoin, "_keys_of_parts", lambda num, den, *turn: turns.append(turn) or keys(num, den, *turn))
+    assert run() == whole and len({c for _, _, c in whole}) < 36
+    n = max(t[0] for t in turns if t)
+    assert n > 1 and [t for t in turns if t] == 2 * [(n, k) for k in range(n)]
